@@ -51,16 +51,26 @@ LEAST_SHARE = 1e-3
 REPEAT = 1.0
 
 
-def features_sql(text: str) -> str:
-    """array<string>: the distinct words (letters only, lower case) and the marks of the text's shape.
+def _count(text: str, chars: str) -> str:
+    """How often the characters occur, by plain replacement, which is far cheaper than a pattern."""
+    return "(" + " + ".join(f"octet_length({text}) - octet_length(replace({text}, '{c}', ''))" for c in chars) + ")"
 
-    A mark has a level from 0 to 4: symbols, bars, exclamation marks and capitals for each word.
-    """
-    n = f"greatest(1, length({text}) - length(replace({text}, ' ', '')) + 1)"
-    count = lambda chars: f"(length({text}) - length(translate({text}, '{chars}', '')))"
-    level = lambda chars: f"cast(least(4, round(4.0D * {count(chars)} / {n})) as int)"
-    marks = ", ".join(f"concat('_{name}', {level(chars)})" for name, chars in (("symbols", "#*$%&<>"), ("bars", "|"), ("calls", "!"), ("capitals", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")))
-    return rf"array_union(array({marks}), split(lower({text}), '[^\\p{{L}}]+'))"
+
+def marks_sql(text: str) -> str:
+    """array<string>: marks of the text's shape, each with a level from 0 to 4: symbols, bars, calls and (some) capitals for each word."""
+    n = f"greatest(1, {tokens_sql(text)})"
+    counts = {"symbols": "#*$%&", "bars": "|", "calls": "!", "capitals": "ETANIR"}
+    return let("n", n, "array(" + ", ".join(f"concat('_{name}', cast(least(4, round(4.0D * {_count(text, chars)} / n)) as int))" for name, chars in counts.items()) + ")")
+
+
+def tokens_sql(text: str) -> str:
+    """A text's tokens, as blanks and line breaks count them; none in an empty text."""
+    return f"if({text} = '', 0L, 1L + {_count(text, ' ')} + length({text}) - length(replace({text}, chr(10), '')))"
+
+
+def words_sql(text: str) -> str:
+    """array<string>: the words of a text, letters only, in lower case."""
+    return rf"split(lower({text}), '[^\\p{{L}}]+')"
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], list[list[float]], list[float]]:
@@ -75,7 +85,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[l
     if n > rows:
         able = able.where(unit(F.col("doc_id"), 6) < rows / n)
     sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_t")).join(F.broadcast(able), "doc_id").dropDuplicates(["domain", "_t"])
-    sample = staged(sample.select("domain", F.expr(features_sql("_t")).alias("f")))
+    sample = staged(sample.select("domain", F.expr(f"array_union({marks_sql('_t')}, {words_sql('_t')})").alias("f")))
     sizes = {r.domain: r.n for r in sample.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     total = sum(sizes.values())
     ks = range(len(DOMAINS))
@@ -102,14 +112,13 @@ def with_posteriors(docs: DataFrame, model: tuple[list[str], list[list[float]],
     if words:
         lexicon = f"split('{' '.join(words)}', ' ')"
         table = f"array({', '.join('array(' + ', '.join(f'{round(x, 5)!r}D' for x in w) + ')' for w in weights)})"
-        found = base.withColumn("_f", F.expr(f"array_intersect({features_sql('_t')}, {lexicon})"))
+        found = base.withColumn("_f", F.expr(f"concat(array_intersect({words_sql('_t')}, {lexicon}), array_intersect({marks_sql('_t')}, {lexicon}))"))
         scores = f"aggregate(_f, {start}, (s, w) -> zip_with(s, element_at({table}, cast(array_position({lexicon}, w) as int)), (a, b) -> a + b))"
     else:
         found, scores = base.withColumn("_f", F.lit(0)), start
     exp = let("s", scores, "transform(s, x -> exp(x - array_max(s)))")
     p = let("e", exp, "transform(e, x -> x / aggregate(e, 0D, (a, y) -> a + y))")
-    tokens = r"cast(size(array_remove(split(_t, '\\s+'), '')) as bigint)"
-    return found.withColumn("_p", F.expr(p)).withColumn("_tokens", F.expr(tokens)).drop("_t", "_f")
+    return found.withColumn("_p", F.expr(p)).withColumn("_tokens", F.expr(tokens_sql("_t"))).drop("_t", "_f")
 
 
 def rate_of(steps: list[list[float]], scale: float = 1.0) -> Column:
@@ -171,11 +180,10 @@ def rates(docs: DataFrame, labels: DataFrame, keep: list[str], targets: dict[str
     """``keep`` columns, n_tokens, the posteriors, ``rate`` and ``copies``.
 
     ``copies`` is the rate rounded up or down by a hash of the text, so that its
-    expectation is the rate.
+    expectation is the rate. Texts are read once: what the fit reads is written besides.
     """
-    model = learn(docs, labels)
-    whole = with_posteriors(docs, model)
-    steps, scale = fit(staged(whole.select("_tokens", "_p")), targets)
+    whole = staged(with_posteriors(docs, learn(docs, labels)).select(*keep, "_tokens", "_p", unit(F.col("text"), 66).alias("_draw")))
+    steps, scale = fit(whole, targets)
     rate = rate_of(steps, scale)
     named = [F.col("_p")[k].alias(f"p_{n}") for k, n in enumerate(DOMAINS)]
     return whole.select(*keep, F.col("_tokens").alias("n_tokens"), *named, rate.alias("rate"), copies(rate).alias("copies"))
@@ -183,14 +191,13 @@ def rates(docs: DataFrame, labels: DataFrame, keep: list[str], targets: dict[str
 
 def copies(rate: Column, near: float = 0.0) -> Column:
     """A whole number of copies with the rate as its expectation; rates within ``near`` of 1 count as 1."""
-    drawn = F.floor(rate + unit(F.col("text"), 66))
+    drawn = F.floor(rate + F.col("_draw"))
     return F.when(F.abs(rate - 1) <= near, F.lit(1)).otherwise(drawn).cast("int")
 
 
 def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, near: float = 0.1) -> DataFrame:
     """``docs`` with each row as often as its rate says; columns as they were."""
-    model = learn(docs, labels)
-    whole = with_posteriors(docs, model)
-    steps, scale = fit(staged(whole.select("_tokens", "_p")), targets)
+    whole = staged(with_posteriors(docs, learn(docs, labels)).withColumn("_draw", unit(F.col("text"), 66)))
+    steps, scale = fit(whole, targets)
     drawn = whole.withColumn("_copies", copies(rate_of(steps, scale), near))
     return drawn.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*[F.col(f"`{c}`") for c in docs.columns])
