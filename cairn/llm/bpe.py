@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import arrow_map
 
-#: Most words, and states, that a worker keeps; beyond it starts anew.
-MAX_WORDS, MAX_STATES = 500_000, 400_000
+#: Most words, states and arcs that a worker keeps; beyond these it starts anew. What it keeps stays with the worker after its task.
+MAX_WORDS, MAX_STATES, MAX_ARCS = 120_000, 60_000, 200_000
 _FINAL_SIGMA = ("Σ", "σ")
 
 
@@ -133,7 +133,7 @@ class Automaton:
 
     def encode(self, word: str) -> list[int]:
         """The tokens of a word over the byte alphabet."""
-        if len(self.states) > MAX_STATES:
+        if len(self.states) > MAX_STATES or len(self.arcs) > MAX_ARCS:
             self.restart()
         table, last, at, read = self.table, self.last, 0, []
         for symbol in word[:-1]:

@@ -44,7 +44,7 @@ NGRAM, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 128
 #: A block of a candidate group: about so many texts, and n-grams, at most.
 BLOCK_TEXTS, BLOCK_GRAMS = 256, 1_000_000
 #: Columns of an incidence matrix that are made at once, and words that a worker remembers.
-SLICE, MAX_WORDS = 16_384, 400_000
+SLICE, MAX_WORDS = 16_384, 120_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
