@@ -13,8 +13,9 @@ metric that weighs a rate by the document's tokens, the step of a document
 depends on its posterior alone. What a step needs from the corpus are K sums and
 a K x K matrix, which Spark adds up; rates follow from the steps' K numbers, so
 nothing that grows with the corpus reaches the driver, and no step lengthens the
-lineage. Finally all rates are scaled by one number so that a document surely in
-the first domain has rate 1, which leaves the mixture as it is.
+lineage. Finally all rates are scaled by one number so that the first domain keeps
+the expected tokens it had, which leaves the mixture as it is. Where posteriors
+can't tell domains apart, all rates therefore stay about 1.
 
 Null texts count as empty: no token, the prior as posterior, rate as any other.
 A target that exceeds what its domain holds is lowered to REPEAT times that.
@@ -149,6 +150,7 @@ def fit(members: DataFrame, targets: dict[str, float] = TARGETS) -> tuple[list[l
     have, gram = measured([])
     if have[0] <= 0:
         return [], 1.0
+    first = float(have[0])
     want = np.minimum(have[0] / targets[names[0]] * np.array([targets[n] for n in names]), REPEAT * have)
     live = have > LEAST_SHARE * have.sum()
     whole = np.diag(np.maximum(gram.diagonal(), 1.0))
@@ -170,10 +172,7 @@ def fit(members: DataFrame, targets: dict[str, float] = TARGETS) -> tuple[list[l
         else:
             break
         steps, have, gram = tried, new, new_gram
-    pure = 1.0
-    for step in steps:
-        pure = max(0.0, pure - step[0])
-    return steps, 1 / pure if pure > 1e-6 else 1.0
+    return (steps, first / float(have[0])) if have[0] > 1e-6 * first else ([], 1.0)
 
 
 def rates(docs: DataFrame, labels: DataFrame, keep: list[str], targets: dict[str, float] = TARGETS) -> DataFrame:
