@@ -53,20 +53,20 @@ REPEAT = 1.0
 
 
 def _count(text: str, chars: str) -> str:
-    """How often the characters occur, by plain replacement, which is far cheaper than a pattern."""
-    return "(" + " + ".join(f"octet_length({text}) - octet_length(replace({text}, '{c}', ''))" for c in chars) + ")"
+    """How often characters of the class occur: what is left when runs of all others go."""
+    return f"octet_length(regexp_replace({text}, '[^{chars}]++', ''))"
 
 
 def marks_sql(text: str) -> str:
-    """array<string>: marks of the text's shape, each with a level from 0 to 4: symbols, bars, calls and (some) capitals for each word."""
+    """array<string>: marks of the text's shape, each with a level from 0 to 4: symbols, bars, calls and capitals for each word."""
     n = f"greatest(1, {tokens_sql(text)})"
-    counts = {"symbols": "#*$%&", "bars": "|", "calls": "!", "capitals": "ETANIR"}
+    counts = {"symbols": "#*$%&<>", "bars": "|", "calls": "!", "capitals": "A-Z"}
     return let("n", n, "array(" + ", ".join(f"concat('_{name}', cast(least(4, round(4.0D * {_count(text, chars)} / n)) as int))" for name, chars in counts.items()) + ")")
 
 
 def tokens_sql(text: str) -> str:
-    """A text's tokens, as blanks and line breaks count them; none in an empty text."""
-    return f"if({text} = '', 0L, 1L + {_count(text, ' ')} + length({text}) - length(replace({text}, chr(10), '')))"
+    """A text's tokens, as whitespace of any kind and length parts them; none in an empty or blank text."""
+    return rf"cast(size(array_remove(split({text}, '\\s+'), '')) as bigint)"
 
 
 def words_sql(text: str) -> str:

@@ -145,6 +145,16 @@ def test_mixing_meets_targets(spark):
     assert (got.rate >= 0).all() and np.allclose(np.array(sums) / sums[0], want / want[0], rtol=0.02)
 
 
+def test_mixing_counts_all_marks_and_tokens(spark):
+    texts = ["", "   ", "a\tb", " a  b\n\nc\r\n", "WHOLLY LOUD", "<p> <b>", "x | y! $", "É 漢字 b"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").selectExpr("i", f"{mixing.tokens_sql('t')} n", f"{mixing.marks_sql('t')} m")
+    got = {r.i: r for r in rows.collect()}
+    assert [got[i].n for i in range(len(texts))] == [len(t.split()) for t in texts]
+    for i, t in enumerate(texts):
+        per = lambda chars: min(4, int(4 * sum(c in chars for c in t) / max(1, len(t.split())) + 0.5))  # noqa: E731, B023
+        assert got[i].m == [f"_symbols{per('#*$%&<>')}", f"_bars{per('|')}", f"_calls{per('!')}", f"_capitals{per('ABCDEFGHIJKLMNOPQRSTUVWXYZ')}"]
+
+
 def test_url_contract(spark):
     urls_ = ["https://a.b.Example.NET/en/x?q#f", "http://example.net/EN/", "http://x.net", "http://x.net/", "http://notnet/", "x.net/", None, "http://c.org/fr/1", "http://example.com/de/", "http://my-casino.com/", "http://o.org/a.net/"]
     pages = spark.createDataFrame(list(enumerate(urls_)), "page_id bigint, url string")
