@@ -1,12 +1,11 @@
 """Document fingerprints of closed syncmers, in SQL functions alone.
 
 A closed syncmer is a window of K bytes of the UTF-8 text whose least inner
-substring of S bytes (by 64-bit hash) is its first or its last. Of those, the
-windows whose least hash lies in the lowest 1/SCALE of the hash range are the
-anchors, which makes about one in 23 bytes an anchor. Whether a window is an
-anchor depends on its own bytes only, so equal passages have equal anchors
-wherever they stand, and the anchors of a spliced text are those of its parts
-and of the few windows over the seam.
+substring of S bytes (by 64-bit hash) is its first or its last. All of them are
+the anchors, about one in 5 bytes, and every stretch of K + W - 1 bytes holds
+one. Whether a window is an anchor depends on its own bytes only, so equal
+passages have equal anchors wherever they stand, and the anchors of a spliced
+text are those of its parts and of the few windows over the seam.
 
 A fingerprint is the anchors' hashes (8 hex digits each) in text order. A text
 without an anchor (as every text under K bytes) has one anchor of its whole
@@ -25,10 +24,8 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import let
 
-K, S, SCALE = 32, 8, 32
+K, S = 16, 6
 W = K - S + 1
-#: Hashes are signed; these are the lowest 1/SCALE of them.
-_LOW = -(2**63) + 2**64 // SCALE
 #: Documents in a range of ids, about, and the most ranges.
 RANGE_ROWS, MAX_RANGES = 500, 20_000
 
@@ -36,7 +33,7 @@ RANGE_ROWS, MAX_RANGES = 500, 20_000
 def anchors_sql(data: str) -> str:
     """array<bigint> of the anchors of the binary ``data`` in text order: start (from 0) * 2**32 + hash."""
     hashes = f"transform(sequence(1, octet_length(b) - {S - 1}), i -> xxhash64(substring(b, i, {S})))"
-    starts = f"filter(sequence(0, size(h) - {W}), i -> least(h[i], h[i + {W - 1}]) < {_LOW}L and array_min(slice(h, i + 1, {W})) = least(h[i], h[i + {W - 1}]))"
+    starts = f"filter(sequence(0, size(h) - {W}), i -> array_min(slice(h, i + 1, {W})) = least(h[i], h[i + {W - 1}]))"
     packed = f"transform({starts}, i -> shiftleft(cast(i as bigint), 32) | (xxhash64(substring(b, i + 1, {K})) & 4294967295L))"
     return let("b", data, f"if(octet_length(b) < {K}, cast(array() as array<bigint>), {let('h', hashes, packed)})")
 

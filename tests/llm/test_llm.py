@@ -136,6 +136,20 @@ def test_fingerprints(spark, docs):
     assert {r.doc_id: r.fingerprint for r in syncmers.fingerprints(edited).collect()} == {i: r.edited_fingerprint for i, r in got.items()}
 
 
+def test_every_stretch_has_an_anchor(spark, docs):
+    size = {r.doc_id: len((r.text or "").encode()) for r in docs.collect()}
+    starts = {}
+    for r in syncmers.anchor_positions(docs).collect():
+        starts.setdefault(r.doc_id, []).append(r.start)
+    for i, n in size.items():
+        if n >= syncmers.K + syncmers.W - 1:
+            at = [-1, *sorted(starts[i]), n - syncmers.K + 1]
+            assert max(b - a for a, b in zip(at, at[1:])) <= syncmers.W
+    text = "a line of forty characters, more or less"
+    near = {r.doc_id: r.near_edited for r in syncmers.fingerprints(spark.createDataFrame([(1, text), (2, text[::-1])], "doc_id bigint, text string")).collect()}
+    assert min(near.values()) > 0
+
+
 def test_mixing_meets_targets(spark):
     sf = "/root/testdata/sf0.01"
     d, lab = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
