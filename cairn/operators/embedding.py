@@ -23,10 +23,10 @@ class Embedder(Protocol):
 
 
 class HashedWords:
-    """A provider without a model file: signed hashes of words and of character trigrams of the first ``most`` words."""
+    """A provider without a model file: signed hashes of words and of character trigrams, of all words or the first ``most``."""
 
-    def __init__(self, dim: int = 384, most: int = 256):
-        self.dim, self.most, self.model_id = dim, most, f"hashed-words-{dim}-{most}"
+    def __init__(self, dim: int = 384, most: int | None = None):
+        self.dim, self.most, self.model_id = dim, most, f"hashed-words-{dim}-{most or 'all'}"
 
     def embed(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim), np.float32)

@@ -170,3 +170,11 @@ def test_watch(spark, tmp_path):
     os.remove(root / "b.py")
     engine.watch(f"file://{tmp_path}/cp", once=True, done=told.append).awaitTermination(120)
     assert [r.content for r in engine.store.read("chunks").collect()] == ["third = 33\n"] and len(told) == 2
+
+
+def test_words_after_the_256th_count():
+    from cairn.operators.embedding import HashedWords
+
+    words = [f"w{i}" for i in range(300)]
+    a, b = HashedWords(64).embed([" ".join(words), " ".join([*words[:299], "other"])])
+    assert (a != b).any()
