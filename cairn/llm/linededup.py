@@ -2,12 +2,15 @@
 
 A line's template comes from a tree of fixed depth: its token count, then its
 DEPTH leading tokens, then a leaf. Variable fields (tokens with a digit or an
-``@``) become ``<*>`` before that. In a leaf, a line of up to LONG tokens is
-known by all its tokens; a longer one by either half of the rest, the other half
-being a wildcard, so that a line with changed words in one half still meets its
-template. Lines of fewer than LEAST tokens have no template and always stay.
-
-A template recurs if two documents have it. Its first document (by doc_id, null
+``@``) become ``<*>`` before that, unless they are more than half of the line or
+it has fewer than LEAST tokens: such a line must be equal. In a leaf, a line is
+known by all its tokens; one of over LONG tokens also by either half of the rest,
+the other half being a wildcard, so that a line with changed words in one half
+still meets its template. It goes by a half only if at least ALIKE of its tokens
+are those of the template's first line, place by place.
+
+A template recurs if two documents have it, and one of fewer than LEAST tokens if
+SPREAD documents have it. Its first document (by doc_id, null
 first, then text) keeps the line and all others lose it, so boilerplate and
 copied passages survive once, and nothing that stands only once goes. Rows of
 equal doc_id and text are one document and share its fate; lines that repeat
@@ -27,18 +30,24 @@ from pyspark.sql import functions as F
 from cairn.llm.common import let, staged
 
 DEPTH, LEAST, LONG = 3, 5, 24
+#: Documents that make a short line recur, and the share of equal tokens that a match by half needs.
+SPREAD, ALIKE = 3, 0.8
 #: Possessive, and from the start of a token only: linear in the text.
 _FIELD = r"(?<!\\S)[^\\s0-9@]*+[0-9@]\\S*+"
 
 
 def templates_sql(line: str) -> str:
-    """array<bigint> of the templates of a line: none, one or two."""
-    body = (
-        f"if(size(t) < {LEAST}, cast(array() as array<bigint>), if(size(t) <= {LONG}, array(xxhash64(size(t), 0, t)), "
-        f"array(xxhash64(size(t), 1, slice(t, 1, {DEPTH} + (size(t) - {DEPTH}) div 2)), "
-        f"xxhash64(size(t), 2, slice(t, 1, {DEPTH}), slice(t, {DEPTH} + 1 + (size(t) - {DEPTH}) div 2, size(t))))))"
-    )
-    return let("t", rf"array_remove(split({line}, '\\s+'), '')", body)
+    """array<struct<h, short, w>>: the templates of a line; ``w``, hashes of its tokens, where only a half is known."""
+    none = "cast(null as array<int>)"
+    tokens = lambda x: rf"array_remove(split({x}, '\\s+'), '')"
+    rest = f"{DEPTH} + (size(t) - {DEPTH}) div 2"
+    whole = f"named_struct('h', xxhash64(size(t), 0, t), 'short', size(t) < {LEAST}, 'w', {none})"
+    hashes = "transform(t, x -> hash(x))"
+    left = f"named_struct('h', xxhash64(size(t), 1, slice(t, 1, {rest})), 'short', false, 'w', {hashes})"
+    right = f"named_struct('h', xxhash64(size(t), 2, slice(t, 1, {DEPTH}), slice(t, 1 + {rest}, size(t))), 'short', false, 'w', {hashes})"
+    body = f"if(size(t) = 0, slice(array({whole}), 1, 0), if(size(t) <= {LONG}, array({whole}), array({whole}, {left}, {right})))"
+    masked = let("m", tokens(masked_sql(line)), f"if(size(m) < {LEAST} or 2 * size(filter(m, x -> x = '<*>')) > size(m), {tokens(line)}, m)")
+    return let("t", masked, body)
 
 
 def masked_sql(text: str) -> str:
@@ -46,9 +55,9 @@ def masked_sql(text: str) -> str:
 
 
 def _places(docs: DataFrame) -> DataFrame:
-    """_k, _row: the document; i: the line; h: a template of it."""
-    lines = docs.select("_k", "_row", F.expr(f"posexplode(split({masked_sql('_text')}, '\\n', -1))").alias("i", "line"))
-    return lines.select("_k", "_row", "i", F.explode(F.expr(templates_sql("line"))).alias("h"))
+    """_k, _row: the document; i: the line; h, short, w: a template of it."""
+    lines = docs.select("_k", "_row", F.expr("posexplode(split(_text, '\\n', -1))").alias("i", "line"))
+    return lines.select("_k", "_row", "i", F.expr(f"inline({templates_sql('line')})"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -60,9 +69,12 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     """_k, _row and ``_gone``, the sorted places of the lines that go, for each document that loses some."""
     places = staged(_places(_keyed(docs).select("_k", "_row", F.col("text").alias("_text"))))
     who = F.struct("_k", "_row")
-    templates = places.groupBy("h").agg(F.min(who).alias("first"), F.max(who).alias("last")).where("first != last")
-    known = staged(templates.select("h", F.col("first._k").alias("first_k"), F.col("first._row").alias("first_row")))
-    gone = places.join(known, "h").where("_k > first_k or (_k = first_k and _row > first_row)")
+    templates = places.where("not short").groupBy("h").agg(F.min(F.struct("_k", "_row", "w")).alias("first"), F.max(who).alias("last")).where("first._k != last._k or first._row != last._row")
+    spread = places.where("short").select("h", "_k", "_row").distinct().groupBy("h").agg(F.count("*").alias("n"), F.min(who).alias("first")).where(f"n >= {SPREAD}")
+    known = templates.select("h", F.col("first._k").alias("first_k"), F.col("first._row").alias("first_row"), F.col("first.w").alias("first_w"))
+    known = staged(known.unionByName(spread.select("h", F.col("first._k").alias("first_k"), F.col("first._row").alias("first_row"), F.lit(None).cast("array<int>").alias("first_w"))))
+    alike = f"w is null or size(filter(zip_with(w, first_w, (a, b) -> a = b), x -> x)) >= {ALIKE} * size(w)"
+    gone = places.join(known, "h").where(f"(_k > first_k or (_k = first_k and _row > first_row)) and ({alike})")
     return gone.groupBy("_k", "_row").agg(F.array_sort(F.collect_set("i")).alias("_gone"))
 
 

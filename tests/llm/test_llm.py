@@ -74,6 +74,14 @@ def test_line_dedup_keeps_first_of_half_changed_lines(spark):
     assert got == {1: " ".join(words), 2: ""}
 
 
+def test_line_dedup_of_short_lines_and_unlike_halves(spark):
+    head = [f"head{chr(97 + i)}" for i in range(20)]
+    one, two = [" ".join(head + [f"{c}{chr(97 + i)}" for i in range(20)]) for c in ("left", "right")]
+    rows = [(1, f"All rights reserved.\n{one}\n1 2 3 4 5 6"), (2, f"All rights reserved.\n{two}\n7 8 9 1 2 3"), (3, f"All rights reserved.\n{two}\n1 2 3 4 5 6")]
+    got = {r.doc_id: r.text for r in linededup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: rows[0][1], 2: f"{two}\n7 8 9 1 2 3", 3: ""}
+
+
 def brute(texts):
     sets = {i: frozenset(tuple(w[j : j + min(5, len(w))]) for j in range(len(w) - min(5, len(w)) + 1)) if (w := (t or "").split()) else frozenset() for i, t in texts.items()}
     links, parent = Counter(), {i: i for i in texts}
