@@ -131,8 +131,8 @@ def rate_of(steps: list[list[float]], scale: float = 1.0) -> Column:
     return F.expr(f"aggregate({table}, 1D, (r, s) -> greatest(0D, r - ({taken})))") * F.lit(scale)
 
 
-def fit(members: DataFrame, targets: dict[str, float] = TARGETS) -> tuple[list[list[float]], float]:
-    """Steps and scale for ``rate_of``, from the columns _tokens and _p.
+def fit(members: DataFrame, targets: dict[str, float] = TARGETS) -> tuple[list[list[float]], float, list[float]]:
+    """Steps and scale for ``rate_of``, from the columns _tokens and _p, and the share of the tokens that each domain reaches.
 
     A step is the gradient times the inverse of the Gram matrix of the documents
     that are free to move (those of a rate above 0), a step size for each
@@ -147,9 +147,13 @@ def fit(members: DataFrame, targets: dict[str, float] = TARGETS) -> tuple[list[l
         row = weighed.agg(*sums, *[F.sum(free * F.col("_p")[i] * F.col("_p")[j]).alias(f"g{i}{j}") for i in ks for j in ks]).first()
         return np.array([row[f"s{k}"] or 0.0 for k in ks]), np.array([[row[f"g{i}{j}"] or 0.0 for j in ks] for i in ks])
 
+    def shares(s):
+        return [float(x / max(s.sum(), 1e-9)) for x in s]
+
     have, gram = measured([])
     if have[0] <= 0:
-        return [], 1.0
+        return [], 1.0, shares(have)
+    unmoved = have
     first = float(have[0])
     want = np.minimum(have[0] / targets[names[0]] * np.array([targets[n] for n in names]), REPEAT * have)
     live = have > LEAST_SHARE * have.sum()
@@ -172,20 +176,22 @@ def fit(members: DataFrame, targets: dict[str, float] = TARGETS) -> tuple[list[l
         else:
             break
         steps, have, gram = tried, new, new_gram
-    return (steps, first / float(have[0])) if have[0] > 1e-6 * first else ([], 1.0)
+    return (steps, first / float(have[0]), shares(have)) if have[0] > 1e-6 * first else ([], 1.0, shares(unmoved))
 
 
 def rates(docs: DataFrame, labels: DataFrame, keep: list[str], targets: dict[str, float] = TARGETS) -> DataFrame:
-    """``keep`` columns, n_tokens, the posteriors, ``rate`` and ``copies``.
+    """``keep`` columns, n_tokens, the posteriors, ``rate``, ``copies``, and each domain's target and reached share.
 
-    ``copies`` is the rate rounded up or down by a hash of the text, so that its
-    expectation is the rate. Texts are read once: what the fit reads is written besides.
+    ``copies`` is the rate rounded up or down by a hash of doc_id and text, so that
+    its expectation is the rate and copies of a text are drawn apart. The reached
+    share falls short of the target where a domain is scarce. Texts are read once: what the fit reads is written besides.
     """
-    whole = staged(with_posteriors(docs, learn(docs, labels)).select(*keep, "_tokens", "_p", unit(F.col("text"), 66).alias("_draw")))
-    steps, scale = fit(whole, targets)
+    whole = staged(with_posteriors(docs, learn(docs, labels)).select(*keep, "_tokens", "_p", unit(F.struct("doc_id", "text"), 66).alias("_draw")))
+    steps, scale, reached = fit(whole, targets)
     rate = rate_of(steps, scale)
     named = [F.col("_p")[k].alias(f"p_{n}") for k, n in enumerate(DOMAINS)]
-    return whole.select(*keep, F.col("_tokens").alias("n_tokens"), *named, rate.alias("rate"), copies(rate).alias("copies"))
+    ends = [F.lit(float(x)).alias(f"{what}_{n}") for k, n in enumerate(DOMAINS) for what, x in (("target", targets[n]), ("reached", reached[k]))]
+    return whole.select(*keep, F.col("_tokens").alias("n_tokens"), *named, rate.alias("rate"), copies(rate).alias("copies"), *ends)
 
 
 def copies(rate: Column, near: float = 0.0) -> Column:
@@ -196,7 +202,7 @@ def copies(rate: Column, near: float = 0.0) -> Column:
 
 def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, near: float = 0.1) -> DataFrame:
     """``docs`` with each row as often as its rate says; columns as they were."""
-    whole = staged(with_posteriors(docs, learn(docs, labels)).withColumn("_draw", unit(F.col("text"), 66)))
-    steps, scale = fit(whole, targets)
+    whole = staged(with_posteriors(docs, learn(docs, labels)).withColumn("_draw", unit(F.struct("doc_id", "text"), 66)))
+    steps, scale, _ = fit(whole, targets)
     drawn = whole.withColumn("_copies", copies(rate_of(steps, scale), near))
     return drawn.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -177,6 +177,13 @@ def test_mixing_counts_all_marks_and_tokens(spark):
         assert got[i].m == [f"_symbols{per('#*$%&<>')}", f"_bars{per('|')}", f"_calls{per('!')}", f"_capitals{per('ABCDEFGHIJKLMNOPQRSTUVWXYZ')}"]
 
 
+def test_copies_of_one_text_are_drawn_apart(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "fit", lambda members, targets: ([], 0.5, [1.0, 0.0, 0.0]))
+    rows = spark.createDataFrame([(i, "the same text") for i in range(400)], "doc_id bigint, text string")
+    got = mixing.rates(rows, labels(spark), ["doc_id"]).toPandas()
+    assert 140 < got.copies.sum() < 260 and (got.reached_toxic == 0).all() and (got.target_toxic == mixing.TARGETS["toxic"]).all()
+
+
 def test_url_contract(spark):
     urls_ = ["https://a.b.Example.NET/en/x?q#f", "http://example.net/EN/", "http://x.net", "http://x.net/", "http://notnet/", "x.net/", None, "http://c.org/fr/1", "http://example.com/de/", "http://my-casino.com/", "http://o.org/a.net/"]
     pages = spark.createDataFrame(list(enumerate(urls_)), "page_id bigint, url string")
