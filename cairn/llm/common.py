@@ -22,34 +22,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a temporary one is set.
+    A local session that names none (as in tests) gets a temporary one; on a
+    cluster that would lose rows, so it is an error there.
     """
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='cairn-')}"
         spark.conf.set("spark.checkpoint.dir", where)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(where)
     return where
 
 
-def staged(df: DataFrame) -> DataFrame:
+def _place(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def staged(df: DataFrame, *done: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage so that a lost executor costs no recomputation, and drops
     the partitioning, so that a later join shuffles both sides and Spark can
-    split its hot keys.
+    split its hot keys. Frames in ``done`` (of this function) are needed no more
+    and their files go now; all others go when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cairn-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    files, where = _place(spark, path)
+    files.deleteOnExit(where)
+    for old in done:
+        files.delete(_place(spark, old._cairn_path)[1], True)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._cairn_path = path
+    return back
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
 
+def packed(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one struct, so that no helper column can clash with any."""
+    return F.struct(*[quoted(c) for c in docs.columns])
 
-def settled(df: DataFrame) -> DataFrame:
-    """``checkpoint()`` into the shared folder; its files go with the last reference."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+
+def unpacked(docs: DataFrame, row: str = "_row", replace: dict[str, Column] | None = None) -> list[Column]:
+    """The columns that ``packed`` put into ``row``, those in ``replace`` anew."""
+    return [(replace or {}).get(c, F.col(row).getField(c)).alias(c) for c in docs.columns]
 
 
 def let(name: str, value: str, body: str) -> str:
@@ -67,6 +89,31 @@ def crc_mod(col: Column, n: int) -> Column:
     return F.crc32(col.cast("string").cast("binary")) % n
 
 
+def with_columns(df: DataFrame, keep: list[str], source: Column, make: Callable[[], Callable[[list], dict]], adds: str) -> DataFrame:
+    """``keep`` columns of ``df``, untouched, and those of the DDL ``adds``, made from ``source`` in Python workers.
+
+    ``make()`` runs once a task and returns a function from a list of values to
+    the new columns (lists or Arrow arrays of that length). A kept column that has the name of a
+    new one is left out: the new one stands for it.
+    """
+    ship(df.sparkSession)
+    added = T.StructType.fromDDL(adds)
+    new = {f.name.lower() for f in added}
+    kept = df.select(*[quoted(c) for c in keep if c.lower() not in new], source.alias("_source"))
+    out = T.StructType([*kept.schema.fields[:-1], *added.fields])
+    arrow = list(to_arrow_schema(added))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = make()
+        for batch in batches:
+            for piece in pieces(batch):
+                made = step(piece.column(piece.num_columns - 1).to_pylist())
+                arrays = [x if isinstance(x := made[f.name], pa.Array) else pa.array(x, type=f.type) for f in arrow]
+                yield pa.RecordBatch.from_arrays([*piece.columns[:-1], *arrays], schema=pa.schema([*list(piece.schema)[:-1], *arrow]))
+
+    return kept.mapInArrow(run, out)
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str) -> DataFrame:
     """``mapInArrow`` with plain columns: ``make()`` runs once a task and returns
     a function from columns (lists) to columns (lists)."""
