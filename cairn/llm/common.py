@@ -114,23 +114,6 @@ def with_columns(df: DataFrame, keep: list[str], source: Column, make: Callable[
     return kept.mapInArrow(run, out)
 
 
-def arrow_map(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str) -> DataFrame:
-    """``mapInArrow`` with plain columns: ``make()`` runs once a task and returns
-    a function from columns (lists) to columns (lists)."""
-    ship(df.sparkSession)
-    out = T.StructType.fromDDL(schema)
-    arrow = to_arrow_schema(out)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = make()
-        for batch in batches:
-            for piece in pieces(batch):
-                made = step({n: piece.column(i).to_pylist() for i, n in enumerate(piece.schema.names)})
-                yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) for f in arrow], schema=arrow)
-
-    return df.mapInArrow(run, out)
-
-
 def pieces(batch: pa.RecordBatch, rows: int = 512, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` of about ``size`` bytes, so that long texts don't pile up."""
     step = max(1, min(rows, int(size * batch.num_rows / max(1, batch.nbytes))))

@@ -25,9 +25,10 @@ from html import unescape
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from cairn.llm import gbt
-from cairn.llm.common import arrow_map
+from cairn.llm.common import with_columns
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Never shown as text.
@@ -449,14 +450,12 @@ def extract(htmls: list[str | None], model: gbt.Trees) -> list[str]:
 def main_text(pages: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns with ``text`` and ``n_chars``."""
     model = trees()
-    kept = pages.select(*keep, pages["html"].alias("_html"))
 
     def make():
-        def step(cols):
-            texts = extract(cols.pop("_html"), model)
-            return cols | {"text": texts, "n_chars": [len(t) for t in texts]}
+        def step(htmls):
+            texts = extract(htmls, model)
+            return {"text": texts, "n_chars": [len(t) for t in texts]}
 
         return step
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "_html"] + ["text string", "n_chars bigint"])
-    return arrow_map(kept, make, schema)
+    return with_columns(pages, keep, F.col("html"), make, "text string, n_chars bigint")

@@ -1,14 +1,16 @@
 """Language identification with hyperdimensional n-gram profiles.
 
-Each letter has a random +1/-1 vector. An n-gram's vector binds its letters'
-vectors, each permuted (rolled) by its place, by multiplication; a text bundles
-the vectors of its n-grams by addition. A language's prototype bundles the
-texts of that language at unit length, and a text gets the language whose
+Each letter (code point) has a random +1/-1 vector. An n-gram's vector binds its
+letters' vectors, each permuted (rolled) by its place, by multiplication; a text
+bundles the vectors of its n-grams by addition. A language's prototype bundles
+the texts of that language at unit length, and a text gets the language whose
 prototype has the greatest cosine to it.
 
 Empty, null and letterless texts get ``und`` and score 0. Ties go to the first
 language in alphabetical order. Rows without a language don't train; where none
-trains, every text with a letter gets ``und`` too.
+trains, every text with a letter gets ``und`` too. Whole texts are read, of any
+length. Repeated rows each get a row. Of the kept columns, one named lang_pred
+or score gives way to the new one; other columns are neither read nor changed.
 """
 
 from __future__ import annotations
@@ -16,49 +18,56 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import arrow_map, unit
+from cairn.llm.common import quoted, unit, with_columns
 
 UND = "und"
-SYMBOLS, DIM, SEED = 40, 512, 11
+DIM, SEED = 512, 11
 #: Texts that are bundled by one matrix product.
 BLOCK = 64
-_EDGE, _FIRST = np.zeros(1, np.uint8), np.ones(1, bool)
-#: Labelled rows that training reads, about: a bound on the sample, not on what is predicted.
-TRAIN_ROWS = 20_000
+_EDGE, _FIRST = np.zeros(1, np.int64), np.ones(1, bool)
+#: Labelled rows that training reads, about: a bound on the sample, not on what is predicted. And the most languages that it
+#: learns, those with the most rows in the sample.
+TRAIN_ROWS, LANGUAGES = 20_000, 1_000
 
 
 @lru_cache(1)
-def letter_codes() -> np.ndarray:
-    """0 for what is no letter, 1 to 26 for a to z, the other letters spread over the rest."""
-    letter = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
-    codes = np.where(letter, 27 + np.arange(0x110000) * 7919 % 1009 % (SYMBOLS - 27), 0).astype(np.uint8)
-    codes[ord("a") : ord("z") + 1] = np.arange(1, 27)
-    return codes
+def letters() -> np.ndarray:
+    """Which code points are letters."""
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-@lru_cache(1)
-def gram_vectors() -> np.ndarray:
+@lru_cache(4096)
+def letter_vector(code: int) -> np.ndarray:
+    """The random vector of a code point, 0 (no letter, or the edge of the text) included: +1 or -1 by the bits of its hashes."""
+    data = code.to_bytes(4, "little")
+    bits = np.unpackbits(np.frombuffer(b"".join(xxhash.xxh64_digest(data, seed=SEED + k) for k in range(DIM // 64)), np.uint8))
+    return bits.astype(np.float32) * 2 - 1
+
+
+def gram_vectors(grams_: np.ndarray) -> np.ndarray:
     """The bound vector of each trigram: roll(a, 2) * roll(b, 1) * c."""
-    letters = np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (SYMBOLS, DIM))
-    two = np.roll(letters, 2, 1)[:, None] * np.roll(letters, 1, 1)[None]
-    return (two[:, :, None] * letters[None, None]).reshape(-1, DIM)
+    out = np.ones((len(grams_), DIM), np.float32)
+    for k in range(3):
+        used, at = np.unique(grams_ >> 21 * (2 - k) & 0x1FFFFF, return_inverse=True)
+        out *= np.array([np.roll(letter_vector(int(c)), 2 - k) for c in used])[at]
+    return out
 
 
 def grams(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
-    """The trigrams of a text and their counts; None if it has no letter."""
+    """The trigrams of a text (21 bits a letter, 0 for what is none) and their counts; None if it has no letter."""
     if not text:
         return None
-    s = letter_codes()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
+    s = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    s = np.where(letters()[s], s, 0).astype(np.int64)
     if not s.any():
         return None
     s = np.concatenate((_EDGE, s, _EDGE))
-    s = s[np.concatenate((_FIRST, (s[1:] | s[:-1]) != 0))].astype(np.int32)
-    counts = np.bincount((s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:])
-    found = np.flatnonzero(counts)
-    return found, counts[found]
+    s = s[np.concatenate((_FIRST, (s[1:] | s[:-1]) != 0))]
+    return np.unique(s[:-2] << 42 | s[1:-1] << 21 | s[2:], return_counts=True)
 
 
 def bundles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +80,7 @@ def bundles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         dense = np.zeros((len(block), len(used)), np.float32)
         for k, (_, (g, c)) in enumerate(block):
             dense[k, np.searchsorted(used, g)] = c
-        out[at : at + BLOCK] = dense @ gram_vectors()[used].astype(np.float32)
+        out[at : at + BLOCK] = dense @ gram_vectors(used)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9), np.array([i for i, _ in got], np.int64)
 
 
@@ -80,7 +89,7 @@ def train(docs: DataFrame, learn: Column, rows: int = TRAIN_ROWS) -> dict[str, n
 
     The sample is drawn by a hash of the text, so copies enter or stay out
     together. Tasks bundle their own rows; what reaches the driver is one
-    vector a language.
+    vector a language, of LANGUAGES at most.
     """
     able = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     n = able.count()
@@ -88,39 +97,34 @@ def train(docs: DataFrame, learn: Column, rows: int = TRAIN_ROWS) -> dict[str, n
         able = able.where(unit(F.col("text"), SEED) < rows / n)
 
     def make():
-        def step(cols):
-            sums: dict[str, np.ndarray] = {}
-            vectors, at = bundles(cols["text"])
-            for v, i in zip(vectors, at, strict=True):
-                sums[cols["lang"][i]] = sums.get(cols["lang"][i], 0) + v
-            return {"lang": [k for k in sums for _ in range(DIM)], "at": [*range(DIM)] * len(sums), "value": [float(x) for v in sums.values() for x in v]}
+        def step(texts):
+            vectors, at = bundles(texts)
+            made: list = [None] * len(texts)
+            for i, v in zip(at, vectors, strict=True):
+                made[i] = v.tolist()
+            return {"v": made}
 
         return step
 
-    sums = arrow_map(able, make, "lang string, at int, value double").groupBy("lang", "at").agg(F.sum("value").alias("value"))
-    found: dict[str, np.ndarray] = {}
-    for r in sums.collect():
-        found.setdefault(r.lang, np.zeros(DIM, np.float32))[r["at"]] = r.value
-    return found
+    vectors = with_columns(able, ["lang"], F.col("text"), make, "v array<float>").where("v is not null")
+    sums = vectors.groupBy("lang").agg(F.count("*").alias("n"), F.array(*[F.sum(F.col("v")[k]) for k in range(DIM)]).alias("v"))
+    return {r.lang: np.array(r.v, np.float32) for r in sums.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
 
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str]) -> DataFrame:
     """``keep`` columns of ``docs`` with ``lang_pred`` and ``score``; reads no other column but ``text``."""
     names = sorted(prototypes)
     unitary = np.array([prototypes[k] / max(np.linalg.norm(prototypes[k]), 1e-9) for k in names]).reshape(-1, DIM)
-    kept = docs.select(*keep, "text")
 
     def make():
-        def step(cols):
-            texts = cols.pop("text")
+        def step(texts):
             langs, scores = [UND] * len(texts), [0.0] * len(texts)
             if names:
                 vectors, at = bundles(texts)
                 for i, c in zip(at, vectors @ unitary.T, strict=True):
                     langs[i], scores[i] = names[int(c.argmax())], float(min(1, max(0, c.max())))
-            return cols | {"lang_pred": langs, "score": scores}
+            return {"lang_pred": langs, "score": scores}
 
         return step
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "text"] + ["lang_pred string", "score double"])
-    return arrow_map(kept, make, schema)
+    return with_columns(docs, keep, quoted("text"), make, "lang_pred string, score double")

@@ -7,8 +7,9 @@ ledger alone and never the texts again.
 
 Words are runs of characters other than space and U+0009 to U+000D. Null texts
 count as empty: they have no word, so they fail ``few_words``. Whole texts are
-measured. Repeated rows each have their own ledger row; other columns of the
-input are ignored.
+measured. Repeated rows each have their own ledger row. Of the kept columns, one
+that has the name of a measurement or is named fail_bits gives way to it; other
+columns are neither read nor changed.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import arrow_map
+from cairn.llm.common import with_columns
 
 SPACE = "\t\n\x0b\x0c\r "
 SYMBOLS = "#*$%&|<>"
@@ -63,24 +64,23 @@ def measure(text: str | None) -> tuple[int, ...]:
             if j != i:
                 again[j : j + 3] = again[i : i + 3] = b"\1\1\1"
         repeated = sum(again)
-    upper = sum(map(bytes.isupper, words)) if raw.isascii() else sum(map(str.isupper, text.split()))
+    upper = sum(map(bytes.isupper, words)) if raw.isascii() else sum(w.decode("utf-8", "surrogatepass").isupper() for w in words)
     return n, len(text) - sum(map(text.count, SPACE)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated, len(lines), upper
 
 
 def ledger(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns with the measurements and ``fail_bits``."""
-    kept = docs.select(*keep, F.col("text").alias("_text"))
 
     def make():
-        def step(cols):
-            got = [measure(t) for t in cols.pop("_text")]
-            return cols | {name: [g[i] for g in got] for i, name in enumerate(MEASURES)}
+        def step(texts):
+            got = [measure(t) for t in texts]
+            return {name: [g[i] for g in got] for i, name in enumerate(MEASURES)}
 
         return step
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "_text"] + [f"{m} bigint" for m in MEASURES])
     bits = [F.when(F.expr(rule), F.lit(BITS[name])).otherwise(0) for name, rule in RULES.items()]
-    return arrow_map(kept, make, schema).withColumn("fail_bits", reduce(Column.bitwiseOR, bits))
+    kept = [c for c in keep if c.lower() != "fail_bits"]
+    return with_columns(docs, kept, F.col("text"), make, ", ".join(f"{m} bigint" for m in MEASURES)).withColumn("fail_bits", reduce(Column.bitwiseOR, bits))
 
 
 def passes(policy: str, bits: str = "fail_bits") -> Column:

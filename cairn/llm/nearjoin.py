@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from cairn.llm.common import arrow_map, staged
+from cairn.llm.common import staged, with_columns
 from cairn.shipping import ship
 
 NGRAM, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 128
@@ -113,18 +113,17 @@ def signatures(docs: DataFrame, bands: int, rows: int, n: int = NGRAM) -> DataFr
     def make():
         factors, shifts = permutations(bands * rows)
 
-        def step(cols):
-            sets = [grams(t, n) for t in cols["_text"]]
+        def step(texts):
+            sets = [grams(t, n) for t in texts]
             return {
-                "_id": cols["_id"],
-                "_key": [hashlib.md5(t.encode("utf-8", "surrogatepass")).digest() for t in cols["_text"]],
+                "_key": [hashlib.md5(t.encode("utf-8", "surrogatepass")).digest() for t in texts],
                 "_grams": [len(g) for g in sets],
                 "_bands": [band_hashes(g, bands, rows, factors, shifts) for g in sets],
             }
 
         return step
 
-    return arrow_map(kept, make, "_id bigint, _key binary, _grams bigint, _bands array<bigint>")
+    return with_columns(kept, ["_id"], F.col("_text"), make, "_key binary, _grams bigint, _bands array<bigint>")
 
 
 def components(edges: DataFrame) -> DataFrame:

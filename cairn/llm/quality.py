@@ -2,7 +2,10 @@
 
 The statistics are of whole texts. Training reads a bounded sample of labelled
 rows; scoring reads every row and no label. Null texts count as empty, and the
-statistics of an empty text are zeros.
+statistics of an empty text are zeros. Texts of any length are read whole.
+Repeated rows each get a score and train once; a document that has both labels
+trains with both. Of the kept columns, one named score or predicted gives way to
+the new one; other columns are neither read nor changed.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import gbt
-from cairn.llm.common import arrow_map, unit
+from cairn.llm.common import unit, with_columns
 
 #: Labelled rows that training reads, about: a bound on the sample, not on what is scored.
 TRAIN_ROWS = 20_000
@@ -51,44 +54,39 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-def _with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
-    kept = docs.select(*keep, "text")
-
-    def make():
-        def step(cols):
-            return cols | {"x": [statistics(t) for t in cols.pop("text")]}
-
-        return step
-
-    return arrow_map(kept, make, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "text"] + ["x array<double>"]))
-
-
 def train(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = TRAIN_ROWS) -> gbt.Trees:
     """Trees from about ``rows`` labelled documents that ``learn`` admits.
 
-    The labelled ids of the sample are few enough to broadcast (``rows`` of
-    them), so only the sample's texts are worked on. Documents with several
-    labels count once each; labels that are null don't train.
+    An id has two rows of the sample at most, so it is small enough to broadcast,
+    and only the sample's texts are worked on. If many documents have one id, they
+    are thinned out to ``rows`` again. Null labels don't train.
     """
-    able = labels.where(learn & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("quality"))
+    able = labels.where(learn & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", (F.col("quality") > 0).alias("good")).distinct()
     n = able.count()
     if n > rows:
         able = able.where(unit(F.col("doc_id"), 4) < rows / n)
     sample = docs.select("doc_id", "text").join(F.broadcast(able), "doc_id")
-    got = _with_statistics(sample, ["doc_id", "quality"]).select("doc_id", "quality", "x").collect()
-    got.sort(key=lambda r: (r.doc_id, r.quality, r.x))
-    return gbt.fit(np.array([r.x for r in got], float).reshape(-1, len(FEATURES)), np.array([r.quality > 0 for r in got], float), trees=80)
+    n = sample.count()
+    if n > 2 * rows:
+        sample = sample.where(unit(F.struct("doc_id", "text"), 5) < rows / n)
+    sample = sample.dropDuplicates(["doc_id", "good", "text"])
+
+    def make():
+        return lambda texts: {"x": [statistics(t) for t in texts]}
+
+    got = with_columns(sample, ["doc_id", "good"], F.col("text"), make, "x array<double>").collect()
+    got.sort(key=lambda r: (r.doc_id, r.good, r.x))
+    return gbt.fit(np.array([r.x for r in got], float).reshape(-1, len(FEATURES)), np.array([r.good for r in got], float), trees=80)
 
 
 def score(docs: DataFrame, trees: gbt.Trees, keep: list[str], threshold: float = THRESHOLD) -> DataFrame:
     """``keep`` columns of ``docs`` with ``score`` and ``predicted``."""
-    kept = docs.select(*keep, F.col("text").alias("_text"))
 
     def make():
-        def step(cols):
-            s = trees.score(np.array([statistics(t) for t in cols.pop("_text")], float).reshape(-1, len(FEATURES)))
-            return cols | {"score": s.tolist(), "predicted": (s >= threshold).astype(int).tolist()}
+        def step(texts):
+            s = trees.score(np.array([statistics(t) for t in texts], float).reshape(-1, len(FEATURES)))
+            return {"score": s.tolist(), "predicted": (s >= threshold).astype(int).tolist()}
 
         return step
 
-    return arrow_map(kept, make, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "_text"] + ["score double", "predicted int"]))
+    return with_columns(docs, keep, F.col("text"), make, "score double, predicted int")

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import arrow_map
+from cairn.llm.common import with_columns
 
 BOUNDARY = 256
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -114,15 +114,14 @@ class Automaton:
 
 def judge(pages: DataFrame, key: str = "page_id", host_rules=HOST_RULES, globs=BLOCK_GLOBS, url: Column | None = None) -> DataFrame:
     """``key``, host, path, the longest host rule that fits, the verdict, and the globs that match."""
-    kept = pages.select(key, (F.col("url") if url is None else url).alias("_url"))
     by_length = sorted(host_rules, key=lambda r: -len(r[1]))
     globs = tuple(globs)
 
     def make():
         automaton = Automaton.of([host_glob(r) for _, r in by_length] + [glob(g) for g in globs])
 
-        def step(cols):
-            parts = [split_url(u) for u in cols.pop("_url")]
+        def step(urls):
+            parts = [split_url(u) for u in urls]
             found = automaton.matches([symbols_of(h, p) for h, p in parts])
             rules, verdicts, hits = [], [], []
             for row, (host, _) in zip(found, parts, strict=True):
@@ -131,9 +130,8 @@ def judge(pages: DataFrame, key: str = "page_id", host_rules=HOST_RULES, globs=B
                 rules.append(None if fit is None else by_length[fit][1])
                 verdicts.append(by_length[fit][0] if fit is not None else "block" if hit else "allow")
                 hits.append(hit)
-            return cols | {"host": [h for h, _ in parts], "path": [p for _, p in parts], "rule": rules, "verdict": verdicts, "globs": hits}
+            return {"host": [h for h, _ in parts], "path": [p for _, p in parts], "rule": rules, "verdict": verdicts, "globs": hits}
 
         return step
 
-    kind = kept.schema[key].dataType.simpleString()
-    return arrow_map(kept, make, f"`{key}` {kind}, host string, path string, rule string, verdict string, globs array<string>")
+    return with_columns(pages, [key], F.col("url") if url is None else url, make, "host string, path string, rule string, verdict string, globs array<string>")
