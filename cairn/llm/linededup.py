@@ -1,25 +1,29 @@
 """Line dedup by a log-template tree, in DataFrame and SQL functions alone.
 
-A line's template comes from a tree of fixed depth: its token count, then its
-DEPTH leading tokens, then a leaf. Variable fields (tokens with a digit or an
-``@``) become ``<*>`` before that, unless they are more than half of the line or
-it has fewer than LEAST tokens: such a line must be equal. In a leaf, a line is
-known by all its tokens; one of over LONG tokens also by either half of the rest,
-the other half being a wildcard, so that a line with changed words in one half
-still meets its template. It goes by a half only if at least ALIKE of its tokens
-are those of the template's first line, place by place.
-
-A template recurs if two documents have it, and one of fewer than LEAST tokens if
-SPREAD documents have it. Its first document (by doc_id, null
-first, then text) keeps the line and all others lose it, so boilerplate and
-copied passages survive once, and nothing that stands only once goes. Rows of
-equal doc_id and text are one document and share its fate; lines that repeat
-within one document stay there. Null texts have no line and stay null; empty
-texts stay empty. Lines end at ``\\n``; what stays is joined by it again.
-
-Templates travel as 64-bit hashes with the place of their line. The one table
-that a hot template could load is joined from two written tables, so that Spark
-can split it; everything before has partial sums.
+The tree has a fixed depth: a line goes down by its token count, then by its
+first DEPTH tokens, to a leaf. Tokens are parted by white space. Variable fields
+become ``<*>`` in two ways: first every token with a digit or an ``@``, then, in
+the leaf, every token that no other line of the leaf (equal lines are one) has
+at that place. What is left is the line's template. At least CONSTANT of its
+tokens must be constant; a line that the fields would leave with fewer stands
+for itself and must be equal. Lines of every length go the same way.
+
+A template recurs if two documents have it. Its first document (by doc_id, null
+first, then a hash of the text) keeps the line and all others lose it, so
+boilerplate and copied passages survive once. A line whose constant tokens stand
+in no other document stays. What a field holds in the later documents goes with
+their lines: at most a quarter of a line's tokens. A field of which two lines
+have the same value beside other differences is taken as constant there, and a word put in or
+left out makes another token count: such lines stay.
+
+Rows of equal doc_id and text are one document and share its fate; lines that
+repeat within one document stay there. Null texts have no line and stay null;
+empty texts stay empty. Lines end at ``\\n``; what stays is joined by it again.
+Columns of any name stay as they are, but n_lines and n_dropped, which are replaced.
+
+Lines travel as 64-bit hashes with their place, tokens as 32-bit hashes and only
+within leaves of unlike lines. Counts have partial sums; joins read written
+tables, so that Spark broadcasts one that is small and splits the keys of one that is hot.
 """
 
 from __future__ import annotations
@@ -27,67 +31,81 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import let, staged
+from cairn.llm.common import let, packed, staged, unpacked
 
-DEPTH, LEAST, LONG = 3, 5, 24
-#: Documents that make a short line recur, and the share of equal tokens that a match by half needs.
-SPREAD, ALIKE = 3, 0.8
+DEPTH, CONSTANT = 2, 0.75
 #: Possessive, and from the start of a token only: linear in the text.
 _FIELD = r"(?<!\\S)[^\\s0-9@]*+[0-9@]\\S*+"
 
 
-def templates_sql(line: str) -> str:
-    """array<struct<h, short, w>>: the templates of a line; ``w``, hashes of its tokens, where only a half is known."""
-    none = "cast(null as array<int>)"
+def line_sql(line: str) -> str:
+    """struct<n, leaf, h, w>: the line's tokens, its leaf, itself, and the tokens' hashes (0 for a field) where a leaf may hold unlike lines."""
     tokens = lambda x: rf"array_remove(split({x}, '\\s+'), '')"
-    rest = f"{DEPTH} + (size(t) - {DEPTH}) div 2"
-    whole = f"named_struct('h', xxhash64(size(t), 0, t), 'short', size(t) < {LEAST}, 'w', {none})"
-    hashes = "transform(t, x -> hash(x))"
-    left = f"named_struct('h', xxhash64(size(t), 1, slice(t, 1, {rest})), 'short', false, 'w', {hashes})"
-    right = f"named_struct('h', xxhash64(size(t), 2, slice(t, 1, {DEPTH}), slice(t, 1 + {rest}, size(t))), 'short', false, 'w', {hashes})"
-    body = f"if(size(t) = 0, slice(array({whole}), 1, 0), if(size(t) <= {LONG}, array({whole}), array({whole}, {left}, {right})))"
-    masked = let("m", tokens(masked_sql(line)), f"if(size(m) < {LEAST} or 2 * size(filter(m, x -> x = '<*>')) > size(m), {tokens(line)}, m)")
-    return let("t", masked, body)
-
-
-def masked_sql(text: str) -> str:
-    return f"if({text} rlike '[0-9@]', regexp_replace({text}, '{_FIELD}', '<*>'), {text})"
-
-
-def _places(docs: DataFrame) -> DataFrame:
-    """_k, _row: the document; i: the line; h, short, w: a template of it."""
-    lines = docs.select("_k", "_row", F.expr("posexplode(split(_text, '\\n', -1))").alias("i", "line"))
-    return lines.select("_k", "_row", "i", F.expr(f"inline({templates_sql('line')})"))
+    masked = let("m", tokens(f"regexp_replace({line}, '{_FIELD}', '<*>')"), f"if(size(filter(m, x -> x = '<*>')) > {1 - CONSTANT} * size(m), {tokens(line)}, m)")
+    made = (
+        f"named_struct('n', size(t), 'leaf', xxhash64(size(t), slice(t, 1, {DEPTH})), 'h', xxhash64(t), "
+        f"'w', if(size(t) > {DEPTH}, transform(t, x -> if(x = '<*>', 0, hash(x))), null))"
+    )
+    return let("t", f"if({line} rlike '[0-9@]', {masked}, {tokens(line)})", made)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
+    """_doc: the whole row; _k, _row: which document it is."""
     k = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63)))
-    return docs.withColumn("_k", k).withColumn("_row", F.xxhash64(k, F.col("text")))
+    return docs.select(packed(docs).alias("_doc"), k.alias("_k"), F.xxhash64(k, F.col("text")).alias("_row"), F.col("text").alias("_text"))
+
+
+def generalized(lines: DataFrame) -> DataFrame:
+    """leaf, h and template of the lines (n, leaf, h, w) whose leaf holds unlike ones, as far as their constant part is large enough."""
+    mixed = staged(lines.where("w is not null").groupBy("leaf").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low != high").select("leaf"))
+    unlike = staged(lines.where("w is not null").join(mixed, "leaf").dropDuplicates(["leaf", "h"]).select("leaf", "h", "n", "w"), mixed)
+    places = unlike.select("leaf", "h", "n", F.posexplode("w").alias("at", "token")).where("token != 0")
+    constant = staged(places.groupBy("leaf", "at", "token").agg(F.count("*").alias("lines")).where("lines > 1").select("leaf", "at", "token"))
+    kept = places.join(constant, ["leaf", "at", "token"]).groupBy("leaf", "h").agg(F.expr("bit_xor(xxhash64(at, token))").alias("x"), F.count("*").alias("m"), F.max("n").alias("n"))
+    return staged(kept.where(f"m >= {CONSTANT} * n").select("leaf", "h", F.xxhash64("leaf", "x", "m").alias("template")), unlike, constant)
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """_k, _row and ``_gone``, the sorted places of the lines that go, for each document that loses some."""
-    places = staged(_places(_keyed(docs).select("_k", "_row", F.col("text").alias("_text"))))
+    lines = _keyed(docs).select("_k", "_row", F.expr("posexplode(split(_text, '\\n', -1))").alias("i", "line"))
+    lines = staged(lines.select("_k", "_row", "i", F.expr(line_sql("line")).alias("s")).where("s.n > 0").select("_k", "_row", "i", "s.*"))
+    general = generalized(lines)
+    told = lines.select("_k", "_row", "i", "leaf", "h").join(general, ["leaf", "h"], "left")
+    told = staged(told.select("_k", "_row", "i", F.coalesce("template", "h").alias("template")), lines, general)
     who = F.struct("_k", "_row")
-    templates = places.where("not short").groupBy("h").agg(F.min(F.struct("_k", "_row", "w")).alias("first"), F.max(who).alias("last")).where("first._k != last._k or first._row != last._row")
-    spread = places.where("short").select("h", "_k", "_row").distinct().groupBy("h").agg(F.count("*").alias("n"), F.min(who).alias("first")).where(f"n >= {SPREAD}")
-    known = templates.select("h", F.col("first._k").alias("first_k"), F.col("first._row").alias("first_row"), F.col("first.w").alias("first_w"))
-    known = staged(known.unionByName(spread.select("h", F.col("first._k").alias("first_k"), F.col("first._row").alias("first_row"), F.lit(None).cast("array<int>").alias("first_w"))))
-    alike = f"w is null or size(filter(zip_with(w, first_w, (a, b) -> a = b), x -> x)) >= {ALIKE} * size(w)"
-    gone = places.join(known, "h").where(f"(_k > first_k or (_k = first_k and _row > first_row)) and ({alike})")
+    known = told.groupBy("template").agg(F.min(who).alias("first"), F.max(who).alias("last")).where("first != last")
+    known = staged(known.select("template", F.col("first._k").alias("first_k"), F.col("first._row").alias("first_row")))
+    gone = told.join(known, "template").where("_k > first_k or (_k = first_k and _row > first_row)")
     return gone.groupBy("_k", "_row").agg(F.array_sort(F.collect_set("i")).alias("_gone"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with the lines gone from ``text``, and n_lines and n_dropped besides.
-
-    A column of ``docs`` that is named n_lines or n_dropped is replaced.
-    """
+    """``docs`` with the lines gone from ``text``, and n_lines and n_dropped besides."""
     gone = dropped_lines(docs)
     joined = _keyed(docs.drop("n_lines", "n_dropped")).join(gone, ["_k", "_row"], "left")
-    kept = let("ls", r"split(text, '\n', -1)", "array_join(transform(array_except(sequence(0, size(ls) - 1), _gone), i -> ls[i]), '\n')")
+    kept = let("ls", r"split(_text, '\n', -1)", "array_join(transform(array_except(sequence(0, size(ls) - 1), _gone), i -> ls[i]), '\n')")
     return joined.select(
-        *[F.col(f"`{c}`") if c != "text" else F.expr(f"if(_gone is null, text, {kept})").alias("text") for c in docs.columns if c not in ("n_lines", "n_dropped")],
-        F.expr("coalesce(length(text) - length(replace(text, '\n', '')) + 1, 0)").cast("bigint").alias("n_lines"),
+        *unpacked(docs.drop("n_lines", "n_dropped"), "_doc", {"text": F.expr(f"if(_gone is null, _text, {kept})")}),
+        F.expr("coalesce(length(_text) - length(replace(_text, '\n', '')) + 1, 0)").cast("bigint").alias("n_lines"),
         F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("n_dropped"),
     )
+
+
+#: The same rule for DuckDB, as the query's digest columns. It needs unique doc_ids.
+SQL = rf"""WITH docs AS (SELECT coalesce(doc_id, -9223372036854775808) AS k, doc_id, text FROM documents),
+lines AS (SELECT k, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM docs),
+raw AS (SELECT k, i, line, list_filter(regexp_split_to_array(line, '[ \t\x0B\f\r]+'), lambda x: x <> '') AS t FROM lines),
+masked AS (SELECT k, i, t, list_transform(t, lambda x: CASE WHEN regexp_matches(x, '[0-9@]') THEN '<*>' ELSE x END) AS m FROM raw WHERE len(t) > 0),
+chosen AS (SELECT k, i, CASE WHEN len(list_filter(m, lambda x: x = '<*>')) > {1 - CONSTANT} * len(m) THEN t ELSE m END AS t FROM masked),
+leaved AS (SELECT k, i, t, len(t) AS n, t[1:{DEPTH}] AS lead FROM chosen),
+unlike AS (SELECT DISTINCT n, lead, t FROM leaved),
+places AS (SELECT n, lead, t, unnest(t) AS token, unnest(range(len(t))) AS place FROM unlike),
+constant AS (SELECT n, lead, place, token FROM places WHERE token <> '<*>' GROUP BY ALL HAVING count(*) > 1),
+general AS (SELECT p.n, p.lead, p.t, to_json(list({{'place': p.place, 'token': p.token}} ORDER BY p.place)) AS template FROM places p JOIN constant USING (n, lead, place, token) GROUP BY p.n, p.lead, p.t HAVING count(*) >= {CONSTANT} * p.n),
+told AS (SELECT k, i, to_json([n::JSON, coalesce(template, to_json(t))]) AS template FROM leaved LEFT JOIN general USING (n, lead, t)),
+known AS (SELECT template, min(k) AS first FROM told GROUP BY 1 HAVING min(k) < max(k)),
+gone AS (SELECT k, list(DISTINCT i) AS gone FROM told JOIN known USING (template) WHERE k > first GROUP BY 1),
+cut AS (SELECT doc_id, text, gone, string_split(text, chr(10)) AS ls FROM docs LEFT JOIN gone USING (k)),
+kept AS (SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(ls) END AS n_lines, coalesce(len(gone), 0) AS n_dropped,
+CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda j: NOT list_contains(gone, j - 1)), lambda j: ls[j]), chr(10)) END AS text FROM cut)
+SELECT doc_id, n_lines::BIGINT AS n_lines, n_dropped::BIGINT AS n_dropped, length(text)::BIGINT AS n_chars_kept, sha256(text) AS text_sha256 FROM kept"""
