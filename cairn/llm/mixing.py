@@ -10,17 +10,22 @@ number of times it should occur, such that the expected domain token totals
 match targets. Projected gradient descent solves this nonnegative least squares:
 start at rate 1, step against the gradient, set negative rates to 0. In the
 metric that weighs a rate by the document's tokens, the step of a document
-depends on its posterior alone. What a step needs from the corpus are K sums and
-a K x K matrix, which Spark adds up; rates follow from the steps' K numbers, so
-nothing that grows with the corpus reaches the driver, and no step lengthens the
-lineage. Finally all rates are scaled by one number so that the first domain keeps
-the expected tokens it had, which leaves the mixture as it is. Where posteriors
-can't tell domains apart, all rates therefore stay about 1.
+depends on its posterior alone. The gradient is scaled by the inverse of the free
+documents' Gram matrix, so these are Newton-like steps, halved where one would go
+too far. What a step needs from the corpus are K sums and a K x K matrix, which
+Spark adds up; rates follow from the steps' K numbers, so nothing that grows with
+the corpus reaches the driver, and no step lengthens the lineage.
+
+Only the shares of the totals are given, so their scale is free: the first domain
+keeps the expected tokens it had. A scarce domain gets rates above 1, without
+limit: any shares are met that the posteriors can make up. ``hold`` keeps at
+rate 1 the documents whose likeliest domain is the first, and fits the others.
 
 Null texts count as empty: no token, the prior as posterior, rate as any other.
-A target that exceeds what its domain holds is lowered to REPEAT times that.
 Without labels every document is of the first domain and has rate 1; a domain
-that has no tokens takes no part. Repeated rows count each.
+that no labelled text has takes no part. Repeated rows count each. Texts of any
+length are read whole. Columns of any name stay as they are; of those that
+``rates`` keeps, one that has the name of a new one gives way to it.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import let, staged, unit
+from cairn.llm.common import let, packed, quoted, staged, unit, unpacked
 
 #: The domains of the labelled table: name and condition; the first that holds counts.
 DOMAINS = {"clean": "quality = 1 and toxic = 0", "toxic": "toxic = 1", "junk": "quality = 0"}
@@ -46,10 +51,6 @@ STEPS, CLOSE = 15, 1e-3
 PULL = 2.0
 #: Standard deviations from chance that a word must be to count.
 ODD = 6.0
-#: A domain with less of the tokens takes no part in the fit.
-LEAST_SHARE = 1e-3
-#: A domain that holds less than its target is met with this many times what it holds: nothing is repeated without end.
-REPEAT = 1.0
 
 
 def _count(text: str, chars: str) -> str:
@@ -77,15 +78,20 @@ def words_sql(text: str) -> str:
 def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], list[list[float]], list[float]]:
     """Lexicon, log-odds of each entry in each domain, and the score of a text with none of them.
 
-    The ids of the sample are few enough to broadcast (``rows`` of them). A row
-    that falls in no domain, or has a null label, doesn't train.
+    An id is in the sample once for each of its domains at most, so it is small
+    enough to broadcast. If many documents have one id, they are thinned out to
+    ``rows`` again. A row that falls in no domain, or has a null label, doesn't train.
     """
     domain = F.expr("case " + " ".join(f"when {c} then {i}" for i, c in enumerate(DOMAINS.values())) + " end")
-    able = labels.select("doc_id", domain.alias("domain")).where("doc_id is not null and domain is not null")
+    able = labels.select("doc_id", domain.alias("domain")).where("doc_id is not null and domain is not null").distinct()
     n = able.count()
     if n > rows:
         able = able.where(unit(F.col("doc_id"), 6) < rows / n)
-    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_t")).join(F.broadcast(able), "doc_id").dropDuplicates(["domain", "_t"])
+    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_t")).join(F.broadcast(able), "doc_id")
+    n = sample.count()
+    if n > 2 * rows:
+        sample = sample.where(unit(F.struct("doc_id", "_t"), 7) < rows / n)
+    sample = sample.dropDuplicates(["domain", "_t"])
     sample = staged(sample.select("domain", F.expr(f"array_union({marks_sql('_t')}, {words_sql('_t')})").alias("f")))
     sizes = {r.domain: r.n for r in sample.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     total = sum(sizes.values())
@@ -104,12 +110,11 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[l
     return [r.w for r in top], [[math.log(y / (1 - y)) for y in x] for x in q], prior
 
 
-def with_posteriors(docs: DataFrame, model: tuple[list[str], list[list[float]], list[float]]) -> DataFrame:
-    """``docs`` with ``_tokens`` and ``_p`` (array<double>, in the order of DOMAINS)."""
+def with_posteriors(docs: DataFrame, model: tuple[list[str], list[list[float]], list[float]], keep: list[Column]) -> DataFrame:
+    """``keep`` columns with ``_tokens``, ``_p`` (array<double>, in the order of DOMAINS) and ``_draw``, a number in [0, 1) of the row."""
     words, weights, priors = model
-    text = F.coalesce("text", F.lit(""))
     start = f"array({', '.join(f'{p!r}D' for p in priors)})"
-    base = docs.withColumn("_t", text)
+    base = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_t"), unit(F.struct("doc_id", "text"), 66).alias("_draw"))
     if words:
         lexicon = f"split('{' '.join(words)}', ' ')"
         table = f"array({', '.join('array(' + ', '.join(f'{round(x, 5)!r}D' for x in w) + ')' for w in weights)})"
@@ -122,87 +127,104 @@ def with_posteriors(docs: DataFrame, model: tuple[list[str], list[list[float]],
     return found.withColumn("_p", F.expr(p)).withColumn("_tokens", F.expr(tokens_sql("_t"))).drop("_t", "_f")
 
 
-def rate_of(steps: list[list[float]], scale: float = 1.0) -> Column:
+def rate_of(steps: list[list[float]], scale: float = 1.0, hold: bool = False) -> Column:
     """The rate after ``steps``, from the document's posterior."""
-    if not steps:
-        return F.lit(scale)
-    table = "array(" + ", ".join("array(" + ", ".join(f"{x!r}D" for x in step) + ")" for step in steps) + ")"
-    taken = " + ".join(f"_p[{k}] * s[{k}]" for k in range(len(DOMAINS)))
-    return F.expr(f"aggregate({table}, 1D, (r, s) -> greatest(0D, r - ({taken})))") * F.lit(scale)
+    rate = F.lit(scale)
+    if steps:
+        table = "array(" + ", ".join("array(" + ", ".join(f"{x!r}D" for x in step) + ")" for step in steps) + ")"
+        taken = " + ".join(f"_p[{k}] * s[{k}]" for k in range(len(DOMAINS)))
+        rate = F.expr(f"aggregate({table}, 1D, (r, s) -> greatest(0D, r - ({taken})))") * F.lit(scale)
+    return F.when(held(), F.lit(1.0)).otherwise(rate) if hold else rate
+
+
+def held() -> Column:
+    return F.expr("_p[0] >= array_max(_p)")
 
 
-def fit(members: DataFrame, targets: dict[str, float] = TARGETS) -> tuple[list[list[float]], float, list[float]]:
+def fit(members: DataFrame, targets: dict[str, float] = TARGETS, hold: bool = False) -> tuple[list[list[float]], float, list[float]]:
     """Steps and scale for ``rate_of``, from the columns _tokens and _p, and the share of the tokens that each domain reaches.
 
-    A step is the gradient times the inverse of the Gram matrix of the documents
-    that are free to move (those of a rate above 0), a step size for each
-    direction. It is halved for as long as it would leave the targets farther off.
+    What should vanish: without ``hold``, each domain's total less its target, at
+    the first domain's tokens; with it, each further domain's total less what the
+    first one's total asks of it.
     """
     names, ks = list(DOMAINS), range(len(DOMAINS))
+    wanted = np.array([targets[n] for n in names]) / sum(targets.values())
 
     def measured(steps):
-        weighed = members.select(F.col("_tokens").cast("double").alias("t"), "_p", rate_of(steps).alias("r"))
-        free = F.when(F.col("r") > 0, F.col("t")).otherwise(0.0)
+        weighed = members.select(F.col("_tokens").cast("double").alias("t"), "_p", rate_of(steps, hold=hold).alias("r"), (held() if hold else F.lit(False)).alias("held"))
+        free = F.when((F.col("r") > 0) & ~F.col("held"), F.col("t")).otherwise(0.0)
         sums = [F.sum(F.col("r") * F.col("t") * F.col("_p")[k]).alias(f"s{k}") for k in ks]
         row = weighed.agg(*sums, *[F.sum(free * F.col("_p")[i] * F.col("_p")[j]).alias(f"g{i}{j}") for i in ks for j in ks]).first()
         return np.array([row[f"s{k}"] or 0.0 for k in ks]), np.array([[row[f"g{i}{j}"] or 0.0 for j in ks] for i in ks])
 
     def shares(s):
-        return [float(x / max(s.sum(), 1e-9)) for x in s]
+        return s / max(s.sum(), 1e-9)
 
     have, gram = measured([])
-    if have[0] <= 0:
-        return [], 1.0, shares(have)
-    unmoved = have
-    first = float(have[0])
-    want = np.minimum(have[0] / targets[names[0]] * np.array([targets[n] for n in names]), REPEAT * have)
-    live = have > LEAST_SHARE * have.sum()
-    whole = np.diag(np.maximum(gram.diagonal(), 1.0))
+    first, unmoved = float(have[0]), have
+    # a domain that no labelled text has is as good as absent: its posterior is the smoothing's
+    live = [k for k in ks if shares(have)[k] > 1e-9]
+    if first <= 0 or wanted[0] <= 0 or len(live) < 2:
+        return [], 1.0, shares(have).tolist()
+    wanted = np.where(np.isin(ks, live), wanted, 0.0)
+    wanted /= wanted.sum()
+    want = first / wanted[0] * wanted
+    ways = np.eye(len(names))[live]
+    if hold:
+        ways = ways[[k for k, d in enumerate(live) if d]] - np.outer(wanted[[d for d in live if d]] / wanted[0], np.eye(len(names))[0])
+
+    def left(s):
+        return ways @ (s if hold else s - want)
 
     def apart(s):
-        return float(np.max(np.abs(s - want)[live] / np.maximum(want[live], 1.0)))
+        return float(np.max(np.abs(shares(s) - wanted)[live] / np.maximum(wanted[live], 1e-3)))
 
     steps: list[list[float]] = []
     for _ in range(STEPS):
         if apart(have) <= CLOSE:
             break
-        step = np.linalg.solve(gram + 1e-4 * whole, have - want) * live
-        for _ in range(6):
+        inner = ways @ gram @ ways.T
+        step = ways.T @ np.linalg.solve(inner + 1e-6 * np.diag(np.maximum(inner.diagonal(), 1.0)), left(have))
+        for _ in range(8):
             tried = [*steps, [float(x) for x in step]]
             new, new_gram = measured(tried)
-            if apart(new) < apart(have):
+            if np.linalg.norm(left(new)) < np.linalg.norm(left(have)):
                 break
             step = step / 2
         else:
             break
         steps, have, gram = tried, new, new_gram
-    return (steps, first / float(have[0]), shares(have)) if have[0] > 1e-6 * first else ([], 1.0, shares(unmoved))
+    if have[0] <= 1e-6 * first:
+        return [], 1.0, shares(unmoved).tolist()
+    return steps, 1.0 if hold else first / float(have[0]), shares(have).tolist()
 
 
-def rates(docs: DataFrame, labels: DataFrame, keep: list[str], targets: dict[str, float] = TARGETS) -> DataFrame:
+def rates(docs: DataFrame, labels: DataFrame, keep: list[str], targets: dict[str, float] = TARGETS, hold: bool = False) -> DataFrame:
     """``keep`` columns, n_tokens, the posteriors, ``rate``, ``copies``, and each domain's target and reached share.
 
     ``copies`` is the rate rounded up or down by a hash of doc_id and text, so that
-    its expectation is the rate and copies of a text are drawn apart. The reached
-    share falls short of the target where a domain is scarce. Texts are read once: what the fit reads is written besides.
+    its expectation is the rate and copies of a text are drawn apart. Texts are read once: what the fit reads is written besides.
     """
-    whole = staged(with_posteriors(docs, learn(docs, labels)).select(*keep, "_tokens", "_p", unit(F.struct("doc_id", "text"), 66).alias("_draw")))
-    steps, scale, reached = fit(whole, targets)
-    rate = rate_of(steps, scale)
+    new = {"n_tokens", "rate", "copies", *(f"{x}_{n}" for n in DOMAINS for x in ("p", "target", "reached"))}
+    kept = [c for c in keep if c.lower() not in new]
+    whole = staged(with_posteriors(docs, learn(docs, labels), [F.struct(*[quoted(c) for c in kept], F.lit(0).alias("_")).alias("_row")]))
+    steps, scale, reached = fit(whole, targets, hold)
+    rate = rate_of(steps, scale, hold)
     named = [F.col("_p")[k].alias(f"p_{n}") for k, n in enumerate(DOMAINS)]
     ends = [F.lit(float(x)).alias(f"{what}_{n}") for k, n in enumerate(DOMAINS) for what, x in (("target", targets[n]), ("reached", reached[k]))]
-    return whole.select(*keep, F.col("_tokens").alias("n_tokens"), *named, rate.alias("rate"), copies(rate).alias("copies"), *ends)
+    back = [F.col("_row").getField(c).alias(c) for c in kept]
+    return whole.select(*back, F.col("_tokens").alias("n_tokens"), *named, rate.alias("rate"), copies(rate).alias("copies"), *ends)
 
 
-def copies(rate: Column, near: float = 0.0) -> Column:
-    """A whole number of copies with the rate as its expectation; rates within ``near`` of 1 count as 1."""
-    drawn = F.floor(rate + F.col("_draw"))
-    return F.when(F.abs(rate - 1) <= near, F.lit(1)).otherwise(drawn).cast("int")
+def copies(rate: Column) -> Column:
+    """A whole number of copies with the rate as its expectation."""
+    return F.floor(rate + F.col("_draw")).cast("int")
 
 
-def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, near: float = 0.1) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, hold: bool = True) -> DataFrame:
     """``docs`` with each row as often as its rate says; columns as they were."""
-    whole = staged(with_posteriors(docs, learn(docs, labels)).withColumn("_draw", unit(F.struct("doc_id", "text"), 66)))
-    steps, scale, _ = fit(whole, targets)
-    drawn = whole.withColumn("_copies", copies(rate_of(steps, scale), near))
-    return drawn.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = staged(with_posteriors(docs, learn(docs, labels), [packed(docs).alias("_row")]))
+    steps, scale, _ = fit(whole, targets, hold)
+    drawn = whole.withColumn("_copies", copies(rate_of(steps, scale, hold)))
+    return drawn.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*unpacked(docs))
