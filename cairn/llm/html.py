@@ -2,26 +2,34 @@
 
 A page becomes a tree of elements, leniently: unclosed and stray tags are put
 right as browsers do for the common cases, comments and what is never shown
-(scripts, styles, the head, controls, embedded objects) are left out. Each
-element gets statistics: its tag's kind, tokens of its class, id and role, text
-and link density of its subtree, depth, and where it stands among its siblings.
-Gradient-boosted trees give the odds that it holds main text. Decoding is
-hierarchical: the likeliest labelling of the tree in which nothing below a
-dropped element is kept, found from the leaves up.
+(scripts, styles, controls, drawings) are left out. Text that stands in the page
+or its body, in no other block, gets an element of its own. Each element gets
+statistics: its tag's kind, what the tokens of its class, id and role speak for
+(log-odds learned from labelled pages), text and link density of its subtree,
+depth, and where it stands among its siblings. Gradient-boosted trees give the
+odds that it holds main text. Decoding is hierarchical: the likeliest labelling
+of the tree in which nothing below a dropped element is kept, found from the
+leaves up.
 
 The trees learn from invented pages of many layouts, made here from a seed, so
-no page of the corpus takes part in training. Null or empty html has no text.
+no page of the corpus takes part in training. ``python -m cairn.llm.html`` fits
+them and writes MODEL, the file that ``trees`` reads. Null or empty html has no text.
 Character references are decoded, white space inside a block (line breaks, too)
 becomes one space, blocks are trimmed and joined by a blank line in page order.
-Pages of any length are read whole.
+Pages of any length are read whole, in time linear in their length. Repeated rows each get a row. Of
+the kept columns, one named text or n_chars gives way to the new one; other
+columns are neither read nor changed.
 """
 
 from __future__ import annotations
 
+import json
 import random
 import re
+from dataclasses import dataclass
 from functools import lru_cache
 from html import unescape
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -31,189 +39,230 @@ from cairn.llm import gbt
 from cairn.llm.common import with_columns
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Never shown as text.
-HIDDEN = frozenset("head script style noscript template iframe svg math object canvas audio video select textarea button datalist".split())
-#: Their content isn't markup.
-RAW = frozenset("script style textarea title iframe noscript xmp".split())
-BLOCK = frozenset("html body address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre section summary table caption thead tbody tfoot tr td th ul".split())
+#: Their content isn't markup, and never shown.
+RAW = frozenset("script style textarea title iframe noscript".split())
+#: What they hold isn't shown, if they have an end.
+HIDDEN = frozenset("template svg canvas audio video select button datalist".split())
+BLOCK = frozenset("html body address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup legend li main menu nav ol p pre section summary table caption thead tbody tfoot tr td th ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Tags that end an open element of the same row's second part, unless one of its third part stands between.
-CLOSES = {
-    "li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")),
-    "th": ("td th", ("tr", "table")), "tbody": ("thead tbody tr td th", ("table",)), "tfoot": ("thead tbody tr td th", ("table",)), "option": ("option", ("select",)),
-}
-#: An open p stays open across these.
-_P_HOLDS = frozenset("table td th button object body html article section div".split())
-TOKEN = re.compile(r"<(?:!--(?:(?!-->)[\s\S])*+(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?][^>]*>)")
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Tags that a start tag may end, and the tags that part them from it.
+SCOPES = (
+    (("p",), frozenset("table td th caption object body html article section div".split())),
+    (("li",), frozenset("ul ol menu".split())),
+    (("dt", "dd"), frozenset(("dl",))),
+    (("tr", "td", "th"), frozenset(("table",))),
+    (("td", "th"), frozenset(("tr", "table"))),
+    (("thead", "tbody", "tr", "td", "th"), frozenset(("table",))),
+)
+#: The scope (a place in SCOPES) whose elements a start tag ends. Every block ends an open p.
+ENDS = {"li": 1, "dt": 2, "dd": 2, "tr": 3, "td": 4, "th": 4, "tbody": 5, "tfoot": 5}
+#: A tag in its usual form; possessive, so that what it can't read costs one look at it. Any other goes the long way.
+_PLAIN = re.compile(r"""<(/?+)([a-zA-Z][^\s/><]*+)((?:\s++[\w:.-]++(?:=(?:"[^"<>]*+"|'[^'<>]*+'|[^\s"'<>=`]++))?+)*+)\s*+(/?+)>""")
+_NAME, _GAP, _KEY, _IS, _BARE = (re.compile(x) for x in (r"[a-zA-Z][^\s/>]*+", r"[\s/]*+", r"[^\s/>][^\s/>=]*+", r"\s*+=\s*+", r"[^\s>]*+"))
+_ATTRIBUTE = re.compile(r"""\b(?:class|id|role)=(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.I)
 _SPLIT = re.compile(r"[a-z]+")
 
-#: Parts of attribute tokens that speak for and against main text.
-GOOD = ("article", "content", "main", "post", "entry", "story", "body", "text", "blog")
-BAD = ("nav", "menu", "sidebar", "aside", "footer", "header", "comment", "cookie", "consent", "notice", "banner", "promo", "share", "social", "related", "breadcrumb", "widget", "popup", "modal", "newsletter", "subscribe", "login", "form", "reply", "disqus", "copyright", "masthead", "toolbar", "pager", "pagination", "sponsor", "advert")
-BAD_WHOLE = frozenset("ad ads adv advertisement tags tag meta skip search respond rail tools legal".split())
 _KINDS = {
     "nav": 1, "menu": 1, "aside": 2, "footer": 3, "header": 4, "form": 5, "fieldset": 5, "dialog": 5, "article": 10, "main": 10, "section": 9, "body": 8, "html": 8, "div": 7,
-    "p": 12, "blockquote": 12, "pre": 12, "h1": 13, "h2": 14, "h3": 14, "h4": 14, "h5": 14, "h6": 14, "ul": 15, "ol": 15, "dl": 15, "li": 16, "dt": 16, "dd": 16,
+    "loose": 11, "p": 12, "blockquote": 12, "pre": 12, "h1": 13, "h2": 14, "h3": 14, "h4": 14, "h5": 14, "h6": 14, "ul": 15, "ol": 15, "dl": 15, "li": 16, "dt": 16, "dd": 16,
     "table": 17, "thead": 17, "tbody": 17, "tr": 17, "td": 18, "th": 18, "figure": 19, "figcaption": 19, "details": 7, "address": 6,
 }
 FEATURES = (
-    "kind", "good", "bad", "good_above", "bad_above", "kind_above", "log_chars", "log_own", "link_share", "density", "depth", "place",
+    "kind", "tokens_for", "tokens_against", "for_above", "against_above", "kind_above", "log_chars", "log_own", "link_share", "density", "depth", "place",
     "log_siblings", "same_tag", "words_a_block", "sentence_ends", "share_of_page", "headings", "paragraphs", "landmarks_above",
 )
-TREES, DEPTH, PAGES, SEED = 60, 5, 1_000, 3
+TREES, DEPTH, PAGES, SEED = 60, 5, 1_600, 3
+#: Pages that a token must be on for its odds to count, and the letters that a known beginning of an unknown token needs.
+LEAST, STEM = 4, 4
+MODEL = Path(__file__).with_name("html_model.json")
 
 
 class Page:
-    """Elements in page order; element 0 is the page. ``items``: the text runs, each of a block."""
+    """Elements in page order; element 0 is the page."""
 
-    __slots__ = ("tag", "parent", "good", "bad", "own", "links", "block_of", "texts", "runs")
+    __slots__ = ("tag", "parent", "tokens", "own", "links", "block_of", "texts")
 
     def __init__(self):
         self.tag, self.parent = ["html"], [-1]
-        self.good, self.bad = [0], [0]
+        self.tokens: list[list[str]] = [[]]
         #: For each element: characters directly in it and its inline elements, and those of links.
         self.own, self.links = [0], [0]
         #: Blocks of text: their element, and their text.
         self.block_of: list[int] = []
         self.texts: list[str] = []
 
-    def add(self, tag: str, parent: int, attributes: str) -> int:
-        good = bad = 0
-        if attributes and "=" in attributes:
-            for m in _ATTRIBUTE.finditer(attributes):
-                value = (m[2] or m[3] or m[4] or "").lower()
-                for t in _SPLIT.findall(value):
-                    good += t.startswith(GOOD)
-                    bad += t.startswith(BAD) or t in BAD_WHOLE
-        self.tag.append(tag), self.parent.append(parent), self.good.append(good), self.bad.append(bad), self.own.append(0), self.links.append(0)
+    def add(self, tag: str, parent: int, attributes: str = "") -> int:
+        found = [t for m in _ATTRIBUTE.finditer(attributes) for t in _SPLIT.findall((m[1] or m[2] or m[3] or "").lower())] if "=" in attributes else []
+        self.tag.append(tag), self.parent.append(parent), self.tokens.append(found), self.own.append(0), self.links.append(0)
         return len(self.tag) - 1
 
 
-def parse(html: str | None) -> Page:
+class Parser:
     """Block elements become nodes; inline elements only say whether text is of a link."""
-    page = Page()
-    html = html or ""
-    stack: list[tuple[str, int]] = [("html", 0)]  # open elements and the node each belongs to
-    pieces: list[str] = []
-    link_depth = 0
-    at, end = 0, len(html)
-
-    def flush():
-        if pieces:
-            text = " ".join("".join(pieces).split())
-            pieces.clear()
+
+    def __init__(self, html: str):
+        self.html, self.page = html, Page()
+        #: Open elements: tag, node, and for each of SCOPES where its outermost element stands in this list (-1: none).
+        self.stack: list[tuple[str, int, tuple[int, ...]]] = [("html", 0, (-1,) * len(SCOPES))]
+        self.open: dict[str, list[int]] = {"html": [0]}
+        self.blocks = [0]
+        self.pieces: list[str] = []
+        self.chars = self.link_chars = self.hidden = 0
+        self.last_end: dict[str, int] = {}
+        self.no_more: set[str] = set()
+
+    def flush(self) -> None:
+        if self.pieces:
+            text = " ".join("".join(self.pieces).split())
+            self.pieces.clear()
             if text:
-                page.block_of.append(stack[-1][1])
+                page, (tag, node, _) = self.page, self.stack[self.blocks[-1]]
+                if tag in ("html", "body"):
+                    node = page.add("loose", node)
+                page.own[node] += self.chars
+                page.links[node] += self.link_chars
+                page.block_of.append(node)
                 page.texts.append(text)
+        self.chars = self.link_chars = 0
 
-    def text(raw: str):
-        if raw:
+    def text(self, raw: str) -> None:
+        if raw and not self.hidden:
             shown = unescape(raw) if "&" in raw else raw
-            pieces.append(shown)
-            n = len(shown) if not shown.isspace() else 0
-            node = stack[-1][1]
-            page.own[node] += n
-            if link_depth:
-                page.links[node] += n
-
-    def pop_to(k: int):
-        nonlocal link_depth
-        if any(t in BLOCK for t, _ in stack[k:]):
-            flush()
-        link_depth -= sum(t == "a" for t, _ in stack[k:])
-        del stack[k:]
-
-    while at < end:
-        m = TOKEN.search(html, at)
-        if not m:
-            text(html[at:])
-            break
-        text(html[at : m.start()])
-        at = m.end()
-        if not m[2]:
-            continue
-        tag = m[2].lower()
-        if m[1]:  # an end tag
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    pop_to(k)
-                    break
-                if tag not in BLOCK and stack[k][0] in BLOCK and tag != "a":
-                    break
-            else:
-                if tag == "p":
-                    flush()
-            continue
-        if tag in HIDDEN and not m[3].endswith("/"):
-            # skip to its end; only the head may lack one
-            depth, find = 1, re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])", re.I) if tag not in ("head",) else re.compile(r"<(/)head(?=[\s>])|<()body(?=[\s>])", re.I)
-            here = at
-            while depth and (x := find.search(html, here)):
-                here = x.end()
-                if tag == "head":
-                    if x[1] is None:
-                        here = x.start()
-                    depth = 0
-                elif x[1]:
-                    depth -= 1
-                elif tag not in RAW:
-                    depth += 1
-            if not depth:
-                close = html.find(">", here) if html[here : here + 1] != "<" else here - 1
-                at = close + 1 if close >= 0 or here else end
-            elif tag in RAW or tag in ("svg", "math", "template", "object"):
-                at = end
-            pieces.append(" ")
-            continue
-        if tag == "title":
-            x = re.compile(r"</title\s*>", re.I).search(html, at)
-            at = x.end() if x else end
-            continue
-        if tag == "br" or tag == "wbr":
-            pieces.append(" " if tag == "br" else "")
-            continue
-        if tag in VOID:
-            if tag == "hr":
-                flush()
-            continue
+            self.pieces.append(shown)
+            if not shown.isspace():
+                self.chars += len(shown)
+                self.link_chars += len(shown) if self.open.get("a") else 0
+
+    def push(self, tag: str, node: int) -> None:
+        at, scopes = len(self.stack), self.stack[-1][2]
         if tag in BLOCK:
-            if tag in ("html", "body") and len(stack) > 1 and any(t == tag for t, _ in stack):
-                continue
-            if tag == "html":
-                continue
-            # an open p ends where a block starts
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    pop_to(k)
+            scopes = tuple(-1 if tag in walls else at if tag in these and was < 0 else was for (these, walls), was in zip(SCOPES, scopes, strict=True))
+            self.blocks.append(at)
+        self.hidden += tag in HIDDEN
+        self.open.setdefault(tag, []).append(at)
+        self.stack.append((tag, node, scopes))
+
+    def pop_to(self, at: int) -> None:
+        if self.blocks[-1] >= at:
+            self.flush()
+        while len(self.stack) > at:
+            tag = self.stack.pop()[0]
+            self.open[tag].pop()
+            self.hidden -= tag in HIDDEN
+        while self.blocks[-1] >= at:
+            self.blocks.pop()
+
+    def has_end(self, tag: str, at: int) -> bool:
+        """Does an end tag of this name follow? One look through the page for each name."""
+        if tag not in self.last_end:
+            self.last_end[tag] = max((m.start() for m in re.finditer(rf"</{tag}(?=[\s/>])", self.html, re.I)), default=-1)
+        return self.last_end[tag] >= at
+
+    def end_tag(self, tag: str) -> None:
+        where = self.open.get(tag)
+        if not where or where[-1] == 0:
+            if tag == "p":
+                self.flush()
+        elif tag in BLOCK or tag == "a" or where[-1] > self.blocks[-1]:
+            self.pop_to(where[-1])
+
+    def start_tag(self, tag: str, attributes: str, closed: bool) -> None:
+        if tag == "br":
+            self.text(" ")
+        elif tag == "hr":
+            self.flush()
+        elif tag in VOID or tag == "html" or (tag == "body" and self.open.get("body")):
+            pass
+        elif tag in BLOCK:
+            for scope in (0, ENDS.get(tag, 0)):
+                if (at := self.stack[-1][2][scope]) > 0:
+                    self.pop_to(at)
+            self.flush()
+            self.push(tag, self.page.add(tag, self.stack[self.blocks[-1]][1], attributes))
+        elif not (tag in HIDDEN and (closed or not self.has_end(tag, self.at))):
+            self.push(tag, self.stack[-1][1])
+
+    def long_way(self, at: int) -> tuple[str, str, bool, int]:
+        """Name, attributes (in usual form), whether it ends in a slash, and where what follows begins, of a tag at ``at``; -1 if it has no end."""
+        html, end = self.html, len(self.html)
+        name = _NAME.match(html, at)
+        at, found = name.end(), []
+        while True:
+            gap = _GAP.match(html, at)
+            at = gap.end()
+            if at >= end:
+                return name[0], "", False, -1
+            if html[at] == ">":
+                return name[0], " ".join(found), gap[0].endswith("/"), at + 1
+            key = _KEY.match(html, at)
+            at, value = key.end(), ""
+            if is_ := _IS.match(html, at):
+                at, quote = is_.end(), html[is_.end() : is_.end() + 1]
+                close = html.find(quote, at + 1) if quote in ('"', "'") and quote not in self.no_more else -1
+                if close >= 0:
+                    at, value = close + 1, html[at + 1 : close]
+                else:
+                    if quote in ('"', "'"):
+                        self.no_more.add(quote)
+                    value = _BARE.match(html, at)[0]
+                    at += len(value)
+            if key[0].lower() in ("class", "id", "role"):
+                found.append(f'{key[0]}="{value.replace(chr(34), "")}"')
+
+    def run(self) -> Page:
+        html, end, self.at = self.html, len(self.html), 0
+        while self.at < end:
+            start = html.find("<", self.at)
+            if start < 0:
+                self.text(html[self.at :])
+                break
+            self.text(html[self.at : start])
+            after = html[start + 1 : start + 3]
+            if after[:1].isascii() and after[:1].isalpha() or after[:1] == "/" and after[1:].isascii() and after[1:].isalpha():
+                if m := _PLAIN.match(html, start):
+                    ends, name, attributes, closed, self.at = bool(m[1]), m[2], m[3], bool(m[4]), m.end()
+                else:
+                    ends = after[0] == "/"
+                    name, attributes, closed, self.at = self.long_way(start + 1 + ends)
+                if self.at < 0:
                     break
-                if stack[k][0] in _P_HOLDS:
-                    break
-            if tag in CLOSES:
-                these, wall = CLOSES[tag][0].split(), CLOSES[tag][1]
-                cut = 0
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in wall:
+                tag = name.lower()
+                if ends:
+                    self.end_tag(tag)
+                elif tag in RAW:
+                    if not self.has_end(tag, self.at):
                         break
-                    if stack[k][0] in these:
-                        cut = k
-                        if tag in ("li", "option"):
-                            break
-                if cut:
-                    pop_to(cut)
-            flush()
-            if m[3].endswith("/") and tag not in ("p",):
-                pass
-            node = page.add(tag, stack[-1][1], m[3])
-            stack.append((tag, node))
-        else:
-            link_depth += tag == "a"
-            stack.append((tag, stack[-1][1]))
-    flush()
-    return page
-
-
-def features(page: Page) -> np.ndarray:
+                    self.at = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, self.at).end()
+                    close = html.find(">", self.at)
+                    self.at = close + 1 if close >= 0 else end
+                else:
+                    self.start_tag(tag, attributes, closed)
+            elif html.startswith("!--", start + 1):
+                close = html.find("-->", start + 2)
+                self.at = close + 3 if close >= 0 else end
+            elif after[:1] in ("!", "?") or (after[:1] == "/" and len(after) == 2):
+                close = html.find(">", start + 1)
+                self.at = close + 1 if close >= 0 else end
+            else:
+                self.text("<")
+                self.at = start + 1
+        self.flush()
+        return self.page
+
+
+def parse(html: str | None) -> Page:
+    return Parser(html or "").run()
+
+
+def odds_of(token: str, odds: dict[str, float]) -> float:
+    """What a token of an attribute speaks for; an unknown one goes by its longest known beginning."""
+    for n in range(len(token), STEM - 1, -1) if token not in odds else (len(token),):
+        if (found := odds.get(token[:n])) is not None:
+            return found
+    return 0.0
+
+
+def features(page: Page, odds: dict[str, float]) -> np.ndarray:
     n = len(page.tag)
     parent = page.parent
     chars, links, tags, blocks, heads, paras, ends = page.own[:], page.links[:], [1] * n, [0] * n, [0] * n, [0] * n, [0] * n
@@ -240,13 +289,15 @@ def features(page: Page) -> np.ndarray:
         heads[p] += heads[i]
         paras[p] += paras[i]
         ends[p] += ends[i]
-    depth, good_above, bad_above, marks = [0] * n, [0] * n, [0] * n, [0] * n
+    spoken = [[odds_of(t, odds) for t in tokens] for tokens in page.tokens]
+    speaks_for, against = [max([0.0, *x]) for x in spoken], [min([0.0, *x]) for x in spoken]
+    depth, for_above, against_above, marks = [0] * n, [0.0] * n, [0.0] * n, [0] * n
     kinds = [_KINDS.get(t, 7) for t in page.tag]
     for i in range(1, n):
         p = parent[i]
         depth[i] = depth[p] + 1
-        good_above[i] = min(3, good_above[p] + page.good[p])
-        bad_above[i] = min(3, bad_above[p] + page.bad[p])
+        for_above[i] = max(for_above[p], speaks_for[p])
+        against_above[i] = min(against_above[p], against[p])
         marks[i] = 2 if kinds[p] == 10 else marks[p]
     whole = max(1, chars[0])
     rows = np.empty((n, len(FEATURES)))
@@ -255,10 +306,10 @@ def features(page: Page) -> np.ndarray:
     p = np.maximum(np.array(parent), 0)
     kids = np.array(children, float)
     rows[:, 0] = kinds
-    rows[:, 1] = np.minimum(page.good, 3)
-    rows[:, 2] = np.minimum(page.bad, 3)
-    rows[:, 3] = good_above
-    rows[:, 4] = bad_above
+    rows[:, 1] = speaks_for
+    rows[:, 2] = against
+    rows[:, 3] = for_above
+    rows[:, 4] = against_above
     rows[:, 5] = np.array(kinds)[p]
     rows[:, 6] = np.log1p(c)
     rows[:, 7] = np.log1p(page.own)
@@ -288,10 +339,10 @@ def decode(page: Page, odds: np.ndarray) -> str:
         drop[p] += drop[i]
         keep[p] += max(keep[i], drop[i])
     kept = [False] * n
-    kept[0] = True  # the page itself
+    kept[0] = True  # the page itself, whose text is in elements of their own
     for i in range(1, n):
         kept[i] = kept[page.parent[i]] and keep[i] > drop[i]
-    return "\n\n".join(t for b, t in zip(page.block_of, page.texts, strict=True) if kept[b] and b)
+    return "\n\n".join(t for b, t in zip(page.block_of, page.texts, strict=True) if kept[b])
 
 
 # --- invented pages to learn from -------------------------------------------
@@ -423,27 +474,67 @@ class Invented:
             whole = f"<div{self.attr('wrapper', 'page', 'container', 'site')}>{whole}</div>"
         return f"<html><head><title>{self.words(1, 5)}</title></head><body>{whole}</body></html>"
 
-
-@lru_cache(2)
-def trees(pages: int = PAGES, seed: int = SEED) -> gbt.Trees:
-    """Trees learned from ``pages`` invented pages; no corpus takes part, so the bound is that number."""
-    made, xs, ys = Invented(seed), [], []
-    for _ in range(pages):
-        page = parse(made.page())
+    def bare_page(self) -> str:
+        """Little or no layout: all text, or all but a menu or a footer, is main text, in few elements or none."""
+        r = self.r
+        marked = lambda s: re.sub(r"(^|>)([^<]*[^<\s][^<]*)", lambda m: m[1] + "\x01" + m[2], s)
+        loose = lambda: marked(self.inline(self.prose(4)))
+        body = self.pick(loose, lambda: marked(f"<h1>{self.words(1, 6)}</h1><p>{self.sentence(2, 12)}</p>"), lambda: marked(self.main_blocks()), lambda: loose() + marked(self.main_blocks()), lambda: "<hr>".join(loose() for _ in range(r.randint(2, 5))), lambda: marked(f"<p>{self.prose(3)}</p>"))
+        if r.random() < 0.4:
+            body = f"<div>{body}</div>"
+        body = (self.nav() if r.random() < 0.3 else "") + body + (self.footer() if r.random() < 0.3 else "")
+        return f"<html><body>{body}</body></html>" if r.random() < 0.5 else body
+
+
+@dataclass(frozen=True)
+class Model:
+    odds: dict[str, float]
+    trees: gbt.Trees
+
+
+def labelled(count: int, seed: int) -> list[tuple[Page, list[bool]]]:
+    """Invented pages, and which of their elements hold main text."""
+    made, out = Invented(seed), []
+    for _ in range(count):
+        page = parse(made.page() if made.r.random() < 0.8 else made.bare_page())
         holds = [False] * len(page.tag)
         for b, t in zip(page.block_of, page.texts, strict=True):
             holds[b] |= "\x01" in t
         for i in range(len(page.tag) - 1, 0, -1):
             holds[page.parent[i]] |= holds[i]
-        xs.append(features(page)[1:]), ys.append(np.array(holds[1:], float))
-    return gbt.fit(np.concatenate(xs), np.concatenate(ys), trees=TREES, depth=DEPTH, rate=0.2)
+        out.append((page, holds))
+    return out
+
+
+def learn(pages: int = PAGES, seed: int = SEED) -> Model:
+    """Token odds from half of ``pages`` invented pages and trees from the other half; no corpus takes part, so the bound is that number."""
+    first, second = labelled(pages // 2, seed), labelled(pages - pages // 2, seed + 1)
+    counts: dict[str, list[int]] = {}
+    for page, holds in first:
+        for tokens, held in {(t, h) for ts, h in zip(page.tokens, holds, strict=True) for t in ts}:
+            counts.setdefault(tokens, [0, 0])[held] += 1
+    odds = {t: round(float(np.log((c[1] + 0.5) / (c[0] + 0.5))), 4) for t, c in sorted(counts.items()) if sum(c) >= LEAST}
+    x = np.concatenate([features(p, odds)[1:] for p, _ in second])
+    return Model(odds, gbt.fit(x, np.concatenate([np.array(h[1:], float) for _, h in second]), trees=TREES, depth=DEPTH, rate=0.2))
 
 
-def extract(htmls: list[str | None], model: gbt.Trees) -> list[str]:
+def write(model: Model) -> None:
+    t = model.trees
+    flat = {"odds": model.odds, "base": t.base, "feature": t.feature.tolist(), "cut": [[repr(float(c)) for c in row] for row in t.cut], "leaf": t.leaf.tolist()}
+    MODEL.write_text(json.dumps(flat))
+
+
+@lru_cache(1)
+def trees() -> Model:
+    flat = json.loads(MODEL.read_text())
+    return Model(flat["odds"], gbt.Trees(np.array(flat["feature"], np.int64), np.array([[float(c) for c in row] for row in flat["cut"]]), np.array(flat["leaf"]), flat["base"]))
+
+
+def extract(htmls: list[str | None], model: Model) -> list[str]:
     pages = [parse(h) for h in htmls]
-    x = [features(p) for p in pages]
+    x = [features(p, model.odds) for p in pages]
     sizes = np.cumsum([len(v) for v in x])[:-1]
-    odds = np.concatenate([model.raw(v) for v in np.array_split(np.concatenate(x), max(1, sum(map(len, x)) // 4096))]) if x else np.zeros(0)
+    odds = np.concatenate([model.trees.raw(v) for v in np.array_split(np.concatenate(x), max(1, sum(map(len, x)) // 4096))]) if x else np.zeros(0)
     return [decode(p, o) for p, o in zip(pages, np.split(odds, sizes), strict=True)]
 
 
@@ -459,3 +550,7 @@ def main_text(pages: DataFrame, keep: list[str]) -> DataFrame:
         return step
 
     return with_columns(pages, keep, F.col("html"), make, "text string, n_chars bigint")
+
+
+if __name__ == "__main__":
+    write(learn())
