@@ -8,19 +8,26 @@ is verified on its full n-gram sets.
 1. Equal texts form a copy class. Classes come from partial sums over a hash of
    the text, so a group of copies of any size is one class and one
    representative (the lowest doc_id) works for it.
-2. Representatives that share a band hash form candidate groups: the connected
-   components of bands and representatives.
-3. A group is cut into blocks of bounded weight by a hash of its members, and
+2. Representatives that share a band hash are candidates. They are compared
+   within their component of shared bands where that is tight, as among the
+   versions of one text, and else band by band: whichever asks for fewer pairs.
+   So a chain of boilerplate through the corpus costs its candidate pairs, never
+   the square of its length. Bands of equal members count once, and a pair
+   is compared in the first band that it shares.
+3. Such a set is cut into blocks of bounded weight by a hash of its members, and
    each pair of blocks is one unit of work. A unit compares all its texts by
    products of n-gram incidence matrices and returns, for each text, how many
    documents it is linked to, and a spanning forest of the links: what it
-   returns is as large as what it reads, never the pairs themselves.
+   returns is as large as what it reads, never the pairs themselves. Units are
+   dealt by range, so that those of one large set spread over tasks.
 4. Near-duplicate classes are the components of those forests.
 
 Words are split at white space, case counts. A text of one to four words has one
 n-gram, all its words; a null text counts as empty; texts without a word are
 copies of each other if they are equal, and have no other link. Rows of equal
 doc_id and text count as copies of each other. Null doc_ids come first in order.
+Texts of any length are read whole. ``near_join`` reads no column but doc_id and
+text; ``one_of_each`` leaves columns of any name as they are.
 """
 
 from __future__ import annotations
@@ -37,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from cairn.llm.common import staged, with_columns
+from cairn.llm.common import packed, staged, unpacked, with_columns
 from cairn.shipping import ship
 
 NGRAM, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 128
@@ -136,22 +143,23 @@ def components(edges: DataFrame) -> DataFrame:
     both = staged(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = staged(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        hooked = labels.join(near, labels.node == near.a).select("node", F.least("label", "near").alias("to"), F.col("label").alias("was"))
-        up = labels.select(F.col("node").alias("to"), F.col("label").alias("above"))
-        new = staged(hooked.join(up, "to").select("node", F.least("to", "above").alias("label"), "was"))
-        labels = new.select("node", "label")
-        if new.where("label != was").isEmpty():
-            return labels
+        known = labels.select("node", "label")
+        near = both.join(known.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
+        hooked = known.join(near, known.node == near.a).select("node", F.least("label", "near").alias("to"), F.col("label").alias("was"))
+        up = known.select(F.col("node").alias("to"), F.col("label").alias("above"))
+        labels = staged(hooked.join(up, "to").select("node", F.least("to", "above").alias("label"), "was"), labels)
+        if labels.where("label != was").isEmpty():
+            return labels.select("node", "label")
 
 
 OUT = "_key binary, _links bigint, _peer binary"
 
 
-def links_in(texts: list[str], keys: list[bytes], sizes: list[int], left: np.ndarray, same: bool, threshold: float, n: int) -> Iterator[tuple[int, int, list[int]]]:
+def links_in(texts: list[str], keys: list[bytes], sizes: list[int], left: np.ndarray, same: bool, threshold: float, n: int, before: np.ndarray | None = None) -> Iterator[tuple[int, int, list[int]]]:
     """For each text: the place, the documents it is linked to, and the places it is joined to in a spanning forest.
 
-    ``left``: which texts are of the first block; ``same``: both blocks are one.
+    ``left``: which texts are of the first block; ``same``: both blocks are one;
+    ``before``: the texts' hashes of earlier bands, where pairs that share one were compared.
     """
     sets = [grams(t, n) for t in texts]
     count = np.array([len(s) for s in sets], np.float64)
@@ -180,6 +188,8 @@ def links_in(texts: list[str], keys: list[bytes], sizes: list[int], left: np.nda
                 common += dense[rows] @ dense[cols].T
     alike = common >= threshold * (count[rows][:, None] + count[cols][None, :] - common) - 1e-6
     alike &= common > 0
+    for band in range(0 if before is None else before.shape[1]):
+        alike &= before[rows, band][:, None] != before[cols, band][None, :]
     if same:
         np.fill_diagonal(alike, False)
     weight = np.array(sizes, np.int64)
@@ -207,19 +217,22 @@ def links_in(texts: list[str], keys: list[bytes], sizes: list[int], left: np.nda
 
 
 def verified(units: DataFrame, threshold: float, n: int) -> DataFrame:
-    """OUT rows for units of (_group, _lo, _hi): links of each key, and forest edges (_peer) with no links."""
+    """OUT rows for units of (_unit, _lo, _hi): links of each key, and forest edges (_peer) with no links."""
     ship(units.sparkSession)
     out = T.StructType.fromDDL(OUT)
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def finish(rows):
-            keys, texts, sizes, left = [], [], [], []
-            for key, size, text, mine in rows:
+            keys, texts, sizes, left, bands = [], [], [], [], []
+            for key, size, text, mine, at, hashes in rows:
                 if not keys or keys[-1] != key:
                     keys.append(key), sizes.append(size), texts.append(text), left.append(mine)
+                    if at is not None:
+                        bands.append(hashes[:at])
             made: dict[str, list] = {"_key": [], "_links": [], "_peer": []}
-            for i, links, peers in links_in(texts, keys, sizes, np.array(left, bool), same, threshold, n):
+            before = np.array(bands, np.int64).reshape(len(keys), -1) if bands else None
+            for i, links, peers in links_in(texts, keys, sizes, np.array(left, bool), same, threshold, n, before):
                 if links:
                     made["_key"].append(keys[i]), made["_links"].append(links), made["_peer"].append(None)
                 for j in peers:
@@ -229,22 +242,22 @@ def verified(units: DataFrame, threshold: float, n: int) -> DataFrame:
         held: dict[str, list] = {"_key": [], "_links": [], "_peer": []}
         current, rows, same = None, [], False
         for batch in batches:
-            for group, lo, hi, block, key, size, text in zip(*[batch.column(i).to_pylist() for i in range(7)], strict=True):
-                if (group, lo, hi) != current:
+            for unit, lo, hi, block, key, size, text, at, hashes in zip(*[batch.column(i).to_pylist() for i in range(9)], strict=True):
+                if (unit, lo, hi) != current:
                     if len(rows) > 1:
                         for k, v in finish(rows).items():
                             held[k] += v
                         if len(held["_key"]) > 4096:
                             yield pa.RecordBatch.from_pydict(held, schema=arrow)
                             held = {k: [] for k in held}
-                    current, rows, same = (group, lo, hi), [], lo == hi
-                rows.append((key, size, text, block == lo))
+                    current, rows, same = (unit, lo, hi), [], lo == hi
+                rows.append((key, size, text, block == lo, at, hashes))
         if len(rows) > 1:
             for k, v in finish(rows).items():
                 held[k] += v
         yield pa.RecordBatch.from_pydict(held, schema=arrow)
 
-    return units.select("_group", "_lo", "_hi", "_block", "_key", "_size", "_text").mapInArrow(run, out)
+    return units.select("_unit", "_lo", "_hi", "_block", "_key", "_size", "_text", "_at", "_hashes").mapInArrow(run, out)
 
 
 def _id_of() -> Column:
@@ -255,33 +268,49 @@ def _key_of() -> Column:
     return F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
 
 
+def _blocks(texts: str, grams_: str) -> Column:
+    return F.expr(f"cast(greatest(1, ceil({texts} / {BLOCK_TEXTS}), ceil({grams_} / {BLOCK_GRAMS})) as int)").alias("_blocks")
+
+
+def candidates(reps: DataFrame) -> DataFrame:
+    """Sets to compare: _unit, _blocks, _at (the band, null for a component), and _key, _rep, _size and _hashes (all bands, with _at) of each member."""
+    banded = reps.select("_key", "_grams", F.posexplode("_bands").alias("at", "band"))
+    met = banded.groupBy("at", "band").agg(F.min("_key").alias("low"), F.max("_key").alias("high"), F.count("*").alias("n"), F.expr("bit_xor(xxhash64(_key))").alias("x"), F.sum("_grams").alias("g"))
+    met = staged(met.where("low != high").drop("high"))
+    edges = banded.join(met.select("at", "band", "low"), ["at", "band"]).where("_key != low").select(F.col("_key").alias("a"), F.col("low").alias("b"))
+    groups = components(edges)
+    members = staged(reps.join(groups, reps._key == groups.node).select("_key", "_rep", "_size", "_grams", "_bands", F.col("label").alias("_group")))
+    buckets = met.join(groups.select(F.col("node").alias("low"), F.col("label").alias("_group")), "low")
+    buckets = staged(buckets.groupBy("_group", "n", "x").agg(F.min(F.struct("at", "band", "g")).alias("first")).select("_group", "n", "first.*"), met)
+    whole = members.groupBy("_group").agg(F.count("*").alias("m"), F.sum("_grams").alias("g"))
+    parts = buckets.groupBy("_group").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"))
+    sized = staged(whole.join(parts, "_group").select("_group", _blocks("m", "g"), (F.col("pairs") < F.col("m") * F.col("m")).alias("loose")))
+    tight = members.join(sized.where("not loose"), "_group").select(F.col("_group").alias("_unit"), "_blocks", F.lit(None).cast("int").alias("_at"), "_key", "_rep", "_size", F.lit(None).cast("array<bigint>").alias("_hashes"))
+    bands = buckets.join(sized.where("loose").select("_group"), "_group").select(F.col("at").alias("_at"), "band", _blocks("n", "g"))
+    within = members.select("_key", "_rep", "_size", F.col("_bands").alias("_hashes"), F.posexplode("_bands").alias("_at", "band"))
+    loose = within.join(bands, ["_at", "band"]).select(F.unhex(F.lpad(F.hex("band"), 16, F.lit("0"))).alias("_unit"), "_blocks", "_at", "_key", "_rep", "_size", "_hashes")
+    return staged(tight.unionByName(loose), members, buckets, sized)
+
+
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
     """Rows (_id, _key, ...) and copy classes (_key, _rep, _size, _links, _class: the lowest id of the near-duplicate class)."""
     bands, rows = plan_bands(threshold, recall)
     rows_of = staged(signatures(docs, bands, rows, n))
-    classes = rows_of.groupBy("_key").agg(F.min("_id").alias("_rep"), F.count("*").alias("_size"), F.first("_grams").alias("_grams"), F.first("_bands").alias("_bands"))
-    reps = staged(classes)
-    banded = reps.select("_key", F.explode("_bands").alias("band"))
-    met = banded.groupBy("band").agg(F.min("_key").alias("low"), F.max("_key").alias("high")).where("low != high").select("band", "low")
-    edges = banded.join(staged(met), "band").where("_key != low").select(F.col("_key").alias("a"), F.col("low").alias("b"))
-    groups = components(edges)
-    members = staged(reps.join(groups, reps._key == groups.node).select("_key", "_rep", "_size", "_grams", F.col("label").alias("_group")))
-    sized = staged(members.groupBy("_group").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("_grams") / BLOCK_GRAMS)).cast("int").alias("_blocks")))
-    dealt = members.join(sized, "_group").withColumn("_block", F.expr("cast(pmod(xxhash64(_key), _blocks) as int)"))
+    reps = staged(rows_of.groupBy("_key").agg(F.min("_id").alias("_rep"), F.count("*").alias("_size"), F.first("_grams").alias("_grams"), F.first("_bands").alias("_bands")))
+    dealt = candidates(reps).withColumn("_block", F.expr("cast(pmod(xxhash64(_key), _blocks) as int)"))
     texts = docs.select(_id_of().alias("_rep"), _key_of().alias("_key"), F.coalesce("text", F.lit("")).alias("_text"))
-    held = texts.join(dealt, ["_key", "_rep"])
-    units = held.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(
-        "_group", F.least("_block", "_other").alias("_lo"), F.greatest("_block", "_other").alias("_hi"), "_block", "_key", "_size", "_text"
-    )
-    units = units.repartition("_group", "_lo", "_hi").sortWithinPartitions("_group", "_lo", "_hi", "_key")
+    units = texts.join(dealt, ["_key", "_rep"]).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    units = units.select("_unit", F.least("_block", "_other").alias("_lo"), F.greatest("_block", "_other").alias("_hi"), "_block", "_key", "_size", "_text", "_at", "_hashes")
+    units = units.repartitionByRange("_unit", "_lo", "_hi").sortWithinPartitions("_unit", "_lo", "_hi", "_key")
     found = staged(verified(units, threshold, n))
     links = found.groupBy("_key").agg(F.sum("_links").alias("_links"))
     forest = components(found.where("_peer is not null").select(F.col("_key").alias("a"), F.col("_peer").alias("b")))
     labelled = forest.join(reps.select(F.col("_key").alias("node"), "_rep"), "node")
     lowest = labelled.groupBy("label").agg(F.min("_rep").alias("_class"))
     named = staged(labelled.join(lowest, "label").select(F.col("node").alias("_key"), "_class"))
-    told = reps.select("_key", "_rep", "_size").join(staged(links), "_key", "left").join(named, "_key", "left")
-    told = staged(told.select("_key", "_rep", "_size", F.coalesce("_links", F.lit(0)).alias("_links"), F.coalesce("_class", "_rep").alias("_class")))
+    links = staged(links, found)
+    told = reps.select("_key", "_rep", "_size").join(links, "_key", "left").join(named, "_key", "left")
+    told = staged(told.select("_key", "_rep", "_size", F.coalesce("_links", F.lit(0)).alias("_links"), F.coalesce("_class", "_rep").alias("_class")), reps, links, named)
     return rows_of, told
 
 
@@ -305,5 +334,5 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM) -
     """``docs`` with one row of each near-duplicate class: the lowest doc_id's (of several such rows, that of the lowest hash of the text)."""
     classes = near_classes(docs, threshold, n)[1]
     kept = classes.groupBy("_class").agg(F.min(F.struct("_rep", "_key")).alias("_first")).select("_first._rep", "_first._key")
-    held = docs.withColumns({"_rep": _id_of(), "_key": _key_of()}).join(kept, ["_key", "_rep"], "left_semi")
-    return held.dropDuplicates(["_key", "_rep"]).drop("_key", "_rep")
+    held = docs.select(packed(docs).alias("_row"), _id_of().alias("_rep"), _key_of().alias("_key")).join(kept, ["_key", "_rep"], "left_semi")
+    return held.dropDuplicates(["_key", "_rep"]).select(*unpacked(docs))

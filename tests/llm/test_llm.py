@@ -254,3 +254,20 @@ def test_pipeline(spark):
         d = spark.createDataFrame(out.toPandas(), out.schema)
         sizes.append(d.count())
     assert sizes[0] > sizes[1] >= sizes[2] >= sizes[3] >= sizes[4] > 0.6 * sizes[1]
+
+
+def test_near_join_of_a_chain(spark, monkeypatch):
+    """Texts that each share bands with the next only: their component is loose, so pairs are compared band by band."""
+    monkeypatch.setattr(nearjoin, "BLOCK_TEXTS", 8)
+    rng = np.random.default_rng(2)
+    words = [f"c{i}" for i in range(900)]
+    texts = {i: " ".join(words[8 * i : 8 * i + 100]) for i in range(90)}
+    for i in range(90, 120):
+        w = words[8 * (i - 90) : 8 * (i - 90) + 100]
+        w[rng.integers(100)] = f"x{i}"
+        texts[i] = " ".join(w)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    bands, rows = nearjoin.plan_bands()
+    reps = nearjoin.signatures(docs, bands, rows).selectExpr("_key", "_id _rep", "1L _size", "_grams", "_bands")
+    assert nearjoin.candidates(reps).where("_at is not null").count() > 0
+    assert {r.doc_id: (r.n_links, r.class_id) for r in nearjoin.near_join(docs).collect()} == brute(texts)
