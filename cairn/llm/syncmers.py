@@ -12,9 +12,10 @@ without an anchor (as every text under K bytes) has one anchor of its whole
 content, so that equal texts, empty ones too, have equal fingerprints. Likeness
 is the Jaccard index of the sets of anchor hashes.
 
-Documents are ordered by doc_id (null first), then text; the one after the last
-is the first. Null texts count as empty. Repeated rows are documents of their
-own, so a row's next document may be its copy.
+Documents are ordered by doc_id (null first), then by a hash of the text; the one
+after the last is the first. Null texts count as empty. Repeated rows are
+documents of their own, so a row's next document may be its copy. Texts of any
+length are read whole. No column but doc_id and text is read.
 """
 
 from __future__ import annotations
@@ -26,14 +27,18 @@ from cairn.llm.common import let
 
 K, S = 16, 6
 W = K - S + 1
-#: Documents in a range of ids, about, and the most ranges.
+#: Documents in a range, about, and the most ranges, as their bounds pass through the driver: beyond 10 million documents a
+#: range holds more than RANGE_ROWS, and its sort spills.
 RANGE_ROWS, MAX_RANGES = 500, 20_000
 
 
 def anchors_sql(data: str) -> str:
     """array<bigint> of the anchors of the binary ``data`` in text order: start (from 0) * 2**32 + hash."""
     hashes = f"transform(sequence(1, octet_length(b) - {S - 1}), i -> xxhash64(substring(b, i, {S})))"
-    starts = f"filter(sequence(0, size(h) - {W}), i -> array_min(slice(h, i + 1, {W})) = least(h[i], h[i + {W - 1}]))"
+    # the first or the last is the least: each chain of comparisons ends at the first that fails
+    first = " and ".join(f"h[i] <= h[i + {j}]" for j in range(1, W))
+    last = " and ".join(f"h[i + {W - 1}] <= h[i + {j}]" for j in range(W - 1))
+    starts = f"filter(sequence(0, size(h) - {W}), i -> ({first}) or ({last}))"
     packed = f"transform({starts}, i -> shiftleft(cast(i as bigint), 32) | (xxhash64(substring(b, i + 1, {K})) & 4294967295L))"
     return let("b", data, f"if(octet_length(b) < {K}, cast(array() as array<bigint>), {let('h', hashes, packed)})")
 
@@ -49,59 +54,62 @@ def hashes_sql(anchors: str, text: str) -> str:
 
 
 def hex_sql(hashes: str) -> str:
-    return f"array_join(transform({hashes}, a -> lower(lpad(hex(a), 8, '0'))), '')"
+    return f"lower(array_join(transform({hashes}, a -> lpad(hex(a), 8, '0')), ''))"
 
 
 def likeness_sql(a: str, b: str) -> str:
-    return f"cast(size(array_intersect({a}, {b})) as double) / size(array_union({a}, {b}))"
+    """Jaccard index of two arrays without repeats."""
+    return let("n", f"size(array_intersect({a}, {b}))", f"cast(n as double) / (size({a}) + size({b}) - n)")
 
 
-def with_next(docs: DataFrame, key: str, columns: list[str], named: str) -> DataFrame:
-    """``docs`` with a struct ``named`` of the ``columns`` of the row after it by ``key``, then ``columns``.
+def with_next(docs: DataFrame) -> DataFrame:
+    """doc_id and _text of ``docs`` with ``_anchors``, and a struct ``_next`` of the _text and _anchors of the document after it.
 
-    Rows are dealt into ranges of ``key`` that hold about RANGE_ROWS each; the
-    first key of a range also goes, as a guest, to the range before it, and
-    the very first to the last. So the text moves once and no task sees all.
+    Rows are dealt into ranges that hold about RANGE_ROWS each, by doc_id and hash of the
+    text together, so that an id of many documents is split as well. The first
+    document of a range also goes, as a guest, to the range before it, and the
+    very first to the last. So the text moves once and no task sees all.
     """
-    spread = docs.select(F.coalesce(key, F.lit(-(2**63))).alias("k"))
-    n, low = spread.agg(F.count("*"), F.min("k")).first()
+    low = docs.agg(F.min("doc_id")).first()[0] or 0
+    # one number for the order: ids from the least on (0 for null) above 60 bits of a hash
+    high = F.coalesce(F.col("doc_id").cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)") + 1, F.lit(0)).cast("decimal(20,0)")
+    placed = docs.withColumn("_k", (high * F.lit(2**60).cast("decimal(19,0)") + F.shiftrightunsigned(F.xxhash64("_text"), 4)).cast("decimal(38,0)"))
+    n = docs.count()
     ranges = max(1, min(MAX_RANGES, n // RANGE_ROWS))
-    cuts = [low or 0]
     if ranges > 1:
         fractions = ", ".join(repr(i / ranges) for i in range(1, ranges))
-        found = spread.agg(F.expr(f"percentile_approx(k, array({fractions}), {20 * ranges})")).first()[0]
-        cuts = sorted({low, *found})
-    last = len(cuts) - 1
-    bounds = F.array(*[F.lit(c).cast("bigint") for c in cuts])
-    steps = max(1, len(cuts).bit_length())
-    # the last cut that is not above the key, by halving
-    find = (
-        f"aggregate(sequence(1, {steps}), named_struct('lo', 0, 'hi', {last}), (s, i) -> "
-        "if(c[(s.lo + s.hi + 1) div 2] <= _k, named_struct('lo', cast((s.lo + s.hi + 1) div 2 as int), 'hi', s.hi), named_struct('lo', s.lo, 'hi', cast(greatest(s.lo, (s.lo + s.hi + 1) div 2 - 1) as int))), s -> s.lo)"
-    )
-    placed = docs.withColumn("_k", F.coalesce(key, F.lit(-(2**63)))).withColumn("_cuts", bounds)
-    placed = placed.withColumn("_own", F.expr(let("c", "_cuts", find)))
-    first = F.expr("_cuts[_own] = _k")
-    before = F.when(F.col("_own") == 0, F.lit(last)).otherwise(F.col("_own") - 1)
-    placed = placed.withColumn("_at", F.explode(F.when(first, F.array(F.struct(F.col("_own").alias("range"), F.lit(0).alias("guest")), F.struct(before.alias("range"), F.lit(1).alias("guest")))).otherwise(F.array(F.struct(F.col("_own").alias("range"), F.lit(0).alias("guest"))))))
-    return placed.withColumn("_range", F.col("_at.range")).withColumn("_guest", F.col("_at.guest")).drop("_at", "_own", "_cuts").transform(lambda d: _led(d, columns, named))
-
-
-def _led(placed: DataFrame, columns: list[str], named: str) -> DataFrame:
-    w = Window.partitionBy("_range").orderBy("_guest", "_k", *columns)
-    made = placed.repartition("_range").transform(_prepare)
-    led = made.withColumn(named, F.lead(F.struct(*columns, "_anchors")).over(w))
-    return led.where("_guest = 0").drop("_range", "_guest", "_k")
-
-
-def _prepare(df: DataFrame) -> DataFrame:
-    return df.withColumn("_anchors", F.expr(anchors_sql("cast(_text as binary)")))
+        found = placed.agg(F.expr(f"percentile_approx(_k, array({fractions}), {20 * ranges})")).first()[0]
+        # bounds that are documents: the first of each range
+        near = placed.withColumn("_own", F.expr(_range_sql(sorted({0, *map(int, found)}))))
+        cuts = sorted(int(r[0]) for r in near.groupBy("_own").agg(F.min("_k")).select("min(_k)").collect())
+    else:
+        cuts = [int(x) for x in placed.agg(F.min("_k")).first() if x is not None] or [0]
+    placed = placed.withColumn("_own", F.expr(_range_sql(cuts))).withColumn("_first", F.expr(f"{_bounds(cuts)}[_own] = _k"))
+    own = F.struct(F.col("_own").alias("range"), F.lit(0).alias("guest"))
+    guest = F.struct(F.expr(f"if(_own = 0, {len(cuts) - 1}, _own - 1)").alias("range"), F.lit(1).alias("guest"))
+    dealt = placed.select("doc_id", "_text", "_k", F.explode(F.when(F.col("_first"), F.array(own, guest)).otherwise(F.array(own))).alias("_at"))
+    dealt = dealt.select("doc_id", "_text", "_k", F.col("_at.range").alias("_range"), F.col("_at.guest").alias("_guest")).repartition("_range")
+    made = dealt.withColumn("_anchors", F.expr(anchors_sql("cast(_text as binary)")))
+    w = Window.partitionBy("_range").orderBy("_guest", "_k", "_text")
+    return made.withColumn("_next", F.lead(F.struct("_text", "_anchors")).over(w)).where("_guest = 0").select("doc_id", "_text", "_anchors", "_next")
+
+
+def _bounds(cuts: list[int]) -> str:
+    """One literal, once the optimizer has folded it."""
+    return f"cast(split('{' '.join(map(str, cuts))}', ' ') as array<decimal(38,0)>)"
+
+
+def _range_sql(cuts: list[int]) -> str:
+    """The place of the last of ``cuts`` that is not above _k (0 if all are), by halving."""
+    middle = "(s.lo + s.hi + 1) div 2"
+    step = f"if(c[{middle}] <= _k, named_struct('lo', cast({middle} as int), 'hi', s.hi), named_struct('lo', s.lo, 'hi', cast(greatest(s.lo, {middle} - 1) as int)))"
+    return let("c", _bounds(cuts), f"aggregate(sequence(1, {max(1, len(cuts).bit_length())}), named_struct('lo', 0, 'hi', {len(cuts) - 1}), (s, i) -> {step}, s -> s.lo)")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_chars, fingerprint, those of its edited text, and the likenesses."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
-    led = with_next(texts, "doc_id", ["_text"], "_next")
+    led = with_next(texts)
     n, m = F.length("_text"), F.floor(F.length("_text") / 4).cast("int")
     parts = led.select(
         "doc_id", F.col("_text"), n.alias("_n"), F.col("_anchors").alias("_own"), F.col("_next._text").alias("_after_text"), F.col("_next._anchors").alias("_after"),
@@ -118,9 +126,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         "doc_id", F.col("_n").cast("bigint").alias("n_chars"), F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"),
         F.expr(hashes_sql("_own", "_text")).alias("_a"), F.expr(hashes_sql("_edited_anchors", "_edited")).alias("_e"), F.expr(hashes_sql("_after", "_after_text")).alias("_b"),
     )
-    return hashed.select(
+    sets = hashed.select("*", *[F.array_distinct(c).alias(f"{c}s") for c in ("_a", "_e", "_b")])
+    return sets.select(
         "doc_id", "n_chars", "edited_sha256", F.expr(hex_sql("_a")).alias("fingerprint"), F.expr(hex_sql("_e")).alias("edited_fingerprint"),
-        F.expr(likeness_sql("_a", "_e")).alias("near_edited"), F.expr(likeness_sql("_a", "_b")).alias("near_next"),
+        F.expr(likeness_sql("_as", "_es")).alias("near_edited"), F.expr(likeness_sql("_as", "_bs")).alias("near_next"),
     )
 
 
@@ -128,8 +137,3 @@ def anchor_positions(docs: DataFrame, text: str = "text") -> DataFrame:
     """For matching by position: doc_id, start (bytes, from 0) and hash of each anchor."""
     packed = docs.select("doc_id", F.explode(F.expr(anchors_sql(f"cast({text} as binary)"))).alias("a"))
     return packed.select("doc_id", F.expr("shiftright(a, 32)").alias("start"), F.expr("a & 4294967295L").alias("hash"))
-
-
-def edited_text(text: Column, after: Column) -> Column:
-    m = F.floor(F.length(text) / 4).cast("int")
-    return F.concat(F.substring(text, F.lit(1), F.length(text) - m), F.substring(after, F.lit(1), m))
