@@ -283,7 +283,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
         return step
 
-    return with_columns(docs, ["doc_id"], F.col("text"), make, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return with_columns(docs, ["doc_id"], "text", make, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def encode(docs: DataFrame, path: str | None = None, keep: list[str] | None = None) -> DataFrame:
@@ -303,7 +303,7 @@ def encode(docs: DataFrame, path: str | None = None, keep: list[str] | None = No
 
         return step
 
-    return with_columns(docs, keep or ["doc_id"], F.col("text"), make, "ids array<int>, n_tokens bigint")
+    return with_columns(docs, keep or ["doc_id"], "text", make, "ids array<int>, n_tokens bigint")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -314,4 +314,4 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
         tokenizer = tokenizer_of(spec.value)
         return lambda ids: {"decoded": [tokenizer.decode(x or []) for x in ids]}
 
-    return with_columns(encoded, ["doc_id", "ids"], F.col("ids"), make, "decoded string")
+    return with_columns(encoded, ["doc_id", "ids"], "ids", make, "decoded string")

@@ -89,8 +89,8 @@ def crc_mod(col: Column, n: int) -> Column:
     return F.crc32(col.cast("string").cast("binary")) % n
 
 
-def with_columns(df: DataFrame, keep: list[str], source: Column, make: Callable[[], Callable[[list], dict]], adds: str) -> DataFrame:
-    """``keep`` columns of ``df``, untouched, and those of the DDL ``adds``, made from ``source`` in Python workers.
+def with_columns(df: DataFrame, keep: list[str], source: Column | str, make: Callable[[], Callable[[list], dict]], adds: str) -> DataFrame:
+    """``keep`` columns of ``df``, untouched, and those of the DDL ``adds``, made from ``source`` (one of ``keep``, or a column of its own) in Python workers.
 
     ``make()`` runs once a task and returns a function from a list of values to
     the new columns (lists or Arrow arrays of that length). A kept column that has the name of a
@@ -99,17 +99,21 @@ def with_columns(df: DataFrame, keep: list[str], source: Column, make: Callable[
     ship(df.sparkSession)
     added = T.StructType.fromDDL(adds)
     new = {f.name.lower() for f in added}
-    kept = df.select(*[quoted(c) for c in keep if c.lower() not in new], source.alias("_source"))
-    out = T.StructType([*kept.schema.fields[:-1], *added.fields])
+    names = [c for c in keep if c.lower() not in new]
+    own = source not in names if isinstance(source, str) else True
+    columns = [quoted(c) for c in names] + ([quoted(source) if isinstance(source, str) else source] if own else [])
+    kept = df.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)])
+    n, read = len(names), len(names) if own else names.index(source)
+    out = T.StructType([*[T.StructField(c, f.dataType) for c, f in zip(names, kept.schema, strict=False)], *added.fields])
     arrow = list(to_arrow_schema(added))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
             for piece in pieces(batch):
-                made = step(piece.column(piece.num_columns - 1).to_pylist())
+                made = step(piece.column(read).to_pylist())
                 arrays = [x if isinstance(x := made[f.name], pa.Array) else pa.array(x, type=f.type) for f in arrow]
-                yield pa.RecordBatch.from_arrays([*piece.columns[:-1], *arrays], schema=pa.schema([*list(piece.schema)[:-1], *arrow]))
+                yield pa.RecordBatch.from_arrays([*piece.columns[:n], *arrays], schema=pa.schema([*[f.with_name(c) for c, f in zip(names, piece.schema, strict=False)], *arrow]))
 
     return kept.mapInArrow(run, out)
 

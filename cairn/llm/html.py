@@ -549,7 +549,7 @@ def main_text(pages: DataFrame, keep: list[str]) -> DataFrame:
 
         return step
 
-    return with_columns(pages, keep, F.col("html"), make, "text string, n_chars bigint")
+    return with_columns(pages, keep, "html", make, "text string, n_chars bigint")
 
 
 if __name__ == "__main__":

@@ -106,7 +106,7 @@ def train(docs: DataFrame, learn: Column, rows: int = TRAIN_ROWS) -> dict[str, n
 
         return step
 
-    vectors = with_columns(able, ["lang"], F.col("text"), make, "v array<float>").where("v is not null")
+    vectors = with_columns(able, ["lang"], "text", make, "v array<float>").where("v is not null")
     sums = vectors.groupBy("lang").agg(F.count("*").alias("n"), F.array(*[F.sum(F.col("v")[k]) for k in range(DIM)]).alias("v"))
     return {r.lang: np.array(r.v, np.float32) for r in sums.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
 
@@ -127,4 +127,4 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str])
 
         return step
 
-    return with_columns(docs, keep, quoted("text"), make, "lang_pred string, score double")
+    return with_columns(docs, keep, "text", make, "lang_pred string, score double")

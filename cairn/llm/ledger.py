@@ -80,7 +80,7 @@ def ledger(docs: DataFrame, keep: list[str]) -> DataFrame:
 
     bits = [F.when(F.expr(rule), F.lit(BITS[name])).otherwise(0) for name, rule in RULES.items()]
     kept = [c for c in keep if c.lower() != "fail_bits"]
-    return with_columns(docs, kept, F.col("text"), make, ", ".join(f"{m} bigint" for m in MEASURES)).withColumn("fail_bits", reduce(Column.bitwiseOR, bits))
+    return with_columns(docs, kept, "text", make, ", ".join(f"{m} bigint" for m in MEASURES)).withColumn("fail_bits", reduce(Column.bitwiseOR, bits))
 
 
 def passes(policy: str, bits: str = "fail_bits") -> Column:
@@ -102,3 +102,16 @@ def ablations(rows: DataFrame, policy: str) -> DataFrame:
     one = rows.agg(*sums)
     each = F.array(*[F.struct(F.lit(policy).alias("policy"), F.lit(r).alias("rule"), F.col(f"{r}_failed").alias("failed"), F.col(f"{r}_alone").alias("failed_alone"), F.coalesce(f"{r}_always", F.lit(0)).alias("fails_with_bits")) for r in POLICIES[policy]])
     return one.select(F.inline(each))
+
+
+#: The query's columns for DuckDB.
+SQL = rf"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+words AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM docs),
+windows AS (SELECT doc_id, i, [w[i], w[i + 1], w[i + 2]] AS three FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM words)),
+again AS (SELECT doc_id, three FROM windows GROUP BY ALL HAVING count(*) > 1),
+covered AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM windows JOIN again USING (doc_id, three)) GROUP BY 1),
+m AS (SELECT words.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+(len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(ls)::BIGINT AS n_lines,
+len(list_filter(w, lambda x: regexp_matches(x, '\p{{Lu}}') AND NOT regexp_matches(x, '[\p{{Ll}}\p{{Lt}}]')))::BIGINT AS n_upper_words FROM words LEFT JOIN covered USING (doc_id)),
+bits AS (SELECT *, {" + ".join(f"CASE WHEN {rule} THEN {BITS[name]} ELSE 0 END" for name, rule in RULES.items())} AS bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bits & {mask_of("base")} <> 0 AS base_failed, bits & {mask_of("v2")} = 0 AS kept, n_lines, n_upper_words, bits::INTEGER AS fail_bits FROM bits"""

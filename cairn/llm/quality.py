@@ -74,7 +74,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = TRAIN_R
     def make():
         return lambda texts: {"x": [statistics(t) for t in texts]}
 
-    got = with_columns(sample, ["doc_id", "good"], F.col("text"), make, "x array<double>").collect()
+    got = with_columns(sample, ["doc_id", "good"], "text", make, "x array<double>").collect()
     got.sort(key=lambda r: (r.doc_id, r.good, r.x))
     return gbt.fit(np.array([r.x for r in got], float).reshape(-1, len(FEATURES)), np.array([r.good for r in got], float), trees=80)
 
@@ -89,4 +89,4 @@ def score(docs: DataFrame, trees: gbt.Trees, keep: list[str], threshold: float =
 
         return step
 
-    return with_columns(docs, keep, F.col("text"), make, "score double, predicted int")
+    return with_columns(docs, keep, "text", make, "score double, predicted int")
