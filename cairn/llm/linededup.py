@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from cairn.llm.common import let, packed, staged, unpacked
 
 DEPTH, CONSTANT = 2, 0.75
+#: A bitmap of leaves, 16 MB at most, and its pieces of 4 KB.
+BITS, PIECE = 1 << 27, 1 << 15
 #: Possessive, and from the start of a token only: linear in the text.
 _FIELD = r"(?<!\\S)[^\\s0-9@]*+[0-9@]\\S*+"
 
@@ -55,10 +57,24 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(packed(docs).alias("_doc"), k.alias("_k"), F.xxhash64(k, F.col("text")).alias("_row"), F.col("text").alias("_text"))
 
 
-def generalized(lines: DataFrame) -> DataFrame:
-    """leaf, h and template of the lines (n, leaf, h, w) whose leaf holds unlike ones, as far as their constant part is large enough."""
+def mixed_leaves(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The leaves that hold unlike lines, and ``lines`` with ``maybe``: whether their leaf may be one.
+
+    ``maybe`` comes from a bitmap over BITS values of the leaf's hash, in pieces of PIECE bits: its
+    size is bounded, so it is broadcast, and only the lines that it lets through are shuffled
+    with their tokens. Joins with the leaves themselves follow.
+    """
     mixed = staged(lines.where("w is not null").groupBy("leaf").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low != high").select("leaf"))
-    unlike = staged(lines.where("w is not null").join(mixed, "leaf").dropDuplicates(["leaf", "h"]).select("leaf", "h", "n", "w"), mixed)
+    at = f"pmod(leaf, {BITS}L)"
+    bitmaps = mixed.groupBy(F.expr(f"{at} div {PIECE}").alias("piece")).agg(F.expr(f"bitmap_construct_agg({at} % {PIECE})").alias("bits"))
+    found = lines.join(F.broadcast(staged(bitmaps)), F.expr(f"{at} div {PIECE} = piece"), "left")
+    byte = f"cast(conv(hex(substring(bits, cast({at} % {PIECE} div 8 as int) + 1, 1)), 16, 10) as int)"
+    return mixed, found.withColumn("maybe", F.expr(f"w is not null and bits is not null and shiftright({byte}, cast({at} % 8 as int)) & 1 = 1")).drop("piece", "bits")
+
+
+def generalized(lines: DataFrame, mixed: DataFrame) -> DataFrame:
+    """leaf, h and template of the lines (n, leaf, h, w) whose leaf is a mixed one, as far as their constant part is large enough."""
+    unlike = staged(lines.join(mixed, "leaf").dropDuplicates(["leaf", "h"]).select("leaf", "h", "n", "w"))
     places = unlike.select("leaf", "h", "n", F.posexplode("w").alias("at", "token")).where("token != 0")
     constant = staged(places.groupBy("leaf", "at", "token").agg(F.count("*").alias("lines")).where("lines > 1").select("leaf", "at", "token"))
     kept = places.join(constant, ["leaf", "at", "token"]).groupBy("leaf", "h").agg(F.expr("bit_xor(xxhash64(at, token))").alias("x"), F.count("*").alias("m"), F.max("n").alias("n"))
@@ -69,9 +85,12 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     """_k, _row and ``_gone``, the sorted places of the lines that go, for each document that loses some."""
     lines = _keyed(docs).select("_k", "_row", F.expr("posexplode(split(_text, '\\n', -1))").alias("i", "line"))
     lines = staged(lines.select("_k", "_row", "i", F.expr(line_sql("line")).alias("s")).where("s.n > 0").select("_k", "_row", "i", "s.*"))
-    general = generalized(lines)
-    told = lines.select("_k", "_row", "i", "leaf", "h").join(general, ["leaf", "h"], "left")
-    told = staged(told.select("_k", "_row", "i", F.coalesce("template", "h").alias("template")), lines, general)
+    mixed, told = mixed_leaves(lines)
+    general = generalized(told.where("maybe"), mixed)
+    told = told.select("_k", "_row", "i", "leaf", "h", "maybe")
+    exact = told.where("not maybe").select("_k", "_row", "i", F.col("h").alias("template"))
+    fielded = told.where("maybe").join(general, ["leaf", "h"], "left").select("_k", "_row", "i", F.coalesce("template", "h").alias("template"))
+    told = staged(exact.unionByName(fielded), lines, mixed, general)
     who = F.struct("_k", "_row")
     known = told.groupBy("template").agg(F.min(who).alias("first"), F.max(who).alias("last")).where("first != last")
     known = staged(known.select("template", F.col("first._k").alias("first_k"), F.col("first._row").alias("first_row")))
