@@ -18,13 +18,16 @@ LANGUAGES = {
 # Extensions and file names of the default profiles.
 PROFILES = {
     "code": {
-        "extensions": "ts tsx js jsx mjs cjs py pyi go rs java kt c h cpp cxx cc hpp cs rb php swift sh bash zsh sql graphql gql proto gradle dockerfile".split(),
-        "filenames": "dockerfile makefile rakefile gemfile".split(),
+        "extensions": [
+            "ts", "tsx", "js", "jsx", "mjs", "cjs", "py", "pyi", "go", "rs", "java", "kt", "c", "h", "cpp", "cxx", "cc", "hpp", "cs", "rb", "php", "swift", "sh",
+            "bash", "zsh", "sql", "graphql", "gql", "proto", "gradle", "dockerfile",
+        ],
+        "filenames": ["dockerfile", "makefile", "rakefile", "gemfile"],
     },
-    "docs": {"extensions": "md mdx txt rst adoc".split(), "filenames": "readme license changelog".split()},
-    "data": {"extensions": "json jsonc yaml yml toml xml csv tsv properties ini env".split(), "filenames": []},
-    "styles": {"extensions": "css scss sass less pcss".split(), "filenames": []},
-}
+    "docs": {"extensions": ["md", "mdx", "txt", "rst", "adoc"], "filenames": ["readme", "license", "changelog"]},
+    "data": {"extensions": ["json", "jsonc", "yaml", "yml", "toml", "xml", "csv", "tsv", "properties", "ini", "env"], "filenames": []},
+    "styles": {"extensions": ["css", "scss", "sass", "less", "pcss"], "filenames": []},
+}
 
 
 def basename(path: Column) -> Column:

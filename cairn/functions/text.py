@@ -20,23 +20,38 @@ def content_hash(content: Column) -> Column:
 
 def preview(content: Column, start_line: Column, most: int = 8, width: int = 200) -> Column:
     """The first lines with their numbers, long ones cut, and how many follow."""
-    rows = F.split(F.regexp_replace(content, "\\n+$", ""), "\n", -1)
-    shown = F.slice(rows, 1, most)
-    digits = F.length((start_line + F.size(shown) - 1).cast("string"))
+    whole = F.struct(F.rtrim(content, F.lit("\n")).alias("text"), start_line.alias("start"))
     cut = lambda r: F.when(F.length(r) > width, F.concat(F.substring(r, 1, width - 1), F.lit("…"))).otherwise(r)
-    numbered = F.transform(shown, lambda r, i: F.concat(F.lpad((start_line + i).cast("string"), digits, F.lit(" ")), F.lit(" │ "), cut(r)))
-    more = F.concat(F.lpad(F.lit(""), digits, F.lit(" ")), F.lit(" │ … "), (F.size(rows) - most).cast("string"), F.lit(" more"))
-    return F.array_join(F.when(F.size(rows) > most, F.array_append(numbered, more)).otherwise(numbered), "\n")
 
+    def shown(w):
+        head = F.split(F.substring_index(w.text, "\n", most), "\n", -1)
+        more = F.length(w.text) - F.length(F.replace(w.text, F.lit("\n"))) + 1 - most
+        return F.struct(head.alias("lines"), more.alias("more"), w.start.alias("start"), F.length((w.start + F.size(head) - 1).cast("string")).alias("digits"))
 
-def format_bytes(n: Column) -> Column:
-    scaled = lambda power, unit: F.format_string(f"%.1f {unit}", n / float(1024**power))
-    return F.when(n < 1024, F.format_string("%d B", n)).when(n < 1024**2, scaled(1, "KB")).when(n < 1024**3, scaled(2, "MB")).otherwise(scaled(3, "GB"))
+    def numbered(b):
+        rows = F.transform(b.lines, lambda r, i: F.concat(F.lpad((b.start + i).cast("string"), b.digits, F.lit(" ")), F.lit(" │ "), cut(r)))
+        more = F.concat(F.lpad(F.lit(""), b.digits, F.lit(" ")), F.lit(" │ … "), b.more.cast("string"), F.lit(" more"))
+        return F.array_join(F.when(b.more > 0, F.array_append(rows, more)).otherwise(rows), "\n")
+
+    # bound by arrays of one, so that the text is cut and counted once
+    return F.transform(F.transform(F.array(whole), shown), numbered)[0]
+
+
+def format_bytes(n: Column, bench: bool = False) -> Column:
+    """With a space and up to GB; for bench reports without a space and up to MB."""
+    gap = "" if bench else " "
+    scaled = lambda power, unit: F.format_string(f"%.1f{gap}{unit}", n / float(1024**power))
+    small = F.when(n < 1024, F.format_string(f"%d{gap}B", n)).when(n < 1024**2, scaled(1, "KB"))
+    return small.otherwise(scaled(2, "MB")) if bench else small.when(n < 1024**3, scaled(2, "MB")).otherwise(scaled(3, "GB"))
 
 
 def format_duration(ms: Column) -> Column:
     return F.when(ms < 1000, F.format_string("%.0fms", ms.cast("double"))).otherwise(F.format_string("%.2fs", ms / 1000.0))
 
 
+def format_duration_ns(ns: Column) -> Column:
+    return F.when(ns < 10**6, F.format_string("%dns", ns)).when(ns < 10**9, F.format_string("%.0fms", ns / 1e6)).otherwise(F.format_string("%.2fs", ns / 1e9))
+
+
 def format_score(score: Column) -> Column:
     return F.format_string("%.3f", score)

@@ -8,6 +8,7 @@ chunk before and so runs as a small function for each file.
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -34,13 +35,14 @@ def windows(files: DataFrame) -> DataFrame:
 
 
 def spans_of(n: int, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Declarations and what lies between, before and after them, as line spans."""
+    """Declarations and what lies between, before and after them, as line spans. Ranges that overlap repeat lines; what
+    follows goes on after the last range, also if an earlier one reaches further."""
     spans, at = [], 0
     for start, end in ranges:
         if start > at:
             spans.append((at, start))
-        spans.append((start, min(end, n)))
-        at = max(at, min(end, n))
+        at = min(end, n)
+        spans.append((start, at))
     return [*spans, (at, n)] if at < n else spans
 
 
@@ -81,7 +83,67 @@ def python_boundaries(source: str, language: str) -> list[tuple[int, int]] | Non
     return found
 
 
-def by_declarations(files: DataFrame, boundaries: Boundaries = python_boundaries) -> DataFrame:
+#: How a declaration at the top of a file begins, by language, for those whose bodies stand in braces. Its words may follow modifiers.
+_MODIFIERS = r"(?:(?:public|private|protected|internal|static|final|abstract|sealed|async|unsafe|extern|partial|open|data|override|inline|virtual|pub(?:\([^)]*\))?)\s+)*"
+BRACED = {
+    "typescript": r"(?:export\b|(?:default\s+|declare\s+|abstract\s+|async\s+)*(?:function|class|interface|type|enum|const|let|namespace)\b)",
+    "javascript": r"(?:export\b|(?:default\s+|async\s+)*(?:function|class|const|let|var)\b)",
+    "go": r"(?:func|type)\b",
+    "rust": _MODIFIERS + r"(?:fn|impl|struct|enum|trait|mod|union)\b",
+    "java": _MODIFIERS + r"(?:class|interface|enum|record|@interface)\b",
+    "kotlin": _MODIFIERS + r"(?:fun|class|interface|object|enum)\b",
+    "csharp": _MODIFIERS + r"(?:namespace|class|interface|struct|enum|record)\b",
+    "swift": _MODIFIERS + r"(?:func|class|struct|enum|protocol|extension|actor)\b",
+    "php": _MODIFIERS + r"(?:function|class|interface|trait|enum)\b",
+    "bash": r"(?:function\s+[\w:-]+|[\w:-]+\s*\(\s*\))",
+    "c": r"(?:struct|enum|union|typedef|static|extern|[A-Za-z_][\w\s*]*\()",
+    "cpp": r"(?:namespace|template|class|struct|enum|union|typedef|static|extern|[A-Za-z_][\w\s*&:<>,]*\()",
+}
+BRACED["tsx"] = BRACED["typescript"]
+_BEGINS = {lang: re.compile(rx) for lang, rx in BRACED.items()}
+#: What may hold a brace that isn't one: comments and strings.
+_NO_CODE = re.compile(r"""//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\]|\\[\s\S])*+`""")
+_SHELL_NO_CODE = re.compile(r"""(?<!\S)#[^\n]*|"(?:[^"\\]|\\[\s\S])*+"|'[^']*+'|\$\{[^}\n]*+\}""")
+
+
+def brace_boundaries(source: str, language: str) -> list[tuple[int, int]] | None:
+    """Declarations at the top of a file whose bodies stand in braces, with the comment lines right above.
+
+    A declaration begins on an unindented line and ends with the line where its braces
+    close, or, without braces, at a line that ends in a semicolon, or is followed by a blank one.
+    """
+    if language not in _BEGINS:
+        return None
+    blank = lambda m: re.sub(r"[^\n]", " ", m[0])
+    rows = source.split("\n")
+    code = (_SHELL_NO_CODE if language == "bash" else _NO_CODE).sub(blank, source).split("\n")
+    found, i, depth = [], 0, 0
+    while i < len(code):
+        if depth <= 0 and code[i][:1].strip() and _BEGINS[language].match(code[i]):
+            start, depth, opened, j = i, 0, False, i
+            while j < len(code):
+                depth += code[j].count("{") - code[j].count("}")
+                opened |= "{" in code[j]
+                if depth <= 0 and (opened or code[j].rstrip().endswith(";") or j + 1 == len(code) or not code[j + 1].strip()):
+                    break
+                j += 1
+            end = min(j + 1, len(code))
+            while start and rows[start - 1].lstrip().startswith(("//", "/*", "*", "#", "@")) and not (found and found[-1][1] >= start):
+                start -= 1
+            found.append((start, end))
+            i, depth = end, 0
+            continue
+        depth = max(0, depth + code[i].count("{") - code[i].count("}"))
+        i += 1
+    return found
+
+
+def boundaries(source: str, language: str) -> list[tuple[int, int]] | None:
+    """Those of Python by its parser, those of languages with braces by their patterns."""
+    return python_boundaries(source, language) if language == "python" else brace_boundaries(source, language)
+
+
+def by_declarations(files: DataFrame, provider: Boundaries = boundaries) -> DataFrame:
     """Chunks at declarations; a file without any, or that the provider can't read, gets windows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -89,7 +151,7 @@ def by_declarations(files: DataFrame, boundaries: Boundaries = python_boundaries
             rows = []
             for path, content, lang in zip(batch.file_path, batch.content, batch.language, strict=True):
                 ls = content.splitlines(True)
-                ranges = boundaries(content, lang)
+                ranges = provider(content, lang)
                 spans = arrange(spans_of(len(ls), ranges)) if ranges else [(s, min(s + WINDOW, len(ls))) for s in range(0, len(ls), STEP)]
                 rows += [(path, "".join(ls[s:e]), s + 1, e, lang) for s, e in spans]
             yield pd.DataFrame(rows, columns=["file_path", "content", "start_line", "end_line", "language"])
@@ -99,10 +161,10 @@ def by_declarations(files: DataFrame, boundaries: Boundaries = python_boundaries
     return made.select("file_path", "content", text.content_hash(F.col("content")).alias("chunk_hash"), "start_line", "end_line", "language").where("content != ''")
 
 
-def chunk(files: DataFrame, boundaries: Boundaries = python_boundaries, languages: tuple[str, ...] = ("python",)) -> DataFrame:
+def chunk(files: DataFrame, provider: Boundaries = boundaries, languages: tuple[str, ...] = ("python", *BRACED)) -> DataFrame:
     """Declarations where the provider knows the language, windows elsewhere."""
     known = paths.language(F.col("file_path")).isin(*languages)
-    return by_declarations(files.where(known), boundaries).unionByName(windows(files.where(~known)))
+    return by_declarations(files.where(known), provider).unionByName(windows(files.where(~known)))
 
 
 def last_written(chunks: DataFrame) -> DataFrame:

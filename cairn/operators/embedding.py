@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -31,13 +32,42 @@ class HashedWords:
     def embed(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim), np.float32)
         for row, text in zip(out, texts, strict=True):
-            words = text.lower().split()[: self.most]
-            for part, weight in [(w, 1.0) for w in words] + [(w[i : i + 3], 0.25) for w in words for i in range(len(w) - 2)]:
-                h = zlib.crc32(part.encode())
-                row[h % self.dim] += weight if h >> 31 else -weight
+            counts = Counter(text.lower().split()[: self.most])
+            parts: Counter = Counter()
+            for w, n in counts.items():
+                parts[w] += n
+                for i in range(len(w) - 2):
+                    parts[w[i : i + 3]] += 0.25 * n
+            h = np.fromiter((zlib.crc32(p.encode("utf-8", "surrogatepass")) for p in parts), np.int64, len(parts))
+            row += np.bincount(h % self.dim, np.fromiter(parts.values(), float, len(parts)) * np.where(h >> 31, 1, -1), self.dim)
         return out
 
 
+class FromModel:
+    """A provider that a model backs: ``load()`` runs once in each worker, when the first text comes, and returns a
+    function from a list of texts to an array of shape (texts, dim).
+
+    What travels is ``load`` itself, never the model; it should open a file that all workers have (``SparkFiles.get`` of one that was
+    added by ``spark.sparkContext.addFile``). Cutting texts to the model's length is the function's business.
+    """
+
+    def __init__(self, model_id: str, dim: int, load: Callable[[], Callable[[list[str]], np.ndarray]]):
+        self.model_id, self.dim, self.load = model_id, dim, load
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        model = _models.get(self.model_id)
+        if model is None:
+            model = _models[self.model_id] = self.load()
+        out = np.asarray(model(texts), np.float32)
+        if out.shape != (len(texts), self.dim):
+            raise ValueError(f"{self.model_id} gave {out.shape}, not {(len(texts), self.dim)}")
+        return out
+
+
+#: The models that this worker has loaded.
+_models: dict[str, Callable[[list[str]], np.ndarray]] = {}
+
+
 def embed(chunks: DataFrame, embedder: Embedder, text: str = "content") -> DataFrame:
     """``chunks`` with ``vector`` and ``norm``; the provider is made once a worker and fed BATCH texts at a time."""
 
@@ -52,9 +82,13 @@ def embed(chunks: DataFrame, embedder: Embedder, text: str = "content") -> DataF
     return with_norm(chunks.withColumn("vector", run(F.col(text))))
 
 
-def split_known(chunks: DataFrame, cache: DataFrame, model_id: str, dim: int) -> tuple[DataFrame, DataFrame]:
-    """(chunks with their cached vector, distinct chunks without one); a cached vector of another size doesn't count."""
+def known(chunks: DataFrame, cache: DataFrame, model_id: str, dim: int) -> DataFrame:
+    """``chunks`` with their cached ``vector``, null where there is none; a cached vector of another size doesn't count."""
     valid = cache.where((F.col("model_id") == model_id) & (F.size("vector") == dim)).select("chunk_hash", "vector").dropDuplicates(["chunk_hash"])
-    hits = chunks.join(valid, "chunk_hash")
-    misses = chunks.join(valid, "chunk_hash", "left_anti").dropDuplicates(["chunk_hash"])
-    return hits, misses
+    return chunks.join(valid, "chunk_hash", "left")
+
+
+def split_known(chunks: DataFrame, cache: DataFrame, model_id: str, dim: int) -> tuple[DataFrame, DataFrame]:
+    """(chunks with their cached vector, distinct chunks without one), of one join."""
+    joined = known(chunks, cache, model_id, dim)
+    return joined.where("vector is not null"), joined.where("vector is null").drop("vector").dropDuplicates(["chunk_hash"])

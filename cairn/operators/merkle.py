@@ -8,26 +8,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import paths
+from cairn.shared import staged
 
 
 def tree(files: DataFrame) -> DataFrame:
     """(path, parent, depth, type, hash, size) for files (path, hash, size) and all directories above them.
 
     A directory's hash is that of its children's hashes in path order. Levels
-    fold from the deepest up, one aggregation each; the root is the empty path
-    and stands even over no file.
+    fold from the deepest up, one aggregation each, and each is written before the next
+    reads it; the root is the empty path and stands even over no file. The children of one
+    directory meet in one buffer, of some 150 bytes each, so a directory may have up to about 10 million entries.
     """
-    leaf = files.select("path", paths.dirname(F.col("path")).alias("parent"), F.size(F.split("path", "/")).alias("depth"), F.lit("file").alias("type"), "hash", F.col("size").cast("bigint").alias("size"))
+    leaf = staged(files.select("path", paths.dirname(F.col("path")).alias("parent"), F.size(F.split("path", "/")).alias("depth"), F.lit("file").alias("type"), "hash", F.col("size").cast("bigint").alias("size")))
     depth = leaf.agg(F.max("depth")).first()[0] or 0
     levels, below = [leaf], None
     for d in range(depth, 0, -1):
         here = leaf.where(F.col("depth") == d)
         here = here if below is None else here.unionByName(below)
         folded = here.groupBy("parent").agg(F.array_sort(F.collect_list(F.struct("path", "hash"))).alias("kids"))
-        below = folded.select(
+        below = staged(folded.select(
             F.col("parent").alias("path"), F.when(F.col("parent") != "", paths.dirname(F.col("parent"))).alias("parent"), F.lit(d - 1).alias("depth"), F.lit("directory").alias("type"),
             F.sha2(F.array_join(F.transform("kids", lambda k: k.hash), "").cast("binary"), 256).alias("hash"), F.lit(None).cast("bigint").alias("size"),
-        )
+        ))
         levels.append(below)
     if not depth:
         spark = files.sparkSession
@@ -74,6 +76,14 @@ def change_summary(changes: DataFrame) -> DataFrame:
     return changes.groupBy("type").agg(F.count("*").alias("n"))
 
 
+def change_lines(changes: DataFrame, most: int = 10) -> list[str]:
+    """A marker and the path of the first ``most`` changes in path order, and how many more there are."""
+    marker = F.when(F.col("type") == "added", "A").when(F.col("type") == "deleted", "D").otherwise("M")
+    lines = [r[0] for r in changes.orderBy("path").limit(most).select(F.concat_ws(" ", marker, "path")).collect()]
+    more = changes.count() - most
+    return [*lines, f"... {more} more"] if more > 0 else lines
+
+
 def changed_metadata(old: DataFrame, new: DataFrame) -> DataFrame:
     """Paths whose signature (path, sig) is new, gone or different."""
     a, b = old.select("path", F.col("sig").alias("was")), new.select("path", "sig")

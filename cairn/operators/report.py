@@ -2,23 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def percentile(values: str, p: float) -> Column:
-    """The value at place min(n - 1, floor(p * n)) of the n sorted values, from 0; 0 for none.
+#: Spans of values that a pass counts, and so the rows that it brings to the driver.
+SPANS = 1_024
 
-    ``percentile_disc`` takes the first value at or above p, so a hair above p is
-    asked for. Its state is a count for each distinct value, summed before the shuffle.
-    """
-    return F.coalesce(F.expr(f"percentile_disc({min(1.0, p + 1e-12)!r}D) within group (order by {values})"), F.lit(0))
 
+def ranked(rows: DataFrame, values: str, places: list[int], low: int, high: int) -> list[int]:
+    """The values (integers from ``low`` to ``high``) at ``places`` of the sorted ones, from 0.
 
-def search_summary(timings: DataFrame, ns: str = "ns") -> DataFrame:
-    """Mean (whole), p50, p90 and max."""
-    mean = F.coalesce(F.expr(f"sum({ns}) div count({ns})"), F.lit(0))
-    return timings.agg(mean.alias("mean"), percentile(ns, 0.5).cast("bigint").alias("p50"), percentile(ns, 0.9).cast("bigint").alias("p90"), F.coalesce(F.max(ns), F.lit(0)).alias("max"))
+    Each pass counts SPANS equal spans of what is left and goes on in the one that holds
+    the place: a few passes with partial sums, and no sort.
+    """
+    found = []
+    for place in places:
+        a, b, before = low, high, 0
+        while a < b:
+            width = (b - a) // SPANS + 1
+            counts = rows.where(F.col(values).between(a, b)).groupBy(F.expr(f"({values} - {a}L) div {width}L").alias("span")).count().orderBy("span").collect()
+            for r in counts:
+                if before + r["count"] > place:
+                    a, b = a + r.span * width, min(b, a + r.span * width + width - 1)
+                    break
+                before += r["count"]
+        found.append(a)
+    return found
+
+
+def search_summary(timings: DataFrame, ns: str = "ns", shares: tuple[float, ...] = (0.5, 0.9)) -> DataFrame:
+    """mean (whole), p50, p90 and max: a percentile p is the value at place min(n - 1, floor(p * n)), from 0; all are 0 for none."""
+    n, total, low, high = timings.agg(F.count(ns), F.sum(ns), F.min(ns), F.max(ns)).first()
+    found = ranked(timings, ns, [min(n - 1, int(p * n)) for p in shares], low, high) if n else [0] * len(shares)
+    mean = abs(total) // n * (1 if total >= 0 else -1) if n else 0
+    names = ["mean", *[f"p{round(100 * p)}" for p in shares], "max"]
+    return timings.sparkSession.createDataFrame([(mean, *found, high or 0)], ", ".join(f"{x} bigint" for x in names))
 
 
 def phase_means(phases: DataFrame) -> DataFrame:
@@ -40,6 +60,37 @@ def hits_match(hits: DataFrame, needle: str, path: str = "file_path") -> DataFra
     return hits.agg(F.coalesce(F.bool_or(F.contains(F.lower(path), F.lit(needle.lower()))), F.lit(False)).alias("found"))
 
 
+def answer_has(answers: DataFrame, terms: list[str], answer: str = "answer") -> DataFrame:
+    """``answers`` with ``missing``, the terms that an answer lacks in any case, and ``verified``, that it lacks none."""
+    lacks = F.filter(F.array(*[F.lit(t) for t in terms]).cast("array<string>"), lambda t: ~F.contains(F.lower(F.coalesce(answer, F.lit(""))), F.lower(t)))
+    return answers.withColumn("missing", lacks).withColumn("verified", F.size("missing") == 0)
+
+
+SCENARIO = "name string, repo string, revision string, query string, expectations struct<pathSubstring: string, answerMustInclude: array<string>>"
+
+
+def scenarios(spark: SparkSession, folder: str, target: str = "all") -> DataFrame:
+    """The scenarios of a folder of JSON files, one a file, or the one of that name (none if there is no such)."""
+    every = spark.read.schema(SCENARIO).option("multiLine", True).option("pathGlobFilter", "*.json").json(folder)
+    return every if target == "all" else every.where(F.col("name") == target.removesuffix(".json"))
+
+
+def report(scenario: DataFrame, phases: DataFrame, tree: DataFrame, search: DataFrame, top_k: int) -> DataFrame:
+    """One row, to be written as JSON: scenario, phases, tree (files, bytes), search and totalMs, from the figures of one run.
+
+    ``phases`` has name, ns and parent (null at the top, whose times make the total); the others are one row each.
+    """
+    parts = {
+        "scenario": scenario.limit(1).select(F.struct("*")),
+        "phases": phases.agg(F.collect_list(F.struct("name", "ns", "parent"))),
+        "tree": tree.limit(1).select(F.struct("files", "bytes")),
+        "search": search.limit(1).select(F.struct("*", F.lit(top_k).alias("topK"))),
+        "totalMs": phases.where("parent is null").agg(F.expr("coalesce(sum(ns), 0) div 1000000")),
+    }
+    schema = T.StructType([T.StructField(k, d.schema[0].dataType) for k, d in parts.items()])
+    return phases.sparkSession.createDataFrame([tuple((d.first() or [None])[0] for d in parts.values())], schema)
+
+
 def idle_periods(events: DataFrame, minutes: int = 15) -> DataFrame:
     """Runs of events of a user without a gap of ``minutes``: user_id, started, last, n."""
     w = F.session_window("ts", f"{minutes} minutes")

@@ -17,8 +17,8 @@ def with_norm(chunks: DataFrame, column: str = "vector") -> DataFrame:
 def top_k(chunks: DataFrame, query: list[float], k: int = 3, key: str = "chunk_hash", column: str = "vector") -> DataFrame:
     """The k rows nearest to ``query``: score descending, then ``key``.
 
-    Rows of norm 0 are never returned; negative scores count as 0. A query of
-    norm 0, or a k below 1, finds nothing. Scores come from one matrix product
+    Rows of norm 0, and vectors of another length than the query's, are never
+    returned; negative scores count as 0. A query of norm 0, or a k below 1, finds nothing. Scores come from one matrix product
     for each Arrow batch, the k best from Spark's top-k without a full sort.
     """
     q = np.asarray(query, np.float64)
@@ -35,46 +35,53 @@ def top_k(chunks: DataFrame, query: list[float], k: int = 3, key: str = "chunk_h
         n = np.sqrt(np.einsum("ij,ij->i", m, m))
         return pd.Series(np.clip(np.nan_to_num((m @ unit) / np.where(n > 0, n, 1.0), nan=0.0), 0.0, 1.0))
 
-    live = (chunks if "norm" in chunks.columns else with_norm(chunks, column)).where("norm > 0")
+    live = (chunks if "norm" in chunks.columns else with_norm(chunks, column)).where((F.col("norm") > 0) & (F.size(column) == len(q)))
     return live.withColumn("score", score(F.col(column))).orderBy(F.desc("score"), key).limit(k)
 
 
-def top_k_each(chunks: DataFrame, queries: DataFrame, k: int = 3, key: str = "chunk_hash", column: str = "vector", query_key: str = "query_id", block: int = 1_000) -> DataFrame:
+def checked(rows: DataFrame, dim: int, column: str = "vector") -> DataFrame:
+    """``rows``, whose use fails if a vector has another length than ``dim``."""
+    wrong = F.raise_error(F.format_string(f"a vector has %d values, not {dim}", F.size(column))).cast("array<float>")
+    return rows.withColumn(column, F.when(F.size(column) == dim, F.col(column)).otherwise(wrong))
+
+
+#: Queries and rows that one task compares, about.
+QUERY_BLOCK, ROW_BLOCK = 1_000, 50_000
+
+
+def top_k_each(chunks: DataFrame, queries: DataFrame, k: int = 3, key: str = "chunk_hash", column: str = "vector", query_key: str = "query_id") -> DataFrame:
     """``query_key``, ``key``, score and rank of the k nearest rows of each query.
 
-    Queries are a stated set: they go to the tasks in blocks of ``block``, whose
-    size bounds what is sent, and each task keeps k rows for each query before
-    anything is shuffled.
+    Queries are a stated set. They and the rows are dealt into blocks by a hash, and
+    each pair of blocks is one matrix product in a task, which keeps k rows of each query.
+    Vectors of unlike length don't meet.
     """
-    kept = (chunks if "norm" in chunks.columns else with_norm(chunks, column)).where("norm > 0").select(key, column)
-    kind, query_kind = kept.schema[key].dataType.simpleString(), queries.schema[query_key].dataType.simpleString()
-    schema = f"{query_key} {query_kind}, {key} {kind}, score double"
-    found: DataFrame | None = None
-    rows, more = [], iter(queries.select(query_key, column).orderBy(query_key).toLocalIterator())
-    while True:
-        rows = [r for _, r in zip(range(block), more, strict=False)]
-        if not rows:
-            break
-        ids = [r[0] for r in rows]
-        q = np.array([r[1] for r in rows], np.float64)
-        n = np.sqrt((q * q).sum(1))
-        live = n > 0
-        ids, unit = [i for i, x in zip(ids, live, strict=True) if x], q[live] / n[live][:, None]
-
-        def nearest(batches, ids=ids, unit=unit):
-            best = None
-            for b in batches:
-                m = np.stack(b[column].to_numpy()).astype(np.float64) if len(b) else np.zeros((0, unit.shape[1]))
-                s = np.clip(np.nan_to_num((m @ unit.T) / np.sqrt((m * m).sum(1))[:, None]), 0.0, 1.0)
-                part = pd.DataFrame({query_key: np.tile(np.array(ids, object), len(b)), key: np.repeat(b[key].to_numpy(), len(ids)), "score": s.ravel()})
-                part = part if best is None else pd.concat([best, part])
-                best = part.sort_values(["score", key], ascending=[False, True], kind="stable").groupby(query_key, sort=False).head(k)
-            if best is not None:
-                yield best
-
-        part = kept.mapInPandas(nearest, schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = kept.limit(0).select(F.lit(None).cast(query_kind).alias(query_key), key, F.lit(0.0).alias("score"))
+    live = (chunks if "norm" in chunks.columns else with_norm(chunks, column)).where("norm > 0")
+    asked = with_norm(queries, column).where("norm > 0")
+    n, m = live.count(), asked.count()
+    deal = lambda d, by, blocks, others, mine, theirs: d.withColumn(mine, F.pmod(F.xxhash64(by), F.lit(blocks))).withColumn(theirs, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+    row_blocks, query_blocks = max(1, -(-n // ROW_BLOCK)), max(1, -(-m // QUERY_BLOCK))
+    by = ["_q", "_r", "_dim"]
+    left = deal(asked.select(F.col(query_key).alias("_id"), F.col(column).alias("_v"), F.size(column).alias("_dim")), "_id", query_blocks, row_blocks, "_q", "_r")
+    right = deal(live.select(F.col(key).alias("_id"), F.col(column).alias("_v"), F.size(column).alias("_dim")), "_id", row_blocks, query_blocks, "_r", "_q")
+    schema = f"`{query_key}` {queries.schema[query_key].dataType.simpleString()}, `{key}` {chunks.schema[key].dataType.simpleString()}, score double"
+
+    def nearest(some: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({query_key: some["_id"].iloc[:0], key: rows["_id"].iloc[:0], "score": np.zeros(0)})
+        if not len(some) or not len(rows) or k < 1:
+            return none
+        rows = rows.sort_values("_id", ignore_index=True)  # so that places follow keys
+        q, v = (np.stack(x["_v"].to_numpy()).astype(np.float64) for x in (some, rows))
+        scores = (q / np.sqrt((q * q).sum(1))[:, None]) @ (v / np.sqrt((v * v).sum(1))[:, None]).T
+        scores = np.clip(np.nan_to_num(scores), 0.0, 1.0)
+        least = np.partition(scores, len(rows) - k, axis=1)[:, len(rows) - k] if k < len(rows) else np.zeros(len(some))
+        parts = []
+        for i, (s, low) in enumerate(zip(scores, least, strict=True)):
+            at = np.flatnonzero(s >= low)
+            at = at[np.argsort(-s[at], kind="stable")[:k]]
+            parts.append(pd.DataFrame({query_key: some["_id"].iloc[[i] * len(at)].to_numpy(), key: rows["_id"].to_numpy()[at], "score": s[at]}))
+        return pd.concat(parts)
+
+    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(nearest, schema)
     w = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -9,90 +9,149 @@ from pyspark.sql import functions as F
 
 from cairn.functions import ignore, paths, text
 from cairn.operators import chunking, embedding, merkle, vectors
-from cairn.plans.store import Store, delete_files, upsert
+from cairn.plans.config import read_config
+from cairn.plans.store import Store
+from cairn.shared import discard, staged
 from cairn.sources import files as source
 
 
 class Engine:
-    """``on_modify``: "replace" drops a modified file's old chunks, "keep" leaves those whose text is gone."""
+    """``on_modify``: "replace" drops a modified file's old chunks, "keep" leaves those whose text is gone.
 
-    def __init__(self, spark: SparkSession, root: str, store: str, embedder: embedding.Embedder | None = None, ignore_text: str = ignore.DEFAULT, include: list[str] | None = None, only: list[str] | None = None, on_modify: str = "replace", prune: bool = False, boundaries: chunking.Boundaries = chunking.python_boundaries):
+    ``ignore_text`` stands for the default rules; those of the tree's own file count besides.
+    Profiles come from the tree's configuration, where it has one.
+    """
+
+    #: Chunks that are embedded and put into the cache at once: what a failed refresh loses.
+    WAVE = 1_000_000
+
+    def __init__(self, spark: SparkSession, root: str, store: str, embedder: embedding.Embedder | None = None, ignore_text: str = ignore.DEFAULT, include: list[str] | None = None, only: list[str] | None = None, on_modify: str = "replace", prune: bool = False, boundaries: chunking.Boundaries = chunking.boundaries, buckets: int = 16):
         if on_modify not in ("replace", "keep"):
             raise ValueError("on_modify is replace or keep")
-        self.spark, self.root, self.store = spark, root, Store(spark, store)
+        config = read_config(root)
+        self.spark, self.root, self.store = spark, root, Store(spark, store, buckets)
         self.embedder = embedder or embedding.HashedWords()
-        self.ignore_text, self.profiles = ignore_text, paths.resolve_profiles(include=include, only=only)
+        self.ignore_text = ignore.merged(ignore_text, ignore.read_rules(root))
+        self.profiles = paths.resolve_profiles(config.get("fileProfiles"), config.get("defaultProfiles"), include=include, only=only)
         self.on_modify, self.prune, self.boundaries = on_modify, prune, boundaries
         source.register(spark)
 
+    def listing(self) -> DataFrame:
+        """path, size, mtime_ms of the files that the rules and the profile admit; nothing is read."""
+        return self.spark.read.format("cairn_files").options(**source.options(self.root, self.ignore_text, self.profiles, contents=False)).load().drop("content")
+
+    def read(self, listed: DataFrame) -> DataFrame:
+        """``listed`` (path, ...) with content and hash, read by the tasks; what can't be read as UTF-8 is left out."""
+        raw = source.contents(self.root, listed).withColumn("content", F.col("content").cast("string"))
+        return raw.where("content is not null and is_valid_utf8(content)").withColumn("hash", text.content_hash(F.col("content")))
+
     def scan(self) -> DataFrame:
-        """path, size, mtime_ms, content (text), hash; what can't be read as UTF-8 is left out."""
-        raw = self.spark.read.format("cairn_files").options(**source.options(self.root, self.ignore_text, self.profiles)).load()
-        whole = raw.withColumn("content", F.col("content").cast("string")).where("content is not null and is_valid_utf8(content)")
-        return whole.withColumn("hash", text.content_hash(F.col("content")))
+        """path, size, mtime_ms, content, hash of all files."""
+        return self.read(self.listing())
 
     def tree(self) -> DataFrame:
         return merkle.tree(self.scan().select("path", "hash", "size"))
 
     def diff(self) -> DataFrame:
-        """What changed since the committed version."""
-        known = self.store.exists()
+        """What changed since the index was last refreshed."""
+        now = self.scan().select("path", "hash", "size")
         if self.prune:
-            return merkle.diff_pruned(self.store.read("tree") if known else None, self.tree())
-        return merkle.diff(self.store.read("files").select("path", "hash") if known else None, self.scan().select("path", "hash"))
+            return merkle.diff_pruned(self._committed() if self.store.exists() else None, merkle.tree(now))
+        return merkle.diff(self.store.read("files").select("path", "hash") if self.store.exists() else None, now.select("path", "hash"))
+
+    def _committed(self) -> DataFrame:
+        """The stored tree: its directories, and the files."""
+        leaves = self.store.read("files").select("path", paths.dirname(F.col("path")).alias("parent"), F.size(F.split("path", "/")).alias("depth"), F.lit("file").alias("type"), "hash", "size")
+        return self.store.read("tree").unionByName(leaves)
 
     def build(self) -> dict[str, int]:
         """From nothing: wipes the store first."""
         self.store.wipe()
         return self.refresh()
 
-    def refresh(self) -> dict[str, int]:
-        """Applies all changes and commits once, so a refresh that fails can be run again."""
-        folder = self.store.write("files", self.scan())
-        now = self.spark.read.parquet(f"{self.store.root}/{folder}")
-        before = self.store.read("files").select("path", "hash") if self.store.exists() else None
-        tree = self.store.write("tree", merkle.tree(now.select("path", "hash", "size")))
-        if self.prune and before is not None:
-            changes = merkle.diff_pruned(self.store.read("tree"), self.spark.read.parquet(f"{self.store.root}/{tree}"))
+    def refresh(self, full: bool = True, listed: DataFrame | None = None) -> dict[str, int]:
+        """Applies all changes; one that fails can be run again.
+
+        ``full`` reads and hashes every file, otherwise only those whose size or time changed.
+        Contents are read again for files that did change, and for those alone.
+        """
+        known = self.store.read("files")
+        listed = staged(self.listing() if listed is None else listed)
+        was = known.select("path", F.struct("size", "mtime_ms").alias("was"))
+        looked = listed if full else listed.join(was, "path", "left").where("not (was <=> struct(size, mtime_ms))").drop("was")
+        looked = staged(looked)
+        hashed = staged(self.read(looked).select("path", "size", "mtime_ms", "hash"))
+        gone = known.join(listed, "path", "left_anti").select("path")
+        seen = staged(gone.unionByName(looked.select("path")))
+        old = known.join(seen, "path", "left_semi")
+        if self.prune and self.store.exists():
+            now = known.join(seen, "path", "left_anti").unionByName(hashed)
+            changes = merkle.diff_pruned(self._committed(), merkle.tree(now.select("path", "hash", "size")))
         else:
-            changes = merkle.diff(before, now.select("path", "hash"))
-        return self.apply(changes, self.scan(), {"files": folder, "tree": tree})
-
-    def apply(self, changes: DataFrame, contents: DataFrame, folders: dict[str, str] | None = None) -> dict[str, int]:
-        """Deletes, chunks, embeds what the cache lacks, upserts. ``contents``: path and content of the changed files at least."""
-        changes = changes.persist()
-        fresh = contents.join(changes.where("type != 'deleted'").select("path"), "path", "left_semi").select(F.col("path").alias("file_path"), "content")
-        made = chunking.chunk(fresh, self.boundaries).persist()
+            changes = merkle.diff(old.select("path", "hash"), hashed.select("path", "hash"))
+        changes = staged(changes)
+        told = {"indexed_chunks": 0, "deleted_files": 0, "changed_files": 0}
+        if not changes.isEmpty() or not self.store.exists():
+            told = self.apply(changes)
+        stale = hashed.join(known, ["path", "size", "mtime_ms", "hash"], "left_anti")
+        removed = old.join(hashed, "path", "left_anti").select("path")
+        if told["deleted_files"] or told["changed_files"] or not stale.isEmpty() or not self.store.exists():
+            self._record(removed, stale)
+        discard(listed, looked, hashed, seen, changes)
+        return told
+
+    def _record(self, removed: DataFrame, rows: DataFrame) -> None:
+        """The directories' hashes, then the files: what comes last says that all is done."""
+        rows, removed = staged(rows), staged(removed)
+        now = self.store.read("files").join(removed.unionByName(rows.select("path")), "path", "left_anti").unionByName(rows)
+        self.store.replace("tree", merkle.tree(now.select("path", "hash", "size")).where("type = 'directory'"))
+        if self.store.exists():
+            self.store.merge("files", removed, rows)
+        else:
+            self.store.replace("files", rows)
+        discard(rows, removed)
+
+    def apply(self, changes: DataFrame) -> dict[str, int]:
+        """Deletes, chunks, embeds what the cache lacks, upserts, for ``changes`` (path, type, hash).
+
+        A file whose content is no longer the one in ``changes`` is left to the next refresh.
+        """
+        wanted = changes.where("type != 'deleted'").select("path", F.col("hash").alias("wanted"))
+        fresh = self.read(wanted).where("hash = wanted").select(F.col("path").alias("file_path"), "content")
+        made = staged(chunking.chunk(fresh, self.boundaries))
         unique = chunking.last_written(made)
-        cache = self.store.read("embed_cache")
-        hits, misses = embedding.split_known(unique, cache, self.embedder.model_id, self.embedder.dim)
-        added = embedding.embed(misses, self.embedder).select(F.lit(self.embedder.model_id).alias("model_id"), "chunk_hash", "vector")
-        cached = self.store.write("embed_cache", cache.unionByName(added))
-        known = self.spark.read.parquet(f"{self.store.root}/{cached}").where((F.col("model_id") == self.embedder.model_id) & (F.size("vector") == self.embedder.dim))
-        rows = vectors.with_norm(unique.join(known.select("chunk_hash", "vector"), "chunk_hash"))
-        gone = changes.where("type = 'deleted'" if self.on_modify == "keep" else "type != 'added'")
-        chunks = self.store.write("chunks", upsert(delete_files(self.store.read("chunks"), gone), rows))
+        model, dim = self.embedder.model_id, self.embedder.dim
+        misses = staged(embedding.split_known(unique, self.store.read("embed_cache"), model, dim)[1].select("chunk_hash", "content"))
+        waves = -(-misses.count() // self.WAVE)
+        for wave in range(waves):
+            part = misses.where(F.pmod(F.xxhash64("chunk_hash"), F.lit(waves)) == wave)
+            added = vectors.checked(embedding.embed(part, self.embedder), dim)
+            self.store.append("embed_cache", added.select(F.lit(model).alias("model_id"), "chunk_hash", "vector"))
+        rows = staged(vectors.with_norm(embedding.known(unique, self.store.read("embed_cache"), model, dim).where("vector is not null")))
+        dropped = changes.where("type = 'deleted'" if self.on_modify == "keep" else "type != 'added'").select(F.col("path").alias("file_path"))
+        self.store.merge("chunks", self.store.read("chunks").join(dropped, "file_path", "left_semi").select("chunk_hash"), rows)
         counts = {r.type: r.n for r in merkle.change_summary(changes).collect()}
         told = {"indexed_chunks": made.count(), "deleted_files": counts.get("deleted", 0), "changed_files": counts.get("added", 0) + counts.get("modified", 0)}
-        self.store.commit({"chunks": chunks, "embed_cache": cached} | (folders or {}))
-        changes.unpersist(), made.unpersist()
+        discard(made, misses, rows)
         return told
 
     def search(self, query: str, k: int = 3) -> DataFrame:
         """file_path, start_line, end_line, content, score, preview of the k best chunks."""
-        if not query.strip():
+        if not isinstance(query, str) or not query.strip():
             raise ValueError("the query is empty")
         return self.search_vector(self.embedder.embed([query])[0].tolist(), k)
 
     def search_vector(self, vector: list[float], k: int = 3) -> DataFrame:
-        if k < 1:
-            raise ValueError("k must be at least 1")
+        if not isinstance(k, int) or k < 1:
+            raise ValueError("k must be a whole number, at least 1")
+        if len(vector) != self.embedder.dim:
+            raise ValueError(f"the vector has {len(vector)} values, not {self.embedder.dim}")
         found = vectors.top_k(self.store.read("chunks"), vector, k)
         return found.select("file_path", "start_line", "end_line", "content", "score", text.preview(F.col("content"), F.col("start_line")).alias("preview"))
 
     def status(self) -> DataFrame:
-        """files, dirs, bytes, root_hash of the committed tree."""
-        return merkle.stats(self.store.read("tree"))
+        """files, dirs, bytes, root_hash of the stored tree."""
+        return merkle.stats(self._committed())
 
     def watch(self, checkpoint: str, every: str = "2 seconds", once: bool = False, done: Callable[[dict[str, int]], None] | None = None):
         from cairn.streaming.watch import watch

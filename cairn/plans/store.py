@@ -1,74 +1,78 @@
-"""Versioned Parquet tables that are committed together.
+"""The index's tables: plain Parquet folders, partitioned by a hash of their key.
 
-A version is a folder for each table, never written twice, and a small numbered
-file that names the folders. ``commit`` gives that file its number by a rename
-that fails if another writer took it, so a reader sees the old version or the
-new one, and a job that fails half-way leaves folders that no version names.
+A change rewrites the partitions that hold a changed key, by Spark's dynamic
+partition overwrite, and leaves the others alone. Tables are written in an order
+in which a job that fails half-way does the same again when it is run again:
+``files``, which says what is indexed, comes last.
 """
 
 from __future__ import annotations
 
-import json
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.shared import discard, file_system, staged
+
 CHUNKS = "chunk_hash string, file_path string, start_line int, end_line int, content string, language string, vector array<float>, norm double"
 FILES = "path string, size bigint, mtime_ms bigint, hash string"
 TREE = "path string, parent string, depth int, type string, hash string, size bigint"
 CACHE = "model_id string, chunk_hash string, vector array<float>"
 SCHEMAS = {"chunks": CHUNKS, "files": FILES, "tree": TREE, "embed_cache": CACHE}
+KEYS = {"chunks": "chunk_hash", "files": "path", "tree": "path", "embed_cache": "chunk_hash"}
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        self._fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _path(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-
-    def _last(self) -> int:
-        at = self._path("versions")
-        names = [f.getPath().getName() for f in self._fs.listStatus(at)] if self._fs.exists(at) else []
-        return max((int(n) for n in names if n.isdigit()), default=0)
-
-    def pointer(self) -> dict[str, str]:
-        """Table to folder, as last committed; through Hadoop's file API, so that any store works."""
-        last = self._last()
-        if not last:
-            return {}
-        return json.loads(self.spark.read.text(f"{self.root}/versions/{last:010d}", wholetext=True).first()[0])
+    """``buckets``: partitions of a table; a few gigabytes each are a good size."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 16):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+
+    def _has(self, path: str) -> bool:
+        files, where = file_system(self.spark, f"{self.root}/{path}")
+        return files.exists(where)
+
+    def _bucketed(self, table: str) -> DataFrame:
+        schema = f"{SCHEMAS[table]}, bucket int"
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{table}") if self._has(table) else self.spark.createDataFrame([], schema)
 
     def read(self, table: str) -> DataFrame:
-        where = self.pointer().get(table)
-        if where is None:
-            return self.spark.createDataFrame([], SCHEMAS[table])
-        return self.spark.read.schema(SCHEMAS[table]).parquet(f"{self.root}/{where}")
+        return self._bucketed(table).drop("bucket")
 
     def exists(self) -> bool:
-        return bool(self.pointer())
-
-    def write(self, table: str, rows: DataFrame) -> str:
-        """A new folder for ``table``; nobody sees it before it is committed."""
-        where = f"{table}/{uuid.uuid4().hex}"
-        rows.select(*[c.split()[0] for c in SCHEMAS[table].split(", ")]).write.parquet(f"{self.root}/{where}")
-        return where
-
-    def commit(self, folders: dict[str, str]) -> None:
-        last = self._last()
-        now = self.pointer() | folders
-        new = self._path(f"versions/new-{uuid.uuid4().hex}")
-        out = self._fs.create(new)
-        out.write(bytearray(json.dumps(now).encode()))
-        out.close()
-        if not self._fs.rename(new, self._path(f"versions/{last + 1:010d}")):
-            raise OSError(f"another writer has committed to {self.root}")
+        return self._has("files/_SUCCESS")
+
+    def _dealt(self, table: str, rows: DataFrame) -> DataFrame:
+        columns = [c.split()[0] for c in SCHEMAS[table].split(", ")]
+        return rows.select(*columns, F.pmod(F.xxhash64(KEYS[table]), F.lit(self.buckets)).cast("int").alias("bucket"))
+
+    def append(self, table: str, rows: DataFrame) -> None:
+        self._dealt(table, rows).write.mode("append").partitionBy("bucket").parquet(f"{self.root}/{table}")
+
+    def replace(self, table: str, rows: DataFrame) -> None:
+        """The whole table; ``rows`` must not read it."""
+        self._dealt(table, rows).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(f"{self.root}/{table}")
+
+    def merge(self, table: str, gone: DataFrame, rows: DataFrame) -> None:
+        """Drop the keys in ``gone`` (a column, the key) and those of ``rows``, then add ``rows``."""
+        key = KEYS[table]
+        rows = staged(self._dealt(table, rows))
+        out = staged(gone.select(key).unionByName(rows.select(key)).distinct())
+        touched = [r[0] for r in out.select(F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")).distinct().collect()]  # at most as many as there are buckets
+        if touched:
+            kept = self._bucketed(table).where(F.col("bucket").isin(touched)).join(out, key, "left_anti")
+            new = staged(kept.unionByName(rows))
+            left = {r[0] for r in new.select("bucket").distinct().collect()}
+            new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.root}/{table}")
+            for b in set(touched) - left:
+                files, where = file_system(self.spark, f"{self.root}/{table}/bucket={b}")
+                files.delete(where, True)
+            discard(new)
+        discard(rows, out)
 
     def wipe(self) -> None:
-        self._fs.delete(self._path(""), True) if self._fs.exists(self._path("")) else None
+        files, where = file_system(self.spark, self.root)
+        if files.exists(where):
+            files.delete(where, True)
 
 
 def upsert(existing: DataFrame, new: DataFrame, key: str = "chunk_hash") -> DataFrame:

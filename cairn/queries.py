@@ -134,10 +134,10 @@ def chunk_delete_by_file(spark, sf_dir):
 SELECT 'hit' AS kind, count(*) AS n FROM chunks WHERE chunk_hash IN (SELECT * FROM cache) UNION ALL SELECT 'miss', count(DISTINCT chunk_hash) FROM chunks WHERE chunk_hash NOT IN (SELECT * FROM cache)""")
 def cache_split(spark, sf_dir):
     """A cache that knows about half of the hashes."""
-    chunks = chunking.windows(corpus(spark, sf_dir))
+    chunks = chunking.windows(corpus(spark, sf_dir)).select("chunk_hash")
     cache = chunks.where("chunk_hash < '8'").select(F.lit("m").alias("model_id"), "chunk_hash", F.array(F.lit(1.0)).alias("vector"))
-    hits, misses = embedding.split_known(chunks, cache, "m", 1)
-    return hits.agg(F.lit("hit").alias("kind"), F.count("*").alias("n")).unionByName(misses.agg(F.lit("miss").alias("kind"), F.count("*").alias("n")))
+    counts = embedding.known(chunks, cache, "m", 1).agg(F.count("vector").alias("hits"), F.count_distinct(F.when(F.col("vector").isNull(), F.col("chunk_hash"))).alias("misses"))
+    return counts.select(F.inline(F.array(F.struct(F.lit("hit").alias("kind"), F.col("hits").alias("n")), F.struct(F.lit("miss").alias("kind"), F.col("misses").alias("n")))))
 
 
 @query(f"WITH {_CHUNKS} SELECT count(*) AS indexed_chunks, count(DISTINCT chunk_hash) AS stored_chunks, count(DISTINCT file_path) AS files FROM chunks")

@@ -2,22 +2,27 @@
 
 Spark's own file readers leave out empty files and those whose name begins with
 a dot or an underscore; this one leaves out only what the ignore rules and the
-profile leave out. The driver lists names, a directory that is ignored is never
-entered, and tasks read contents. Columns: path (relative), size, mtime_ms,
-content (binary; null if it can't be read).
-
-As a stream it offers, at each poll, the files whose size or time changed and
-the paths that went (size -1). What it has seen is its offset, so a restarted
-query goes on where it stopped.
+profile leave out. The driver lists names (some 200 bytes of memory a file), a
+directory that is ignored is never entered, and tasks read contents. The tree must
+be mounted at the same path on all nodes. Columns: path (relative), size, mtime_ms,
+content (binary; null if it can't be read, or isn't asked for).
+
+As a stream it offers a listing (content is null) whenever the tree's files, sizes or
+times differ from the last one, after a pause in which changes that come close
+together are gathered. Its offset is a number and a digest of the listing.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
+import time
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from cairn.functions import ignore, paths
@@ -31,7 +36,9 @@ class Part(InputPartition):
 
 
 def walk(root: str, ignore_text: str, extensions: list[str], filenames: list[str]) -> Iterator[tuple[str, int, int]]:
-    """(relative path, size, mtime in ms) of regular files that pass; symlinked directories are followed once each."""
+    """(relative path, size, mtime in ms) of regular files that pass; symlinked directories are followed once each.
+
+    Segments that a poll never enters are left out whatever the rules say."""
     import re
 
     names, globs = ignore.parse(ignore_text)
@@ -40,7 +47,7 @@ def walk(root: str, ignore_text: str, extensions: list[str], filenames: list[str
     seen: set[tuple[int, int]] = set()
 
     def out(rel: str, name: str) -> bool:
-        return name in exact or rel in exact or any(w.fullmatch(name) or w.fullmatch(rel) for w in wild)
+        return name in ignore.SKIPPED or name in exact or rel in exact or any(w.fullmatch(name) or w.fullmatch(rel) for w in wild)
 
     todo = [""]
     while todo:
@@ -80,6 +87,8 @@ class _Options:
         self.ignore = options.get("ignore", "")
         self.extensions, self.filenames = (json.loads(options.get(k, "[]")) for k in ("extensions", "filenames"))
         self.parts = int(options.get("partitions", "32"))
+        self.contents = options.get("contents", "true") == "true"
+        self.pause = float(options.get("pause", "0.5"))
 
     def walk(self) -> list[tuple[str, int, int]]:
         return list(walk(self.root, self.ignore, self.extensions, self.filenames))
@@ -97,32 +106,38 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: Part) -> Iterator[tuple]:
         for rel, size, mtime in partition.files:
-            yield rel, size, mtime, read_one(self.options.root, rel)
+            yield rel, size, mtime, read_one(self.options.root, rel) if self.options.contents else None
 
 
 class _Stream(DataSourceStreamReader):
-    """Offsets hold signatures by path; the tasks read the contents."""
-
     def __init__(self, options: _Options):
         self.options = options
+        self.last: dict | None = None
 
     def initialOffset(self) -> dict:
-        return {"seen": "{}"}
+        return {"at": 0, "digest": ""}
+
+    def digest(self) -> str:
+        return hashlib.sha256("\n".join(sorted(f"{rel}\t{size}:{mtime}" for rel, size, mtime in self.options.walk())).encode("utf-8", "surrogateescape")).hexdigest()
 
     def latestOffset(self) -> dict:
-        return {"seen": json.dumps({rel: f"{size}:{mtime}" for rel, size, mtime in self.options.walk()}, sort_keys=True)}
+        """The last offset as long as nothing changed. After a restart the first poll counts as a change; applying it again does nothing."""
+        now = self.digest()
+        if self.last is not None and now != self.last["digest"]:
+            time.sleep(self.options.pause)
+            now = self.digest()
+        if self.last is None or now != self.last["digest"]:
+            self.last = {"at": time.time_ns(), "digest": now}
+        return self.last
 
     def partitions(self, start: dict, end: dict) -> list[Part]:
-        seen, now = json.loads(start["seen"]), json.loads(end["seen"])
-        files = [(rel, *map(int, sig.split(":"))) for rel, sig in now.items() if seen.get(rel) != sig]
-        files += [(rel, -1, 0) for rel in seen.keys() - now.keys()]
-        files.sort(key=lambda f: (-f[1], f[0]))
+        files = sorted(self.options.walk())
         n = max(1, min(self.options.parts, len(files)))
-        return [Part(files[i::n]) for i in range(n)]
+        return [Part(files[i::n]) for i in range(n)] if start != end else [Part([])]
 
     def read(self, partition: Part) -> Iterator[tuple]:
         for rel, size, mtime in partition.files:
-            yield rel, size, mtime, read_one(self.options.root, rel) if size >= 0 else None
+            yield rel, size, mtime, None
 
     def commit(self, end: dict) -> None:
         pass
@@ -143,9 +158,28 @@ class Files(DataSource):
         return _Stream(_Options(self.options))
 
 
-def options(root: str, ignore_text: str = "", profiles: tuple[list[str], list[str]] | None = None, partitions: int = 32) -> dict[str, str]:
+def options(root: str, ignore_text: str = "", profiles: tuple[list[str], list[str]] | None = None, partitions: int = 32, contents: bool = True, pause: float = 0.5) -> dict[str, str]:
     extensions, filenames = profiles if profiles is not None else paths.resolve_profiles()
-    return {"path": root, "ignore": ignore_text, "extensions": json.dumps(extensions), "filenames": json.dumps(filenames), "partitions": str(partitions)}
+    return {
+        "path": root, "ignore": ignore_text, "extensions": json.dumps(extensions), "filenames": json.dumps(filenames), "partitions": str(partitions), "contents": str(contents).lower(), "pause": str(pause),
+    }
+
+
+def contents(root: str, listed: DataFrame) -> DataFrame:
+    """``listed`` (path and any other columns) with the content of each file (null if it can't be read), read by the tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("path")
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                found = pa.array([read_one(root, row.column(at)[0].as_py())], pa.binary())
+                yield pa.RecordBatch.from_arrays([*row.columns, found], schema=row.schema.append(pa.field("content", pa.binary())))
+
+    from cairn.shipping import ship
+
+    ship(listed.sparkSession)
+    return listed.mapInArrow(run, T.StructType([*listed.schema.fields, T.StructField("content", T.BinaryType())]))
 
 
 def register(spark: SparkSession) -> None:

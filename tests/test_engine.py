@@ -1,31 +1,90 @@
 """The engine's operators against hand-derived cases, and every query against DuckDB."""
 
+import hashlib
+import json
 import os
+import signal
+import time
+import zlib
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from cairn import queries
 from cairn.functions import ignore, paths, text
-from cairn.operators import chunking, merkle, report, vectors
+from cairn.operators import chunking, embedding, merkle, report, vectors
+from cairn.plans.config import read_config
 from cairn.plans.engine import Engine
+from cairn.plans.store import Store
+from cairn.sources import files as source
+from cairn.streaming import watch as watching
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+def rows(d):
+    d = d[sorted(d.columns)].astype(object)
+    return sorted(repr([x.tolist() if hasattr(x, "tolist") else x for x in r]) for r in d.values.tolist())
+
+
+def brute_postprocess(docs):
+    out = []
+    for d in docs.itertuples():
+        text_ = d.text or ""
+        lines_ = text_.splitlines(True)
+        marks = [i for i, r in enumerate(text_.split("\n")) if " and " in r][::5]
+        spans, at = [], 0
+        for i in marks:
+            if i % 3 == 0:
+                spans += [(at, i)] * (i > at) + [(i, min(i + 2, len(lines_)))]
+                at = min(i + 2, len(lines_))
+        spans += [(at, len(lines_))] * (at < len(lines_) and bool(spans))
+        done = []
+        while spans:
+            a, b = spans.pop(0)
+            if b - a < 4 and spans:
+                done.append((a, spans.pop(0)[1]))
+            else:
+                done += [(s, min(s + 48, b)) for s in range(a, b, 40)] if b - a > 60 else [(a, b)]
+        for a, b in done or [(s, min(s + 48, len(lines_))) for s in range(0, len(lines_), 40)]:
+            body = "".join(lines_[a:b])
+            if body:
+                out.append((f"{d.source}/{d.lang}/{d.doc_id}.txt", a + 1, b, hashlib.sha256(body.encode()).hexdigest()))
+    return pd.DataFrame(out, columns=["file_path", "start_line", "end_line", "chunk_hash"])
+
+
+def brute_embed(docs):
+    out = {}
+    for d in docs.itertuples():
+        lines_ = (d.text or "").splitlines(True)
+        for s in range(0, len(lines_), 40):
+            body = "".join(lines_[s : s + 48])
+            v = [0.0] * 64
+            for w in body.lower().split():
+                for part, weight in [(w, 1.0)] + [(w[i : i + 3], 0.25) for i in range(len(w) - 2)]:
+                    h = zlib.crc32(part.encode())
+                    v[h % 64] += weight if h >> 31 else -weight
+            out[hashlib.sha256(body.encode()).hexdigest()] = v
+    return pd.DataFrame([(h, np.array(v, np.float32), float(np.sqrt(sum(x * x for x in v)))) for h, v in out.items()], columns=["chunk_hash", "vector", "norm"])
+
+
+BRUTE = {"chunk_postprocess": brute_postprocess, "embed_documents": brute_embed}
+
+
 @pytest.mark.parametrize("name", list(queries.QUERIES))
 def test_query(spark, name):
     got = queries.QUERIES[name](spark, SF).toPandas()
     if name not in queries.ORACLE_SQL:
-        assert len(got)
+        assert rows(got) == rows(BRUTE[name](spark.read.parquet(f"{SF}/documents.parquet").toPandas()))
         return
     con = duckdb.connect()
     for t in TABLES:
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = con.sql(queries.ORACLE_SQL[name]).df()
-    rows = lambda d: sorted(map(repr, d[sorted(d.columns)].astype(object).values.tolist()))
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
 
 
@@ -110,12 +169,33 @@ def test_empty_tree(spark):
 def test_top_k(spark):
     rows = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [-1.0, 0.0]), ("c", [0.0, 0.0]), ("d", [1.0, 1.0]), ("e", [2.0, 0.0])], "chunk_hash string, vector array<float>")
     keys = lambda q, k: [r.chunk_hash for r in vectors.top_k(rows, q, k).collect()]
+    assert [r.chunk_hash for r in vectors.top_k(rows.union(spark.createDataFrame([("f", [1.0])], rows.schema)), [1.0, 0.0], 9).collect()] == ["a", "e", "d", "b"]
+    with pytest.raises(Exception, match="a vector has 1 values, not 2"):
+        vectors.checked(spark.createDataFrame([("f", [1.0])], rows.schema), 2).collect()
     assert keys([1.0, 0.0], 9) == ["a", "e", "d", "b"] and keys([1.0, 0.0], 1) == ["a"] and keys([1.0, 0.0], 0) == [] and keys([0.0, 0.0], 3) == []
 
 
+@pytest.mark.parametrize("blocks", [(1_000, 50_000), (3, 7)])
+def test_top_k_each(spark, monkeypatch, blocks):
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", blocks[0]), monkeypatch.setattr(vectors, "ROW_BLOCK", blocks[1])
+    rng = np.random.default_rng(0)
+    data = [(f"k{i:02}", [float(x) for x in np.round(rng.normal(size=3))]) for i in range(40)] + [("zero", [0.0] * 3), ("short", [1.0])]
+    rows = spark.createDataFrame(data, "chunk_hash string, vector array<float>")
+    asked = rows.limit(10).selectExpr("chunk_hash query_id", "vector")
+    want = set()
+    for q, v in [(r.query_id, np.array(r.vector)) for r in asked.collect() if any(r.vector)]:
+        scores = sorted((-max(0.0, float(v @ np.array(w) / np.linalg.norm(v) / np.linalg.norm(w))), k) for k, w in data if len(w) == 3 and any(w))
+        want |= {(q, k, i + 1) for i, (_, k) in enumerate(sorted((round(s, 9), k) for s, k in scores)[:5])}
+    assert {(r.query_id, r.chunk_hash, r["rank"]) for r in vectors.top_k_each(rows.withColumn("norm", vectors.vector.norm(F.col("vector"))), asked, 5).select("query_id", "chunk_hash", "rank").collect()} == want
+    assert vectors.top_k_each(rows.limit(0), asked, 5).count() == vectors.top_k_each(rows, asked.limit(0), 5).count() == 0
+
+
 def test_percentiles(spark):
     some = lambda v: report.search_summary(spark.createDataFrame([(x,) for x in v], "ns bigint")).first()
     assert tuple(some([1, 2, 3, 4])) == (2, 3, 4, 4) and tuple(some([])) == (0, 0, 0, 0)
+    values = [int(x) for x in np.random.default_rng(1).integers(-(10**15), 10**15, 501)] + [7] * 100
+    place = sorted(values)
+    assert tuple(some(values))[1:] == (place[300], place[540], place[-1])
 
 
 def write(root, name, content):
@@ -178,3 +258,187 @@ def test_words_after_the_256th_count():
     words = [f"w{i}" for i in range(300)]
     a, b = HashedWords(64).embed([" ".join(words), " ".join([*words[:299], "other"])])
     assert (a != b).any()
+
+
+def test_formats(spark):
+    n = spark.createDataFrame([(0,), (1536,), (5 * 1024**2,), (3 * 1024**3,)], "n bigint")
+    assert [r[0] for r in n.select(text.format_bytes(F.col("n"))).collect()] == ["0 B", "1.5 KB", "5.0 MB", "3.0 GB"]
+    assert [r[0] for r in n.select(text.format_bytes(F.col("n"), bench=True)).collect()] == ["0B", "1.5KB", "5.0MB", "3072.0MB"]
+    d = spark.createDataFrame([(999,), (1_500,), (2_000_000,), (61_250_000_000,)], "n bigint")
+    assert [r[0] for r in d.select(text.format_duration_ns(F.col("n"))).collect()] == ["999ns", "1500ns", "2ms", "61.25s"]
+    assert [r[0] for r in d.select(text.format_duration(F.col("n"))).collect()][:2] == ["999ms", "1.50s"]
+    assert spark.range(1).select(text.format_score(F.lit(0.12345))).first()[0] == "0.123"
+
+
+def test_preview(spark):
+    made = lambda s, start=1: spark.createDataFrame([(s,)], "s string").select(text.preview(F.col("s"), F.lit(start))).first()[0]
+    assert made("a\n\nb\n\n", 9) == " 9 │ a\n10 │ \n11 │ b" and made("") == "1 │ "
+    assert made("\n".join("abcdefghij")) == "\n".join(f"{i + 1} │ {c}" for i, c in enumerate("abcdefgh")) + "\n  │ … 2 more"
+    assert made("x" * 201) == "1 │ " + "x" * 199 + "…" and made("x" * 200) == "1 │ " + "x" * 200
+
+
+def test_grammars_and_skips(spark):
+    assert column(spark, ["python", "", "cobol"], paths.has_grammar) == [True, False, False]
+    assert column(spark, ["a/.git/x", ".cairn/y", "a/git/x"], ignore.skipped) == [True, True, False]
+    assert ignore.merged("a\nb", "b\nc") == "a\nb\nc"
+    assert column(spark, ["x/node_modules/y.js", "a.pyc", "src/a.py"], lambda c: ignore.ignored(c, ignore.DEFAULT)) == [True, True, False]
+
+
+GO = """package x
+
+// Adds.
+// Twice.
+func Add(a int) int {
+\treturn a + 1 // }
+}
+
+var y = "{"
+
+type T struct {
+\tA int
+}
+"""
+TS = "import x from 'y';\n\n/** Doc */\nexport function f() {\n  return `{`;\n}\n\nconst a = 1;\nclass B {\n  m() {}\n}\n"
+
+
+def test_boundaries():
+    assert chunking.boundaries(GO, "go") == [(2, 7), (10, 13)]
+    assert chunking.boundaries(TS, "typescript") == [(2, 6), (7, 8), (8, 11)]
+    assert chunking.boundaries("#!/bin/sh\n# does\nrun() {\n  echo \"}\"\n}\nrun\n", "bash") == [(0, 5)]
+    assert chunking.boundaries("@dec\ndef f():\n    pass\n", "python") == [(0, 3)] and chunking.boundaries("def f(:", "python") is None and chunking.boundaries("x", "cobol") is None
+    assert chunking.boundaries("pub fn a() {\n}\nimpl B {\n  fn c() {}\n}\n", "rust") == [(0, 2), (2, 5)] and chunking.boundaries("fn a() {", "rust") == [(0, 1)]
+    assert chunking.spans_of(10, [(0, 8), (2, 4)]) == [(0, 8), (2, 4), (4, 10)]
+
+
+def test_model_provider(spark):
+    made = []
+
+    def load():
+        made.append(1)
+        return lambda texts: np.array([[len(t), 1.0] for t in texts])
+
+    provider = embedding.FromModel("lengths", 2, load)
+    rows = spark.createDataFrame([("a", "xyz"), ("b", None)], "chunk_hash string, content string")
+    got = {r.chunk_hash: (list(r.vector), round(r.norm, 3)) for r in embedding.embed(rows, provider).collect()}
+    assert got == {"a": ([3.0, 1.0], 3.162), "b": ([0.0, 1.0], 1.0)} and not made
+    with pytest.raises(ValueError):
+        embedding.FromModel("wrong", 3, load).embed(["x"])
+
+
+def test_changes_listed(spark):
+    changes = spark.createDataFrame([(f"f{i:02}", t, "h") for i, t in enumerate(["added", "deleted", "modified"] * 4)], "path string, type string, hash string")
+    assert merkle.change_lines(changes)[:3] == ["A f00", "D f01", "M f02"] and merkle.change_lines(changes)[-1] == "... 2 more" and len(merkle.change_lines(changes)) == 11
+    assert merkle.change_lines(changes.limit(0)) == []
+
+
+def test_scenarios_and_report(spark, tmp_path):
+    one = {"name": "koa", "repo": "r", "query": "q", "expectations": {"pathSubstring": "LIB", "answerMustInclude": ["Dispatch", "next"]}}
+    (tmp_path / "koa.json").write_text(json.dumps(one, indent=2))
+    (tmp_path / "zod.json").write_text(json.dumps({"name": "zod", "repo": "r", "query": "q"}))
+    assert report.scenarios(spark, f"file://{tmp_path}").count() == 2 and report.scenarios(spark, f"file://{tmp_path}", "nope").count() == 0
+    scenario = report.scenarios(spark, f"file://{tmp_path}", "koa.json")
+    terms = scenario.first().expectations.answerMustInclude
+    answers = spark.createDataFrame([("it calls dispatch and NEXT",), ("dispatch",), (None,)], "answer string")
+    assert [(list(r.missing), r.verified) for r in report.answer_has(answers, terms).collect()] == [([], True), (["next"], False), (terms, False)]
+    phases = spark.createDataFrame([("open", 2_000_000, None, 1), ("db", 500_000, "open", 1), ("index", 9_000_000, None, 1)], "name string, ns bigint, parent string, run int")
+    assert [tuple(r) for r in report.total_time(phases).collect()] == [(1, 11_000_000)]
+    tree = merkle.stats(merkle.tree(spark.createDataFrame([("a", "h", 5)], "path string, hash string, size int")))
+    timings = report.search_summary(phases.select("ns"))
+    row = json.loads(report.report(scenario, phases, tree, timings, 3).toJSON().first())
+    assert row["totalMs"] == 11 and row["tree"] == {"files": 1, "bytes": 5} and row["search"]["topK"] == 3 and row["scenario"]["name"] == "koa" and len(row["phases"]) == 3
+
+
+def test_config_and_own_rules(spark, tmp_path):
+    root = tmp_path / "tree"
+    assert read_config(str(root)) == {"mode": "local"}
+    write(root, ".cairn/config.json", json.dumps({"defaultProfiles": ["mine"], "fileProfiles": {"mine": {"extensions": ["zig"]}}}))
+    write(root, ".cairnignore", "gen/\n")
+    for name in ("a.zig", "gen/b.zig", "c.py", "build/d.zig"):
+        write(root, name, "x\n")
+    engine = Engine(spark, str(root), f"file://{tmp_path}/store")
+    assert [r.path for r in engine.listing().collect()] == ["a.zig"]
+
+
+def test_tree_diff_and_status(spark, tmp_path):
+    root = tmp_path / "tree"
+    write(root, "a/x.py", "x = 1\n")
+    write(root, "b.py", "y = 1\n")
+    for prune in (False, True):
+        engine = Engine(spark, str(root), f"file://{tmp_path}/store{prune}", prune=prune)
+        assert sorted((r.type, r.path) for r in engine.diff().collect()) == [("added", "a/x.py"), ("added", "b.py")]
+        engine.build()
+        assert engine.diff().count() == 0
+        assert engine.status().first() == merkle.stats(engine.tree()).first()
+        write(root, "a/x.py", f"x = '{prune}'\n")
+        assert [(r.type, r.path) for r in engine.diff().collect()] == [("modified", "a/x.py")]
+        assert engine.refresh()["changed_files"] == 1 and engine.diff().count() == 0
+    with pytest.raises(ValueError):
+        engine.search("  ")
+    with pytest.raises(ValueError):
+        engine.search_vector([1.0], 3)
+
+
+def test_quick_refresh_reads_changed_files_only(spark, tmp_path, monkeypatch):
+    root = tmp_path / "tree"
+    for i in range(6):
+        write(root, f"f{i}.py", f"v{i} = {i}\n")
+    engine = Engine(spark, str(root), f"file://{tmp_path}/store", buckets=4)
+    engine.build()
+    looked = []
+    real = engine.read
+    monkeypatch.setattr(engine, "read", lambda d: (looked.append(sorted(r.path for r in d.select("path").collect())), real(d))[1])
+    write(root, "f3.py", "changed = 33\n")
+    assert engine.refresh(full=False) == {"indexed_chunks": 1, "deleted_files": 0, "changed_files": 1}
+    assert looked == [["f3.py"], ["f3.py"]]
+    os.utime(root / "f4.py", (1, 1))
+    assert not any(engine.refresh(full=False).values()) and engine.store.read("files").where("path = 'f4.py'").first().mtime_ms == 1000
+    os.remove(root / "f5.py")
+    assert engine.refresh(full=False)["deleted_files"] == 1
+    assert sorted(r.content for r in engine.store.read("chunks").collect()) == ["changed = 33\n", *[f"v{i} = {i}\n" for i in (0, 1, 2, 4)]]
+
+
+def test_store_merges_touched_buckets(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s", buckets=4)
+    row = lambda p, h: (p, 1, 1, h)
+    frame = lambda r: spark.createDataFrame(r, "path string, size bigint, mtime_ms bigint, hash string")
+    store.replace("files", frame([row(f"p{i}", "a") for i in range(20)]))
+    before = {p: os.stat(p).st_mtime_ns for p in map(str, (tmp_path / "s/files").rglob("*.parquet"))}
+    store.merge("files", frame([row("p1", "")]).select("path"), frame([row("p2", "b")]))
+    got = {r.path: r.hash for r in store.read("files").collect()}
+    assert got == {f"p{i}": "b" if i == 2 else "a" for i in range(20) if i != 1}
+    after = {p: os.stat(p).st_mtime_ns for p in map(str, (tmp_path / "s/files").rglob("*.parquet"))}
+    assert set(before) & set(after)
+    store.merge("files", store.read("files").select("path"), frame([]))
+    assert store.read("files").count() == 0 and store.exists()
+
+
+def test_stream_offsets(spark, tmp_path):
+    write(tmp_path, "a.py", "x\n")
+    reader = source._Stream(source._Options({**source.options(str(tmp_path), pause=0.01)}))
+    first = reader.latestOffset()
+    assert reader.latestOffset() == first and len(json.dumps(first)) < 200
+    write(tmp_path, "b.py", "y\n")
+    second = reader.latestOffset()
+    assert second["at"] > first["at"] and sorted(f[0] for p in reader.partitions(first, second) for f in p.files) == ["a.py", "b.py"]
+
+
+class Query:
+    isActive = True
+
+    def stop(self):
+        self.isActive = False
+
+
+def test_idle_and_signal_stop(monkeypatch):
+    for given, want in {"": 15.0, "x": 15.0, "-1": 15.0, "0": 0.0, "2.5": 2.5, "nan": 15.0, "inf": 15.0}.items():
+        assert watching.idle_minutes(given) == want
+    idle, busy, never, told = Query(), Query(), Query(), Query()
+    threads = [watching.stop_when_idle(idle, lambda: time.time() - 61, 1, 0.01), watching.stop_when_idle(busy, time.time, 1, 0.01), watching.stop_when_idle(never, lambda: 0, 0, 0.01)]
+    threads[0].join(5), threads[2].join(5)
+    assert (idle.isActive, busy.isActive, never.isActive) == (False, True, True)
+    busy.stop()
+    before = signal.getsignal(signal.SIGTERM)
+    watching.stop_on_signal(told, (signal.SIGTERM,))
+    os.kill(os.getpid(), signal.SIGTERM)
+    time.sleep(0.05)
+    assert not told.isActive and signal.getsignal(signal.SIGTERM) == before
