@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from cairn.shared import staged  # noqa: F401  for the operators
 from cairn.shipping import ship
 
 
@@ -19,46 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    A local session that names none (as in tests) gets a temporary one; on a
-    cluster that would lose rows, so it is an error there.
-    """
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = f"file://{tempfile.mkdtemp(prefix='cairn-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
-def _place(spark: SparkSession, path: str):
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
-
-
-def staged(df: DataFrame, *done: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    Cuts the lineage so that a lost executor costs no recomputation, and drops
-    the partitioning, so that a later join shuffles both sides and Spark can
-    split its hot keys. Frames in ``done`` (of this function) are needed no more
-    and their files go now; all others go when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cairn-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    files, where = _place(spark, path)
-    files.deleteOnExit(where)
-    for old in done:
-        files.delete(_place(spark, old._cairn_path)[1], True)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._cairn_path = path
-    return back
-
-
 def quoted(name: str) -> Column:
     """The column of exactly this name, dots and backticks included."""
     return F.col("`" + name.replace("`", "``") + "`")
