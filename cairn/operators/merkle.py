@@ -37,6 +37,19 @@ def tree(files: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, levels)
 
 
+NODE = "path string, parent string, depth int, type string, hash string, size bigint"
+
+
+def to_json(nodes: DataFrame) -> DataFrame:
+    """A line of JSON (``value``) for each node, to be written as text."""
+    return nodes.select(F.to_json(F.struct("path", "parent", "depth", "type", "hash", "size")).alias("value"))
+
+
+def from_json(lines: DataFrame) -> DataFrame:
+    """The nodes that ``to_json`` wrote."""
+    return lines.select(F.from_json("value", NODE).alias("n")).select("n.*")
+
+
 def stats(nodes: DataFrame) -> DataFrame:
     return nodes.agg(
         F.count_if(F.col("type") == "file").alias("files"), F.count_if(F.col("type") == "directory").alias("dirs"),

@@ -19,13 +19,14 @@ class Engine:
     """``on_modify``: "replace" drops a modified file's old chunks, "keep" leaves those whose text is gone.
 
     ``ignore_text`` stands for the default rules; those of the tree's own file count besides.
-    Profiles come from the tree's configuration, where it has one.
+    Profiles come from the tree's configuration, where it has one. ``progress`` is called
+    with the name of a phase and its figures, as soon as they are known.
     """
 
     #: Chunks that are embedded and put into the cache at once: what a failed refresh loses.
     WAVE = 1_000_000
 
-    def __init__(self, spark: SparkSession, root: str, store: str, embedder: embedding.Embedder | None = None, ignore_text: str = ignore.DEFAULT, include: list[str] | None = None, only: list[str] | None = None, on_modify: str = "replace", prune: bool = False, boundaries: chunking.Boundaries = chunking.boundaries, buckets: int = 16):
+    def __init__(self, spark: SparkSession, root: str, store: str, embedder: embedding.Embedder | None = None, ignore_text: str = ignore.DEFAULT, include: list[str] | None = None, only: list[str] | None = None, on_modify: str = "replace", prune: bool = False, boundaries: chunking.Boundaries = chunking.boundaries, buckets: int = 16, progress: Callable[[str, dict[str, int]], None] | None = None):
         if on_modify not in ("replace", "keep"):
             raise ValueError("on_modify is replace or keep")
         config = read_config(root)
@@ -33,7 +34,7 @@ class Engine:
         self.embedder = embedder or embedding.HashedWords()
         self.ignore_text = ignore.merged(ignore_text, ignore.read_rules(root))
         self.profiles = paths.resolve_profiles(config.get("fileProfiles"), config.get("defaultProfiles"), include=include, only=only)
-        self.on_modify, self.prune, self.boundaries = on_modify, prune, boundaries
+        self.on_modify, self.prune, self.boundaries, self.progress = on_modify, prune, boundaries, progress or (lambda phase, figures: None)
         source.register(spark)
 
     def listing(self) -> DataFrame:
@@ -81,6 +82,7 @@ class Engine:
         looked = listed if full else listed.join(was, "path", "left").where("not (was <=> struct(size, mtime_ms))").drop("was")
         looked = staged(looked)
         hashed = staged(self.read(looked).select("path", "size", "mtime_ms", "hash"))
+        self.progress("hash", {"listed": listed.count(), "read": hashed.count()})
         gone = known.join(listed, "path", "left_anti").select("path")
         seen = staged(gone.unionByName(looked.select("path")))
         old = known.join(seen, "path", "left_semi")
@@ -122,17 +124,21 @@ class Engine:
         unique = chunking.last_written(made)
         model, dim = self.embedder.model_id, self.embedder.dim
         misses = staged(embedding.split_known(unique, self.store.read("embed_cache"), model, dim)[1].select("chunk_hash", "content"))
-        waves = -(-misses.count() // self.WAVE)
+        found, missed = made.count(), misses.count()
+        waves = -(-missed // self.WAVE)
+        self.progress("chunk", {"chunks": found, "unknown": missed})
         for wave in range(waves):
             part = misses.where(F.pmod(F.xxhash64("chunk_hash"), F.lit(waves)) == wave)
             added = vectors.checked(embedding.embed(part, self.embedder), dim)
             self.store.append("embed_cache", added.select(F.lit(model).alias("model_id"), "chunk_hash", "vector"))
+            self.progress("embed", {"wave": wave + 1, "waves": waves})
         rows = staged(vectors.with_norm(embedding.known(unique, self.store.read("embed_cache"), model, dim).where("vector is not null")))
         dropped = changes.where("type = 'deleted'" if self.on_modify == "keep" else "type != 'added'").select(F.col("path").alias("file_path"))
         self.store.merge("chunks", self.store.read("chunks").join(dropped, "file_path", "left_semi").select("chunk_hash"), rows)
         counts = {r.type: r.n for r in merkle.change_summary(changes).collect()}
-        told = {"indexed_chunks": made.count(), "deleted_files": counts.get("deleted", 0), "changed_files": counts.get("added", 0) + counts.get("modified", 0)}
+        told = {"indexed_chunks": found, "deleted_files": counts.get("deleted", 0), "changed_files": counts.get("added", 0) + counts.get("modified", 0)}
         discard(made, misses, rows)
+        self.progress("store", told)
         return told
 
     def search(self, query: str, k: int = 3) -> DataFrame:

@@ -161,6 +161,13 @@ def test_diff(spark):
     assert diffs(spark, {"p": "1"}, {"p/x": "2"}) == ([("added", "p/x"), ("deleted", "p")],) * 2
 
 
+def test_tree_as_json(spark):
+    nodes = merkle.tree(spark.createDataFrame([("a/b", "h1", 3), ("c", "h2", 4)], "path string, hash string, size int"))
+    lines = merkle.to_json(nodes)
+    assert all(json.loads(r.value)["hash"] for r in lines.collect())
+    assert sorted(merkle.from_json(lines).collect(), key=str) == sorted(nodes.collect(), key=str)
+
+
 def test_empty_tree(spark):
     row = merkle.stats(merkle.tree(spark.createDataFrame([], "path string, hash string, size int"))).first()
     assert (row.files, row.dirs, row.bytes, len(row.root_hash)) == (0, 1, 0, 64)
@@ -382,8 +389,11 @@ def test_quick_refresh_reads_changed_files_only(spark, tmp_path, monkeypatch):
     root = tmp_path / "tree"
     for i in range(6):
         write(root, f"f{i}.py", f"v{i} = {i}\n")
-    engine = Engine(spark, str(root), f"file://{tmp_path}/store", buckets=4)
+    phases = []
+    engine = Engine(spark, str(root), f"file://{tmp_path}/store", buckets=4, progress=lambda *x: phases.append(x))
+    engine.WAVE = 4
     engine.build()
+    assert phases == [("hash", {"listed": 6, "read": 6}), ("chunk", {"chunks": 6, "unknown": 6}), ("embed", {"wave": 1, "waves": 2}), ("embed", {"wave": 2, "waves": 2}), ("store", {"indexed_chunks": 6, "deleted_files": 0, "changed_files": 6})]
     looked = []
     real = engine.read
     monkeypatch.setattr(engine, "read", lambda d: (looked.append(sorted(r.path for r in d.select("path").collect())), real(d))[1])
