@@ -7,11 +7,19 @@ from pyspark.sql import functions as F
 
 #: Where a line ends, without taking its end away: as Python's splitlines does.
 _LINE_END = "(?<=\\n)|(?<=\\r)(?!\\n)|(?<=[\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029])"
+_OTHER_END = "[\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
 
 
 def lines(text: Column) -> Column:
     """The lines of a text with their ends; none for an empty text."""
-    return F.array_remove(F.split(text, _LINE_END, -1), "")
+
+    def ended(parts):
+        whole = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda x: F.concat(x, F.lit("\n")))
+        return F.concat(whole, F.slice(parts, F.lit(-1), F.lit(1)))
+
+    # most texts end lines by line feeds alone, which needs no regular expression
+    plain = F.transform(F.array(F.split(text, "\n", -1)), ended)[0]
+    return F.array_remove(F.when(text.rlike(_OTHER_END), F.split(text, _LINE_END, -1)).otherwise(plain), "")
 
 
 def content_hash(content: Column) -> Column:

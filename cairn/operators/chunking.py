@@ -26,11 +26,10 @@ Boundaries = Callable[[str, str], list[tuple[int, int]] | None]
 def windows(files: DataFrame) -> DataFrame:
     """Windows of WINDOW lines, a new one every STEP lines, for ``file_path`` and ``content``. An empty file has none."""
     split = files.select("file_path", text.lines(F.col("content")).alias("ls")).where("size(ls) > 0")
-    starts = split.select("file_path", "ls", F.explode(F.sequence(F.lit(0), F.size("ls") - 1, F.lit(STEP))).alias("at"))
-    made = starts.select(
-        "file_path", F.array_join(F.slice("ls", F.col("at") + 1, F.lit(WINDOW)), "").alias("content"), (F.col("at") + 1).alias("start_line"),
-        F.least(F.col("at") + WINDOW, F.size("ls")).alias("end_line"),
+    window = lambda at: F.struct(
+        F.array_join(F.slice("ls", at + 1, F.lit(WINDOW)), "").alias("content"), (at + 1).alias("start_line"), F.least(at + WINDOW, F.size("ls")).alias("end_line"),
     )
+    made = split.select("file_path", F.inline(F.transform(F.sequence(F.lit(0), F.size("ls") - 1, F.lit(STEP)), window)))
     return made.select("file_path", "content", text.content_hash(F.col("content")).alias("chunk_hash"), "start_line", "end_line", paths.language(F.col("file_path")).alias("language"))
 
 

@@ -118,7 +118,8 @@ def chunk_hashes(spark, sf_dir):
 SELECT chunk_hash, file_path, start_line FROM best WHERE start_line < 41 UNION ALL SELECT chunk_hash, file_path, start_line FROM existing e WHERE chunk_hash NOT IN (SELECT chunk_hash FROM best WHERE start_line < 41)""")
 def chunk_upsert_dedupe(spark, sf_dir):
     """The last writer of each hash, upserted into an older version of the table."""
-    best = chunking.last_written(chunking.windows(corpus(spark, sf_dir))).select("chunk_hash", "file_path", F.col("start_line").cast("bigint").alias("start_line"))
+    chunks = chunking.windows(corpus(spark, sf_dir)).select("chunk_hash", "file_path", F.col("start_line").cast("bigint").alias("start_line"))
+    best = chunking.last_written(chunks)
     existing = best.where("start_line % 2 = 1").withColumn("file_path", F.concat(F.lit("old/"), "file_path"))
     return upsert(existing, best.where("start_line < 41"))
 
