@@ -11,8 +11,8 @@ match targets. Projected gradient descent solves this nonnegative least squares:
 start at rate 1, step against the gradient, set negative rates to 0. In the
 metric that weighs a rate by the document's tokens, the step of a document
 depends on its posterior alone. The gradient is scaled by the inverse of the free
-documents' Gram matrix, so these are Newton-like steps, halved where one would go
-too far. What a step needs from the corpus are K sums and a K x K matrix, which
+documents' Gram matrix, so these are Newton-like steps; where one would go too far,
+halves of it, or the plain gradient, are taken. What a step needs from the corpus are K sums and a K x K matrix, which
 Spark adds up; rates follow from the steps' K numbers, so nothing that grows with
 the corpus reaches the driver, and no step lengthens the lineage.
 
@@ -46,9 +46,11 @@ TARGETS = {"clean": 0.97, "toxic": 0.01, "junk": 0.02}
 TRAIN_ROWS = 20_000
 #: Words and marks that the classifier knows: the bound of what it broadcasts.
 LEXICON = 256
-STEPS, CLOSE = 15, 1e-3
+STEPS, CLOSE = 25, 1e-3
 #: Rows' worth of belief that a word is as common in a domain as anywhere.
 PULL = 2.0
+#: The score of a domain that no labelled text has: no word makes up for it, and its posterior is 0.
+ABSENT = -1e6
 #: Standard deviations from chance that a word must be to count.
 ODD = 6.0
 
@@ -97,7 +99,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[l
     total = sum(sizes.values())
     ks = range(len(DOMAINS))
     if not total:
-        return [], [], [0.0] + [-50.0] * (len(DOMAINS) - 1)
+        return [], [], [0.0] + [ABSENT] * (len(DOMAINS) - 1)
     have = [F.count_if(F.col("domain") == k).alias(f"n{k}") for k in ks]
     words = sample.select("domain", F.explode("f").alias("w")).where("w != ''").groupBy("w").agg(F.count("*").alias("n"), *have)
     # how many standard deviations the word's count in a domain is from what chance would give it
@@ -106,7 +108,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[l
     top = words.withColumn("odd", F.greatest(*odd)).where(F.col("odd") >= ODD).orderBy(F.desc("odd"), "w").limit(LEXICON).collect()
     # smoothed towards how often the word is anywhere, so that a domain of few rows says little
     q = [[min(1 - 1e-4, max(1e-6, (r[f"n{k}"] + PULL * r.n / total) / (sizes.get(k, 0) + PULL))) for k in ks] for r in top]
-    prior = [math.log((sizes.get(k, 0) + 1e-3) / (total + 1e-3 * len(ks))) + sum(math.log(1 - x[k]) for x in q) for k in ks]
+    prior = [math.log(sizes[k] / total) + sum(math.log(1 - x[k]) for x in q) if sizes.get(k) else ABSENT for k in ks]
     return [r.w for r in top], [[math.log(y / (1 - y)) for y in x] for x in q], prior
 
 
@@ -163,8 +165,7 @@ def fit(members: DataFrame, targets: dict[str, float] = TARGETS, hold: bool = Fa
 
     have, gram = measured([])
     first, unmoved = float(have[0]), have
-    # a domain that no labelled text has is as good as absent: its posterior is the smoothing's
-    live = [k for k in ks if shares(have)[k] > 1e-9]
+    live = [k for k in ks if have[k] > 0]
     if first <= 0 or wanted[0] <= 0 or len(live) < 2:
         return [], 1.0, shares(have).tolist()
     wanted = np.where(np.isin(ks, live), wanted, 0.0)
@@ -185,13 +186,14 @@ def fit(members: DataFrame, targets: dict[str, float] = TARGETS, hold: bool = Fa
         if apart(have) <= CLOSE:
             break
         inner = ways @ gram @ ways.T
-        step = ways.T @ np.linalg.solve(inner + 1e-6 * np.diag(np.maximum(inner.diagonal(), 1.0)), left(have))
-        for _ in range(8):
-            tried = [*steps, [float(x) for x in step]]
+        newton = np.linalg.solve(inner + 1e-6 * np.diag(np.maximum(inner.diagonal(), 1.0)), left(have))
+        # the plain gradient, at the greatest step that surely leads down, where the scaled one goes too far
+        plain = left(have) / max(np.linalg.eigvalsh(inner)[-1], 1e-9)
+        for step in (*(newton / 2**j for j in range(7)), plain):
+            tried = [*steps, [float(x) for x in ways.T @ step]]
             new, new_gram = measured(tried)
-            if np.linalg.norm(left(new)) < np.linalg.norm(left(have)):
+            if np.linalg.norm(left(new)) < np.linalg.norm(left(have)) * (1 - 1e-9):
                 break
-            step = step / 2
         else:
             break
         steps, have, gram = tried, new, new_gram

@@ -237,6 +237,18 @@ def test_mixing_meets_feasible_targets_and_holds_the_first_domain(spark):
             assert (got.rate[(got.p_clean >= got.p_toxic) & (got.p_clean >= got.p_junk)] == 1).all()
 
 
+def test_mixing_without_a_domain(spark):
+    """After a filter no junk is left: the others' shares are met all the same, and clean texts stay once."""
+    rows = [(i, f"good prose number {i} of the village") for i in range(300)] + [(i, f"you worthless idiot {i} of the village") for i in range(300, 330)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    lab = spark.createDataFrame([(i, 1, int(i >= 300)) for i, _ in rows], "doc_id bigint, quality int, toxic int")
+    got = mixing.rates(docs, lab, ["doc_id"], hold=True).toPandas()
+    assert (got.rate[got.doc_id < 300] == 1).all() and (got.p_junk == 0).all()
+    toxic, clean = ((got.rate * got.n_tokens * got[f"p_{k}"]).sum() for k in ("toxic", "clean"))
+    assert np.isclose(toxic / clean, mixing.TARGETS["toxic"] / mixing.TARGETS["clean"], rtol=0.02)
+    assert mixing.resample(docs, lab).where("doc_id < 300").count() == 300
+
+
 # --- urls --------------------------------------------------------------------
 
 
