@@ -33,7 +33,6 @@ from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from cairn.llm import gbt
 from cairn.llm.common import with_columns

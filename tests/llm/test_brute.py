@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cairn.llm import bpe, gbt, html, langid, ledger, linededup, mixing, nearjoin, quality, queries, syncmers, urls
+from cairn.llm import bpe, gbt, html, langid, ledger, linededup, mixing, quality, queries, syncmers, urls
 
 SF = "/root/testdata/sf0.001"
 

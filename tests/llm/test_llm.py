@@ -6,7 +6,6 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cairn.llm import bpe, html, ledger, mixing, nearjoin, queries, syncmers, urls
