@@ -58,7 +58,7 @@ def top_k_each(chunks: DataFrame, queries: DataFrame, k: int = 3, key: str = "ch
     """
     live = (chunks if "norm" in chunks.columns else with_norm(chunks, column)).where("norm > 0")
     asked = with_norm(queries, column).where("norm > 0")
-    n, m = live.count(), asked.count()
+    n, m = chunks.count(), queries.count()
     deal = lambda d, by, blocks, others, mine, theirs: d.withColumn(mine, F.pmod(F.xxhash64(by), F.lit(blocks))).withColumn(theirs, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
     row_blocks, query_blocks = max(1, -(-n // ROW_BLOCK)), max(1, -(-m // QUERY_BLOCK))
     by = ["_q", "_r", "_dim"]
