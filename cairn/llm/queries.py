@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, html, langid, ledger, linededup, mixing, nearjoin, quality, syncmers, urls
+from cairn.llm import bpe, html, langid, ledger, linededup, mixing, nearjoin, prefixtrie, quality, runs, syncmers, toxicity, urls
 from cairn.llm.common import crc_mod, table
 
 
@@ -63,6 +63,24 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(table(spark, sf_dir, "pages"), ["page_id", "url"])
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words in all documents, one in ten of them with a periodic end."""
+    return runs.digests(runs.with_planted(table(spark, sf_dir, "documents")))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the trie of all conversations' prefixes."""
+    return prefixtrie.digests(table(spark, sf_dir, "conversations"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from labels whose crc32(doc_id) mod 5 is not 0; scores all from their text alone."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False))
+    model = toxicity.train(docs, labels, ~held_out)
+    return toxicity.score(docs, model, ["doc_id"]).select("doc_id", held_out.alias("held_out"), "score", "predicted", "offending")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
@@ -74,7 +92,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_quality_rules": op9_quality_rules,
     "op10_html_extraction": op10_html_extraction,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_toxicity": op13_toxicity,
 }
 
 #: DuckDB SQL for those that SQL can express. The others learn, hash or tokenize; tests hold them against brute force or a library.
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": linededup.SQL, "op7_url_filters": urls.SQL, "op9_quality_rules": ledger.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": linededup.SQL, "op7_url_filters": urls.SQL, "op9_quality_rules": ledger.SQL, "op12_prefix_trie": prefixtrie.SQL}
