@@ -24,7 +24,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import unit, with_columns
+from cairn.llm.common import staged, unit, with_columns
+from cairn.shared import discard
 
 #: Labelled rows, and bytes of their texts, that training reads, about: bounds on the sample, not on what is scored.
 TRAIN_ROWS, TRAIN_BYTES = 20_000, 200_000_000
@@ -74,38 +75,14 @@ def instances(text: str | None) -> list[tuple[int, int, set[str]]]:
     return found
 
 
-def telling(sentences: list[np.ndarray], doc: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The slots whose share of toxic documents differs from that of all by EVIDENCE. A sentence counts in its first document only, so that copies are no evidence."""
-    first: dict[bytes, int] = {}
-    for k, s in enumerate(sentences):
-        first.setdefault(s.tobytes(), k)
-    kept = np.fromiter(first.values(), np.int64, len(first))
+def fit(sentences: list[tuple[int, list[int]]], y: np.ndarray) -> Model:
+    """The model by gradient ascent on the log-likelihood (Adam). ``sentences``: document (a place in ``y``) and slots of each that has some; the others tell nothing."""
     n = len(y)
-    pairs = np.unique(np.concatenate([sentences[k].astype(np.int64) * n + doc[k] for k in kept])) if len(kept) else np.zeros(0, np.int64)
-    used = np.unique(doc[kept])
-    share = (y[used].sum() + 0.5) / (len(used) + 1)
-    count = np.bincount(pairs // n, minlength=SLOTS).astype(float)
-    bad = np.bincount(pairs // n, y[pairs % n], SLOTS)
-    at = np.flatnonzero(count)
-    c, b = count[at], bad[at]
-    part = lambda x, want: np.where(x > 0, x * np.log(np.maximum(x, 1e-9) / want), 0.0)
-    return at[2 * (part(b, c * share) + part(c - b, c * (1 - share))) >= EVIDENCE]
-
-
-def fit(docs: list[list[np.ndarray]], y: np.ndarray) -> Model:
-    """The model of documents, each a list of its sentences' slots, by gradient ascent on the log-likelihood (Adam)."""
-    n = len(docs)
-    if not n or not y.any():
+    if not y.any():
         return Model({}, 0.0)
-    sentences = [s for d in docs for s in d]
-    doc = np.repeat(np.arange(n), [len(d) for d in docs])
-    words = np.concatenate(sentences) if sentences else np.zeros(0, np.int64)
-    sentence = np.repeat(np.arange(len(sentences)), [len(s) for s in sentences])
-    common = telling(sentences, doc, y)
-    number = np.full(SLOTS, -1, np.int32)
-    number[common] = np.arange(len(common))
-    words = number[words]
-    sentence, words = sentence[words >= 0], words[words >= 0]
+    doc = np.array([d for d, _ in sentences], np.int64)
+    sentence = np.repeat(np.arange(len(sentences)), [len(s) for _, s in sentences])
+    common, words = np.unique(np.array([i for _, s in sentences for i in s], np.int64), return_inverse=True)
     x = np.zeros(len(common) + 1)  # weights, and the logit of the leak
     x[-1] = np.log(0.25 * y.mean() / (1 - 0.25 * y.mean()))
     m, v = np.zeros_like(x), np.zeros_like(x)
@@ -123,13 +100,26 @@ def fit(docs: list[list[np.ndarray]], y: np.ndarray) -> Model:
     return Model(dict(zip(common[kept].tolist(), x[kept].tolist(), strict=True)), float(1 / (1 + np.exp(-x[-1]))))
 
 
+def telling(slots: DataFrame) -> DataFrame:
+    """The slots of sentences (doc, bad, sentence, slot) whose share of toxic documents differs from that of all by EVIDENCE; SLOTS at most.
+
+    A sentence counts in the first of the documents that have it, so that copies are no evidence.
+    """
+    own = slots.join(slots.groupBy("sentence").agg(F.min("doc").alias("doc")), ["sentence", "doc"]).select("doc", "bad", "slot").distinct()
+    share = own.select("doc", "bad").distinct().agg((F.count_if("bad") + 0.5) / (F.count("*") + 1)).first()[0]
+    part = lambda k, want: F.when(k > 0, k * F.log(k / want)).otherwise(0.0)
+    c, b = F.col("n").cast("double"), F.col("n_bad").cast("double")
+    counts = own.groupBy("slot").agg(F.count("*").alias("n"), F.count_if("bad").alias("n_bad"))
+    return counts.where(2 * (part(b, c * share) + part(c - b, c * (1 - share))) >= EVIDENCE).select("slot")
+
+
 def train(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> Model:
     """The model of about ``rows`` labelled documents that ``learn`` admits, whose texts have about ``size`` bytes.
 
     The sample is drawn by a hash of the id. An id has two rows of the sample at most, so it is
     small enough to broadcast; if many documents share an id, or texts are
-    long, documents are thinned out by a hash of id and text. Tasks split texts and hash
-    words; the driver gets slot numbers.
+    long, documents are thinned out by a hash of id and text. Tasks split texts, hash words and
+    find the slots that tell something; the driver gets those alone.
     """
     able = labels.where(learn & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", (F.col("toxic") > 0).alias("bad")).distinct()
     n = able.count()
@@ -140,23 +130,18 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = TRAIN_R
     share = min(1.0, 2 * rows / max(1, n), size / max(1, total))
     if share < 1:
         sample = sample.where(unit(F.struct("doc_id", "text"), 7) < share)
-    sample = sample.dropDuplicates(["doc_id", "bad", "text"])
+    sample = sample.dropDuplicates(["doc_id", "bad", "text"]).withColumn("doc", F.xxhash64("doc_id", "bad", "text"))
 
     def make():
-        def step(texts):
-            slots, lengths = [], []
-            for t in texts:
-                each = [sorted(i for w in words for i in slots_of(w)) for _, _, words in instances(t)]
-                slots.append(np.array([i for s in each for i in s], "<i4").tobytes())
-                lengths.append([len(s) for s in each])
-            return {"slots": slots, "lengths": lengths}
-
-        return step
-
-    got = with_columns(sample, ["doc_id", "bad"], "text", make, "slots binary, lengths array<int>").collect()
-    got.sort(key=lambda r: (r.doc_id, r.bad, bytes(r.slots)))
-    made = [np.split(np.frombuffer(r.slots, "<i4"), np.cumsum(r.lengths)[:-1]) if r.lengths else [] for r in got]
-    return fit(made, np.array([r.bad for r in got], bool))
+        return lambda texts: {"slots": [[sorted(i for w in words for i in slots_of(w)) for _, _, words in instances(t)] for t in texts]}
+
+    split = staged(with_columns(sample, ["doc", "bad"], "text", make, "slots array<array<int>>"))
+    each = split.select("doc", "bad", F.posexplode("slots").alias("at", "s")).select("doc", "bad", "at", F.xxhash64("s").alias("sentence"), F.explode("s").alias("slot"))
+    found = each.join(F.broadcast(telling(each)), "slot").groupBy("doc", "at").agg(F.array_sort(F.collect_list("slot")).alias("slots")).orderBy("doc", "at").collect()
+    known = [(r.doc, r.bad) for r in split.select("doc", "bad").orderBy("doc").collect()]  # a row for each document of the sample
+    discard(split)
+    place = {d: k for k, (d, _) in enumerate(known)}
+    return fit([(place[r.doc], r.slots) for r in found], np.array([b for _, b in known], bool))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], threshold: float = THRESHOLD) -> DataFrame:
