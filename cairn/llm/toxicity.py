@@ -21,6 +21,7 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ from cairn.llm.common import staged, unit, with_columns
 from cairn.shared import discard
 
 #: Labelled rows, and bytes of their texts, that training reads, about: bounds on the sample, not on what is scored.
-TRAIN_ROWS, TRAIN_BYTES = 20_000, 200_000_000
+TRAIN_ROWS, TRAIN_BYTES = 10_000, 100_000_000
 #: From this score on a document, or a sentence, counts as toxic.
 THRESHOLD = 0.5
 #: Words are hashed to so many slots. A slot gets a weight if documents of one label have it more often than chance
@@ -75,19 +76,21 @@ def instances(text: str | None) -> list[tuple[int, int, set[str]]]:
     return found
 
 
-def fit(sentences: list[tuple[int, list[int]]], y: np.ndarray) -> Model:
-    """The model by gradient ascent on the log-likelihood (Adam). ``sentences``: document (a place in ``y``) and slots of each that has some; the others tell nothing."""
+def fit(doc: np.ndarray, sizes: np.ndarray, slots: np.ndarray, y: np.ndarray) -> Model:
+    """The model by gradient ascent on the log-likelihood (Adam).
+
+    ``doc`` (a place in ``y``) and number of ``slots`` of each sentence that has some, one after the other; the others tell nothing.
+    """
     n = len(y)
     if not y.any():
         return Model({}, 0.0)
-    doc = np.array([d for d, _ in sentences], np.int64)
-    sentence = np.repeat(np.arange(len(sentences)), [len(s) for _, s in sentences])
-    common, words = np.unique(np.array([i for _, s in sentences for i in s], np.int64), return_inverse=True)
+    sentence = np.repeat(np.arange(len(doc)), sizes)
+    common, words = np.unique(slots, return_inverse=True)
     x = np.zeros(len(common) + 1)  # weights, and the logit of the leak
     x[-1] = np.log(0.25 * y.mean() / (1 - 0.25 * y.mean()))
     m, v = np.zeros_like(x), np.zeros_like(x)
     for step in range(1, STEPS + 1):
-        z = np.bincount(sentence, x[words], len(sentences))
+        z = np.bincount(sentence, x[words], len(doc))
         leak = 1 / (1 + np.exp(-x[-1]))
         none = np.log1p(-leak) + np.bincount(doc, np.log1p(-np.minimum(chance(z), 1 - 1e-12)), n)  # log of the chance that nothing is toxic
         q = np.exp(none)
@@ -137,11 +140,16 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = TRAIN_R
 
     split = staged(with_columns(sample, ["doc", "bad"], "text", make, "slots array<array<int>>"))
     each = split.select("doc", "bad", F.posexplode("slots").alias("at", "s")).select("doc", "bad", "at", F.xxhash64("s").alias("sentence"), F.explode("s").alias("slot"))
-    found = each.join(F.broadcast(telling(each)), "slot").groupBy("doc", "at").agg(F.array_sort(F.collect_list("slot")).alias("slots")).orderBy("doc", "at").collect()
-    known = [(r.doc, r.bad) for r in split.select("doc", "bad").orderBy("doc").collect()]  # a row for each document of the sample
+    found = each.join(F.broadcast(telling(each)), "slot").groupBy("doc", "bad", "at").agg(F.array_sort(F.collect_list("slot")).alias("slots"))
+    got = found.orderBy("doc", "bad", "at").toArrow().combine_chunks()
+    all_bad, all_fair = split.agg(F.count_if("bad"), F.count_if(~F.col("bad"))).first()
     discard(split)
-    place = {d: k for k, (d, _) in enumerate(known)}
-    return fit([(place[r.doc], r.slots) for r in found], np.array([b for _, b in known], bool))
+    # documents with a telling sentence come first, then the others
+    names, doc = np.unique(got["doc"].to_numpy(), return_inverse=True)
+    y = np.zeros(len(names), bool)
+    y[doc] = got["bad"].to_numpy(zero_copy_only=False)
+    y = np.concatenate((y, np.ones(all_bad - y.sum(), bool), np.zeros(all_fair - (~y).sum(), bool)))
+    return fit(doc, pc.list_value_length(got["slots"]).to_numpy(), pc.list_flatten(got["slots"]).to_numpy(), y)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], threshold: float = THRESHOLD) -> DataFrame:
