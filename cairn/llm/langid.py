@@ -29,9 +29,8 @@ DIM, SEED = 512, 11
 #: Texts that are bundled by one matrix product.
 BLOCK = 64
 _EDGE, _FIRST = np.zeros(1, np.int64), np.ones(1, bool)
-#: Labelled rows that training reads, about: a bound on the sample, not on what is predicted. And the most languages that it
-#: learns, those with the most rows in the sample.
-TRAIN_ROWS, LANGUAGES = 20_000, 1_000
+#: Labelled rows that training reads, about: a bound on the sample, not on what is predicted.
+TRAIN_ROWS = 20_000
 
 
 @lru_cache(1)
@@ -89,7 +88,7 @@ def train(docs: DataFrame, learn: Column, rows: int = TRAIN_ROWS) -> dict[str, n
 
     The sample is drawn by a hash of the text, so copies enter or stay out
     together. Tasks bundle their own rows; what reaches the driver is one
-    vector a language, of LANGUAGES at most.
+    vector for each language of the sample.
     """
     able = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     n = able.count()
@@ -107,8 +106,8 @@ def train(docs: DataFrame, learn: Column, rows: int = TRAIN_ROWS) -> dict[str, n
         return step
 
     vectors = with_columns(able, ["lang"], "text", make, "v array<float>").where("v is not null")
-    sums = vectors.groupBy("lang").agg(F.count("*").alias("n"), F.array(*[F.sum(F.col("v")[k]) for k in range(DIM)]).alias("v"))
-    return {r.lang: np.array(r.v, np.float32) for r in sums.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    sums = vectors.groupBy("lang").agg(F.array(*[F.sum(F.col("v")[k]) for k in range(DIM)]).alias("v"))
+    return {r.lang: np.array(r.v, np.float32) for r in sums.collect()}
 
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str]) -> DataFrame:

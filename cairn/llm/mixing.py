@@ -143,8 +143,11 @@ def held() -> Column:
     return F.expr("_p[0] >= array_max(_p)")
 
 
-def fit(members: DataFrame, targets: dict[str, float] = TARGETS, hold: bool = False) -> tuple[list[list[float]], float, list[float]]:
-    """Steps and scale for ``rate_of``, from the columns _tokens and _p, and the share of the tokens that each domain reaches.
+def fit(members: DataFrame, targets: dict[str, float] = TARGETS, hold: bool = False) -> tuple[list[list[float]], float, bool, list[float]]:
+    """Steps, scale and ``hold`` for ``rate_of``, from the columns _tokens and _p, and the share of the tokens that each domain reaches.
+
+    Totals are measured against the first domain, which keeps its tokens; if it has none or
+    nothing is asked of it, against that of the asked ones which has the most, and nothing is held.
 
     What should vanish: without ``hold``, each domain's total less its target, at
     the first domain's tokens; with it, each further domain's total less what the
@@ -164,13 +167,18 @@ def fit(members: DataFrame, targets: dict[str, float] = TARGETS, hold: bool = Fa
         return s / max(s.sum(), 1e-9)
 
     have, gram = measured([])
-    first, unmoved = float(have[0]), have
     live = [k for k in ks if have[k] > 0]
-    if first <= 0 or wanted[0] <= 0 or len(live) < 2:
-        return [], 1.0, shares(have).tolist()
+    asked = [k for k in live if wanted[k] > 0]
+    if not asked or len(live) < 2:
+        return [], 1.0, hold, shares(have).tolist()
+    base = 0 if 0 in asked else max(asked, key=lambda k: have[k])
+    if hold and base:
+        hold = False
+        have, gram = measured([])
+    first, unmoved = float(have[base]), have
     wanted = np.where(np.isin(ks, live), wanted, 0.0)
     wanted /= wanted.sum()
-    want = first / wanted[0] * wanted
+    want = first / wanted[base] * wanted
     ways = np.eye(len(names))[live]
     if hold:
         ways = ways[[k for k, d in enumerate(live) if d]] - np.outer(wanted[[d for d in live if d]] / wanted[0], np.eye(len(names))[0])
@@ -197,9 +205,9 @@ def fit(members: DataFrame, targets: dict[str, float] = TARGETS, hold: bool = Fa
         else:
             break
         steps, have, gram = tried, new, new_gram
-    if have[0] <= 1e-6 * first:
-        return [], 1.0, shares(unmoved).tolist()
-    return steps, 1.0 if hold else first / float(have[0]), shares(have).tolist()
+    if have[base] <= 1e-6 * first:
+        return [], 1.0, hold, shares(unmoved).tolist()
+    return steps, 1.0 if hold else first / float(have[base]), hold, shares(have).tolist()
 
 
 def rates(docs: DataFrame, labels: DataFrame, keep: list[str], targets: dict[str, float] = TARGETS, hold: bool = False) -> DataFrame:
@@ -211,7 +219,7 @@ def rates(docs: DataFrame, labels: DataFrame, keep: list[str], targets: dict[str
     new = {"n_tokens", "rate", "copies", *(f"{x}_{n}" for n in DOMAINS for x in ("p", "target", "reached"))}
     kept = [c for c in keep if c.lower() not in new]
     whole = staged(with_posteriors(docs, learn(docs, labels), [F.struct(*[quoted(c) for c in kept], F.lit(0).alias("_")).alias("_row")]))
-    steps, scale, reached = fit(whole, targets, hold)
+    steps, scale, hold, reached = fit(whole, targets, hold)
     rate = rate_of(steps, scale, hold)
     named = [F.col("_p")[k].alias(f"p_{n}") for k, n in enumerate(DOMAINS)]
     ends = [F.lit(float(x)).alias(f"{what}_{n}") for k, n in enumerate(DOMAINS) for what, x in (("target", targets[n]), ("reached", reached[k]))]
@@ -227,6 +235,6 @@ def copies(rate: Column) -> Column:
 def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, hold: bool = True) -> DataFrame:
     """``docs`` with each row as often as its rate says; columns as they were."""
     whole = staged(with_posteriors(docs, learn(docs, labels), [packed(docs).alias("_row")]))
-    steps, scale, _ = fit(whole, targets, hold)
+    steps, scale, hold, _ = fit(whole, targets, hold)
     drawn = whole.withColumn("_copies", copies(rate_of(steps, scale, hold)))
     return drawn.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*unpacked(docs))

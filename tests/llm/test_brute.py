@@ -203,24 +203,27 @@ def members(spark, p, t):
     return spark.createDataFrame([(int(n), [float(x) for x in q]) for n, q in zip(t, p)], "_tokens bigint, _p array<double>")
 
 
-@pytest.mark.parametrize("targets", [(0.6, 0.2, 0.2), (0.2, 0.7, 0.1), (0.97, 0.01, 0.02), (0.999, 0.0, 0.001)])
+@pytest.mark.parametrize("targets", [(0.6, 0.2, 0.2), (0.2, 0.7, 0.1), (0.97, 0.01, 0.02), (0.999, 0.0, 0.001), (0.0, 0.5, 0.5), (0.0, 1.0, 0.0)])
 def test_mixing_is_nonnegative_least_squares(spark, targets):
     rng = np.random.default_rng(3)
     p = rng.dirichlet((0.3, 0.15, 0.2), 120)
     t = rng.integers(5, 200, 120)
     wanted = dict(zip(mixing.DOMAINS, targets))
-    steps, scale, reached = mixing.fit(members(spark, p, t), wanted)
+    for hold in (False, True) if not targets[0] else (False,):  # nothing is held where nothing is asked of the first domain
+        steps, scale, held, reached = mixing.fit(members(spark, p, t), wanted, hold)
+        assert not held
     got = [r[0] for r in members(spark, p, t).select(mixing.rate_of(steps, scale)).collect()]
     assert min(got) >= 0
     # projected gradient on all rates, by hand and for long
     a, want = p.T * t, None
-    want = a[0].sum() / targets[0] * np.array(targets)
+    base = 0 if targets[0] else int(np.argmax(a.sum(1) * (np.array(targets) > 0)))
+    want = a[base].sum() / targets[base] * np.array(targets)
     r, size = np.ones(120), 1 / np.linalg.norm(a, 2) ** 2
     for _ in range(60_000):
         r = np.maximum(0, r - size * a.T @ (a @ r - want))
     best = a @ r
     mine = a @ np.array(got)
-    mine = mine * want[0] / mine[0] if best[0] > 0.999 * want[0] else mine
+    mine = mine * want[base] / mine[base] if best[base] > 0.999 * want[base] else mine
     assert np.linalg.norm(mine - want) <= np.linalg.norm(best - want) + 0.003 * np.linalg.norm(want)
     assert np.allclose(reached, (a @ np.array(got)) / (a @ np.array(got)).sum(), atol=1e-6)
 
