@@ -2,40 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from bisect import bisect_right
+from functools import reduce
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-#: Spans of values that a pass counts, and so the rows that it brings to the driver.
-SPANS = 1_024
+#: The sketch that brackets a percentile is off by one in so many places at most.
+ACCURACY = 10_000
+#: Values of brackets that the driver looks at; wider brackets are narrowed by further passes, which count SPANS spans each.
+MOST, SPANS = 1_000_000, 1_024
 
 
-def ranked(rows: DataFrame, values: str, places: list[int], low: int, high: int) -> list[int]:
+def ranked(rows: DataFrame, values: str, places: list[int], brackets: list[tuple[int, int]], low: int, high: int) -> list[int]:
     """The values (integers from ``low`` to ``high``) at ``places`` of the sorted ones, from 0.
 
-    Each pass counts SPANS equal spans of what is left and goes on in the one that holds
-    the place: a few passes with partial sums, and no sort.
+    ``brackets`` should hold them. One pass counts what lies between the brackets, and each value inside;
+    that settles all places, unless a bracket is wrong or has too many values.
     """
-    found = []
-    for place in places:
-        a, b, before = low, high, 0
-        while a < b:
-            width = (b - a) // SPANS + 1
-            counts = rows.where(F.col(values).between(a, b)).groupBy(F.expr(f"({values} - {a}L) div {width}L").alias("span")).count().orderBy("span").collect()
-            for r in counts:
-                if before + r["count"] > place:
-                    a, b = a + r.span * width, min(b, a + r.span * width + width - 1)
-                    break
-                before += r["count"]
-        found.append(a)
-    return found
+    cuts = sorted({x for a, b in brackets for x in (a, b + 1)})
+    inside = reduce(Column.__or__, [F.col(values).between(a, b) for a, b in brackets])
+    span = sum((F.col(values) >= c).cast("int") for c in cuts)
+    seen = rows.where(F.col(values).isNotNull()).groupBy(span.alias("span"), F.when(inside, F.col(values)).alias("v")).count()
+    got = seen.limit(MOST + 1).collect()
+    if len(got) <= MOST:
+        got.sort(key=lambda r: (r.span, r.v is not None, r.v or 0))
+        ends = list(accumulate(r["count"] for r in got))
+        found = [got[bisect_right(ends, p)].v for p in places]
+        if None not in found:
+            return found
+    return [_narrowed(rows, values, p, low, high) for p in places]
+
+
+def _narrowed(rows: DataFrame, values: str, place: int, a: int, b: int) -> int:
+    """As ``ranked``, for one place: each pass counts SPANS equal spans of what is left and goes on in the one that holds it."""
+    before = 0
+    while a < b:
+        width = (b - a) // SPANS + 1
+        counts = rows.where(F.col(values).between(a, b)).groupBy(F.expr(f"({values} - {a}L) div {width}L").alias("span")).count().orderBy("span").collect()
+        for r in counts:
+            if before + r["count"] > place:
+                a, b = a + r.span * width, min(b, a + r.span * width + width - 1)
+                break
+            before += r["count"]
+    return a
 
 
 def search_summary(timings: DataFrame, ns: str = "ns", shares: tuple[float, ...] = (0.5, 0.9)) -> DataFrame:
-    """mean (whole), p50, p90 and max: a percentile p is the value at place min(n - 1, floor(p * n)), from 0; all are 0 for none."""
-    n, total, low, high = timings.agg(F.count(ns), F.sum(ns), F.min(ns), F.max(ns)).first()
-    found = ranked(timings, ns, [min(n - 1, int(p * n)) for p in shares], low, high) if n else [0] * len(shares)
+    """mean (whole), p50, p90 and max: a percentile p is the value at place min(n - 1, floor(p * n)), from 0; all are 0 for none.
+
+    Two passes for any number of percentiles: one for the sums and a mergeable sketch that brackets all places, one that counts.
+    """
+    margin = 3 / ACCURACY
+    bounds = [min(1.0, max(0.0, x)) for p in shares for x in (p - margin, p + margin)]
+    n, total, low, high, sketch = timings.agg(F.count(ns), F.sum(ns), F.min(ns), F.max(ns), F.percentile_approx(ns, bounds, ACCURACY)).first()
+    found = [0] * len(shares)
+    if n:
+        brackets = [(low if p <= margin else sketch[2 * i], high if p >= 1 - margin else sketch[2 * i + 1]) for i, p in enumerate(shares)]
+        found = ranked(timings, ns, [min(n - 1, int(p * n)) for p in shares], brackets, low, high)
     mean = abs(total) // n * (1 if total >= 0 else -1) if n else 0
     names = ["mean", *[f"p{round(100 * p)}" for p in shares], "max"]
     return timings.sparkSession.createDataFrame([(mean, *found, high or 0)], ", ".join(f"{x} bigint" for x in names))

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import ignore, paths, text
 from cairn.operators import chunking, embedding, merkle, vectors
 from cairn.plans.config import read_config
-from cairn.plans.store import Store
+from cairn.plans.store import Change, Store, merged
 from cairn.shared import discard, staged
 from cairn.sources import files as source
 
@@ -51,19 +51,18 @@ class Engine:
         return self.read(self.listing())
 
     def tree(self) -> DataFrame:
-        return merkle.tree(self.scan().select("path", "hash", "size"))
+        return merkle.tree(self.scan().select("path", "hash", "size"), self.store.buckets).drop("bucket")
 
     def diff(self) -> DataFrame:
         """What changed since the index was last refreshed."""
-        now = self.scan().select("path", "hash", "size")
+        now, exists = self.scan().select("path", "hash", "size"), self.store.exists()
         if self.prune:
-            return merkle.diff_pruned(self._committed() if self.store.exists() else None, merkle.tree(now))
-        return merkle.diff(self.store.read("files").select("path", "hash") if self.store.exists() else None, now.select("path", "hash"))
+            return merkle.diff_pruned(self._committed() if exists else None, merkle.tree(now, self.store.buckets), self.store.buckets)
+        return merkle.diff(self.store.read("files").select("path", "hash") if exists else None, now.select("path", "hash"))
 
     def _committed(self) -> DataFrame:
         """The stored tree: its directories, and the files."""
-        leaves = self.store.read("files").select("path", paths.dirname(F.col("path")).alias("parent"), F.size(F.split("path", "/")).alias("depth"), F.lit("file").alias("type"), "hash", "size")
-        return self.store.read("tree").unionByName(leaves)
+        return self.store.bucketed("tree").unionByName(merkle.leaves(self.store.bucketed("files"), "bucket"))
 
     def build(self) -> dict[str, int]:
         """From nothing: wipes the store first."""
@@ -71,73 +70,95 @@ class Engine:
         return self.refresh()
 
     def refresh(self, full: bool = True, listed: DataFrame | None = None) -> dict[str, int]:
-        """Applies all changes; one that fails can be run again.
+        """Applies all changes, which readers see together at the end; one that fails can be run again.
 
         ``full`` reads and hashes every file, otherwise only those whose size or time changed.
         Contents are read again for files that did change, and for those alone.
         """
-        known = self.store.read("files")
-        listed = staged(self.listing() if listed is None else listed)
+        known, exists = self.store.bucketed("files"), self.store.exists()
+        n_listed, n_read = Observation(), Observation()
+        listed = staged((self.listing() if listed is None else listed).observe(n_listed, F.count(F.lit(1)).alias("n")))
         was = known.select("path", F.struct("size", "mtime_ms").alias("was"))
         looked = listed if full else listed.join(was, "path", "left").where("not (was <=> struct(size, mtime_ms))").drop("was")
-        looked = staged(looked)
-        hashed = staged(self.read(looked).select("path", "size", "mtime_ms", "hash"))
-        self.progress("hash", {"listed": listed.count(), "read": hashed.count()})
+        hashed = staged(self.read(looked).select("path", "size", "mtime_ms", "hash").observe(n_read, F.count(F.lit(1)).alias("n")))
+        self.progress("hash", {"listed": n_listed.get["n"], "read": n_read.get["n"]})
+        # what the store says of all files that were looked at or are gone, beside what was found
         gone = known.join(listed, "path", "left_anti").select("path")
-        seen = staged(gone.unionByName(looked.select("path")))
-        old = known.join(seen, "path", "left_semi")
-        if self.prune and self.store.exists():
-            now = known.join(seen, "path", "left_anti").unionByName(hashed)
-            changes = merkle.diff_pruned(self._committed(), merkle.tree(now.select("path", "hash", "size")))
-        else:
-            changes = merkle.diff(old.select("path", "hash"), hashed.select("path", "hash"))
-        changes = staged(changes)
-        told = {"indexed_chunks": 0, "deleted_files": 0, "changed_files": 0}
-        if not changes.isEmpty() or not self.store.exists():
-            told = self.apply(changes)
-        stale = hashed.join(known, ["path", "size", "mtime_ms", "hash"], "left_anti")
-        removed = old.join(hashed, "path", "left_anti").select("path")
-        if told["deleted_files"] or told["changed_files"] or not stale.isEmpty() or not self.store.exists():
-            self._record(removed, stale)
-        discard(listed, looked, hashed, seen, changes)
+        old = known.join(gone.unionByName(looked.select("path")), "path", "left_semi").select("path", "bucket", F.struct("size", "mtime_ms", "hash").alias("old"))
+        both = old.join(hashed.select("path", F.struct("size", "mtime_ms", "hash").alias("new")), "path", "full_outer")
+        unlike = staged(both.where("not (old <=> new)"))
+        found = unlike.select("path", F.col("old.hash").alias("was"), F.col("new.hash").alias("hash")).where("not (was <=> hash)")
+        kind = F.when(F.col("was").isNull(), "added").when(F.col("hash").isNull(), "deleted").otherwise("modified")
+        changes = found.select("path", kind.alias("type"), "hash")
+        told = {"indexed_chunks": 0, "deleted_files": 0, "changed_files": 0, "failed_files": 0}
+        nothing = unlike.isEmpty()
+        if nothing and exists:
+            discard(listed, hashed, unlike)
+            return told
+        files, removed = staged(unlike.where("new is not null").select("path", "new.*")), unlike.where("new is null").select("path")
+        dirs = self._directories(known, files, removed, changes.select("path"), exists)
+        wrote = [listed, hashed, unlike, files, dirs]
+        if self.prune and exists:
+            now = merkle.leaves(merged(known, files.withColumn("bucket", self.store.bucket("files")), "path", removed), "bucket").unionByName(self._updated(dirs))
+            wrote.append(changes := merkle.diff_pruned(self._committed(), now, self.store.buckets))
+        with self.store.change() as change:
+            if not nothing:
+                told = self.apply(changes, change)
+            change.merge("files", files, removed)
+            if exists:
+                change.merge("tree", dirs.where("hash is not null"), dirs.where("hash is null"))
+            else:
+                change.replace("tree", dirs)
+        discard(*wrote)
         return told
 
-    def _record(self, removed: DataFrame, rows: DataFrame) -> None:
-        """The directories' hashes, then the files: what comes last says that all is done."""
-        rows, removed = staged(rows), staged(removed)
-        now = self.store.read("files").join(removed.unionByName(rows.select("path")), "path", "left_anti").unionByName(rows)
-        self.store.replace("tree", merkle.tree(now.select("path", "hash", "size")).where("type = 'directory'"))
-        if self.store.exists():
-            self.store.merge("files", removed, rows)
-        else:
-            self.store.replace("files", rows)
-        discard(rows, removed)
-
-    def apply(self, changes: DataFrame) -> dict[str, int]:
+    def _directories(self, known: DataFrame, files: DataFrame, removed: DataFrame, changed: DataFrame, exists: bool) -> DataFrame:
+        """The directories that change (hash is null: gone), or all of a first refresh; a written frame."""
+        if not exists:
+            nodes = merkle.tree(files, self.store.buckets)
+            return staged(nodes.where("type = 'directory'").select(merkle.COLUMNS), nodes)
+        now = merged(known, files.withColumn("bucket", self.store.bucket("files")), "path", removed)
+        return merkle.update(self.store.bucketed("tree"), merkle.leaves(now, "bucket"), changed, self.store.buckets)
+
+    def _updated(self, dirs: DataFrame) -> DataFrame:
+        """The stored directories as they are after ``dirs``."""
+        kept = self.store.bucketed("tree").join(dirs.select("path"), "path", "left_anti")
+        return kept.unionByName(dirs.where("hash is not null").withColumn("bucket", self.store.bucket("tree")))
+
+    def apply(self, changes: DataFrame, change: Change | None = None) -> dict[str, int]:
         """Deletes, chunks, embeds what the cache lacks, upserts, for ``changes`` (path, type, hash).
 
-        A file whose content is no longer the one in ``changes`` is left to the next refresh.
+        A file that can't be read any more, or whose content is no longer the one in ``changes``, counts
+        as failed and is left to the next refresh. Without ``change`` the chunks are seen at once.
         """
+        if change is None:
+            with self.store.change() as change:
+                return self.apply(changes, change)
+        n_fresh, n_made, n_missed = Observation(), Observation(), Observation()
+        count = lambda o, d: d.observe(o, F.count(F.lit(1)).alias("n"))
+        counts = {r.type: r.n for r in merkle.change_summary(changes).collect()}
         wanted = changes.where("type != 'deleted'").select("path", F.col("hash").alias("wanted"))
-        fresh = self.read(wanted).where("hash = wanted").select(F.col("path").alias("file_path"), "content")
-        made = staged(chunking.chunk(fresh, self.boundaries))
+        fresh = count(n_fresh, self.read(wanted).where("hash = wanted").select(F.col("path").alias("file_path"), "content"))
+        made = staged(count(n_made, chunking.chunk(fresh, self.boundaries)))
         unique = chunking.last_written(made)
         model, dim = self.embedder.model_id, self.embedder.dim
-        misses = staged(embedding.split_known(unique, self.store.read("embed_cache"), model, dim)[1].select("chunk_hash", "content"))
-        found, missed = made.count(), misses.count()
+        parts = self.store.touched("embed_cache", made)
+        misses = staged(count(n_missed, embedding.split_known(unique, self.store.bucketed("embed_cache", parts), model, dim)[1].select("chunk_hash", "content")))
+        found, missed = n_made.get["n"], n_missed.get["n"]
         waves = -(-missed // self.WAVE)
         self.progress("chunk", {"chunks": found, "unknown": missed})
         for wave in range(waves):
             part = misses.where(F.pmod(F.xxhash64("chunk_hash"), F.lit(waves)) == wave)
             added = vectors.checked(embedding.embed(part, self.embedder), dim)
-            self.store.append("embed_cache", added.select(F.lit(model).alias("model_id"), "chunk_hash", "vector"))
+            change.append("embed_cache", added.select(F.lit(model).alias("model_id"), "chunk_hash", "vector"))
             self.progress("embed", {"wave": wave + 1, "waves": waves})
-        rows = staged(vectors.with_norm(embedding.known(unique, self.store.read("embed_cache"), model, dim).where("vector is not null")))
-        dropped = changes.where("type = 'deleted'" if self.on_modify == "keep" else "type != 'added'").select(F.col("path").alias("file_path"))
-        self.store.merge("chunks", self.store.read("chunks").join(dropped, "file_path", "left_semi").select("chunk_hash"), rows)
-        counts = {r.type: r.n for r in merkle.change_summary(changes).collect()}
-        told = {"indexed_chunks": found, "deleted_files": counts.get("deleted", 0), "changed_files": counts.get("added", 0) + counts.get("modified", 0)}
-        discard(made, misses, rows)
+        vectors_of = embedding.known(unique, change.bucketed("embed_cache", parts), model, dim).where("vector is not null")
+        rows = staged(vectors.with_norm(vectors_of))
+        dropped = staged(changes.where("type = 'deleted'" if self.on_modify == "keep" else "type != 'added'").select(F.col("path").alias("file_path")))
+        change.put_chunks(rows, dropped)
+        changed = counts.get("added", 0) + counts.get("modified", 0)
+        told = {"indexed_chunks": found, "deleted_files": counts.get("deleted", 0), "changed_files": changed, "failed_files": changed - n_fresh.get["n"]}
+        discard(made, misses, rows, dropped)
         self.progress("store", told)
         return told
 

@@ -6,6 +6,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 
 from cairn.functions import ignore, paths, text, vector
 from cairn.operators import chunking, embedding, merkle, report, vectors
-from cairn.plans.store import delete_files, upsert
+from cairn.plans.store import Store, upsert
+from cairn.shared import file_system, shared_dir, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -67,6 +69,14 @@ _Q0 = "q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)"
 _COSINE = "least(1.0, greatest(0.0, list_cosine_similarity(embedding::DOUBLE[], q)))"
 
 
+def _store(spark: SparkSession) -> Store:
+    """A store in the shared folder, which goes when the driver ends."""
+    store = Store(spark, f"{shared_dir(spark)}/cairn-{uuid.uuid4().hex}")
+    files, where = file_system(spark, store.root)
+    files.deleteOnExit(where)
+    return store
+
+
 def _vectors(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_hash"), F.col("embedding").alias("vector"), "label")
 
@@ -126,9 +136,15 @@ def chunk_upsert_dedupe(spark, sf_dir):
 
 @query(f"WITH {_CHUNKS} SELECT file_path, start_line, chunk_hash FROM chunks WHERE file_path NOT IN (SELECT file_path FROM corpus WHERE doc_id % 5 = 0)")
 def chunk_delete_by_file(spark, sf_dir):
-    files = corpus(spark, sf_dir)
-    kept = delete_files(chunking.windows(files), files.where("doc_id % 5 = 0").select(F.col("file_path").alias("path")))
-    return kept.select("file_path", F.col("start_line").cast("bigint").alias("start_line"), "chunk_hash")
+    """The chunks of all documents are stored, then those of one file in five deleted, by their postings."""
+    files, store = corpus(spark, sf_dir), _store(spark)
+    chunks = chunking.windows(files).selectExpr("*", "cast(null as array<float>) as vector", "cast(null as double) as norm")
+    none = files.select("file_path").limit(0)
+    with store.change() as change:
+        change.put_chunks(staged(chunks), none)
+    with store.change() as change:
+        change.put_chunks(chunks.limit(0), files.where("doc_id % 5 = 0").select("file_path"))
+    return store.read("chunks").select("file_path", F.col("start_line").cast("bigint").alias("start_line"), "chunk_hash")
 
 
 @query(f"""WITH {_CHUNKS}, h AS (SELECT DISTINCT chunk_hash FROM chunks), cache AS (SELECT chunk_hash FROM h WHERE chunk_hash < '8')
@@ -147,8 +163,17 @@ def apply_stats(spark, sf_dir):
     return chunking.windows(corpus(spark, sf_dir)).agg(F.count("*").alias("indexed_chunks"), F.count_distinct("chunk_hash").alias("stored_chunks"), F.count_distinct("file_path").alias("files"))
 
 
-_TREE = _LEAVES + """, d2 AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS path, sha256(string_agg(hash, '' ORDER BY path)) AS hash FROM leaves GROUP BY 1),
-d1 AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS path, sha256(string_agg(hash, '' ORDER BY path)) AS hash FROM d2 GROUP BY 1), d0 AS (SELECT '' AS path, sha256(string_agg(hash, '' ORDER BY path)) AS hash FROM d1)"""
+def _fold_sql(name: str, source: str) -> str:
+    """A CTE of the directories (path, hash) above the nodes of ``source``: hashes of up to 1,024 children, and of such hashes where there are more."""
+    up = r"regexp_extract(path, '^(.*)/[^/]*$', 1)"
+    placed = f"SELECT {up} AS dir, path, hash, (row_number() OVER (PARTITION BY {up} ORDER BY path) - 1) // 1024 AS b FROM {source}"
+    return (
+        f"{name}_blocks AS (SELECT dir, b, sha256(string_agg(hash, '' ORDER BY path)) AS hash FROM ({placed}) GROUP BY 1, 2), "
+        f"{name} AS (SELECT dir AS path, CASE WHEN count(*) = 1 THEN min(hash) ELSE sha256(string_agg(hash, '' ORDER BY b)) END AS hash FROM {name}_blocks GROUP BY 1)"
+    )
+
+
+_TREE = ", ".join([_LEAVES, _fold_sql("d2", "leaves"), _fold_sql("d1", "d2"), _fold_sql("d0", "d1")])
 
 
 @query(f"WITH {_TREE} SELECT hash FROM d0")
@@ -175,12 +200,12 @@ def tree_diff(spark, sf_dir):
     return merkle.diff(*versions(spark, sf_dir))
 
 
-@query(f"""WITH {_DIFF}, od2 AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS path, sha256(string_agg(hash, '' ORDER BY path)) AS hash FROM old GROUP BY 1), nd2 AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS path, sha256(string_agg(hash, '' ORDER BY path)) AS hash FROM new GROUP BY 1)
+@query(f"""WITH {_DIFF}, {_fold_sql("od2", "old")}, {_fold_sql("nd2", "new")}
 SELECT path, type, hash FROM diff WHERE regexp_extract(path, '^(.*)/[^/]*$', 1) NOT IN (SELECT od2.path FROM od2 JOIN nd2 ON od2.path = nd2.path AND od2.hash = nd2.hash)""")
 def tree_diff_pruned(spark, sf_dir):
     old, new = versions(spark, sf_dir)
     sized = lambda d: d.withColumn("size", F.lit(0))
-    return merkle.diff_pruned(merkle.tree(sized(old)), merkle.tree(sized(new)))
+    return merkle.diff_pruned(merkle.tree(sized(old)), merkle.tree(sized(new)), merkle.BUCKETS)
 
 
 @query(f"WITH {_DIFF} SELECT type, count(*) AS n FROM diff GROUP BY 1")

@@ -26,17 +26,21 @@ def file_system(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
-def staged(df: DataFrame, *done: DataFrame) -> DataFrame:
+def staged(df: DataFrame, *done: DataFrame, parts: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage so that a lost executor costs no recomputation, and drops
     the partitioning, so that a later join shuffles both sides and Spark can
     split its hot keys. Frames in ``done`` (of this function) are needed no more
-    and their files go now; all others go when the driver ends.
+    and their files go now; all others go when the driver ends. ``parts`` names a column of
+    few values by which the files are parted, so that a filter on it leaves the others unread.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cairn-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if parts:
+        df.hint("rebalance", parts).write.partitionBy(parts).parquet(path)
+    else:
+        df.write.parquet(path)
     files, where = file_system(spark, path)
     files.deleteOnExit(where)
     discard(*done)
@@ -46,7 +50,9 @@ def staged(df: DataFrame, *done: DataFrame) -> DataFrame:
 
 
 def discard(*frames: DataFrame) -> None:
-    """Delete the files of frames that ``staged`` made."""
+    """Delete the files of frames that ``staged`` made, or that are made of such frames and say so in ``_cairn_parts``."""
     for old in frames:
-        files, where = file_system(old.sparkSession, old._cairn_path)
-        files.delete(where, True)
+        for part in getattr(old, "_cairn_parts", [old]):
+            files, where = file_system(part.sparkSession, part._cairn_path)
+            files.delete(where, True)
+            files.cancelDeleteOnExit(where)
