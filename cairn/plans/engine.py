@@ -19,6 +19,7 @@ class Engine:
     """``on_modify``: "replace" drops a modified file's old chunks, "keep" leaves those whose text is gone.
 
     ``ignore_text`` stands for the default rules; those of the tree's own file count besides.
+    ``by_tasks`` lets tasks walk the tree, in rounds, where its names are too many for the driver.
     Profiles come from the tree's configuration, where it has one. ``progress`` is called
     with the name of a phase and its figures, as soon as they are known.
     """
@@ -26,7 +27,7 @@ class Engine:
     #: Chunks that are embedded and put into the cache at once: what a failed refresh loses.
     WAVE = 1_000_000
 
-    def __init__(self, spark: SparkSession, root: str, store: str, embedder: embedding.Embedder | None = None, ignore_text: str = ignore.DEFAULT, include: list[str] | None = None, only: list[str] | None = None, on_modify: str = "replace", prune: bool = False, boundaries: chunking.Boundaries = chunking.boundaries, buckets: int = 16, progress: Callable[[str, dict[str, int]], None] | None = None):
+    def __init__(self, spark: SparkSession, root: str, store: str, embedder: embedding.Embedder | None = None, ignore_text: str = ignore.DEFAULT, include: list[str] | None = None, only: list[str] | None = None, on_modify: str = "replace", prune: bool = False, boundaries: chunking.Boundaries = chunking.boundaries, buckets: int = 16, by_tasks: bool = False, progress: Callable[[str, dict[str, int]], None] | None = None):
         if on_modify not in ("replace", "keep"):
             raise ValueError("on_modify is replace or keep")
         config = read_config(root)
@@ -34,11 +35,16 @@ class Engine:
         self.embedder = embedder or embedding.HashedWords()
         self.ignore_text = ignore.merged(ignore_text, ignore.read_rules(root))
         self.profiles = paths.resolve_profiles(config.get("fileProfiles"), config.get("defaultProfiles"), include=include, only=only)
+        self.by_tasks = by_tasks
         self.on_modify, self.prune, self.boundaries, self.progress = on_modify, prune, boundaries, progress or (lambda phase, figures: None)
         source.register(spark)
 
     def listing(self) -> DataFrame:
-        """path, size, mtime_ms of the files that the rules and the profile admit; nothing is read."""
+        """path, size, mtime_ms of the files that the rules and the profile admit; nothing is read. With ``by_tasks``, tasks walk the tree."""
+        if self.by_tasks:
+            files, unread = source.listing(self.spark, self.root, self.ignore_text, self.profiles)
+            discard(unread)
+            return files
         return self.spark.read.format("cairn_files").options(**source.options(self.root, self.ignore_text, self.profiles, contents=False)).load().drop("content")
 
     def read(self, listed: DataFrame) -> DataFrame:
@@ -77,7 +83,9 @@ class Engine:
         """
         known, exists = self.store.bucketed("files"), self.store.exists()
         n_listed, n_read = Observation(), Observation()
-        listed = staged((self.listing() if listed is None else listed).observe(n_listed, F.count(F.lit(1)).alias("n")))
+        found = self.listing() if listed is None else listed
+        written = [found] if listed is None and self.by_tasks else []
+        listed = staged(found.observe(n_listed, F.count(F.lit(1)).alias("n")), *written)
         was = known.select("path", F.struct("size", "mtime_ms").alias("was"))
         looked = listed if full else listed.join(was, "path", "left").where("not (was <=> struct(size, mtime_ms))").drop("was")
         hashed = staged(self.read(looked).select("path", "size", "mtime_ms", "hash").observe(n_read, F.count(F.lit(1)).alias("n")))

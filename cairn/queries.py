@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import ignore, paths, text, vector
-from cairn.operators import chunking, embedding, merkle, report, vectors
+from cairn.operators import chunking, embedding, merkle, pivots, report, vectors
 from cairn.plans.store import Store, upsert
 from cairn.shared import file_system, shared_dir, staged
 
@@ -91,6 +91,14 @@ def knn_topk(spark, sf_dir):
     return found.select(F.col("chunk_hash").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
+@query(f"WITH {_Q0} SELECT vec_id, round({_COSINE}, 6) AS score FROM embeddings, q ORDER BY {_COSINE} DESC, vec_id LIMIT 10")
+def knn_pivots(spark, sf_dir):
+    """The same through an index that leaves parts without a winner unread."""
+    asked = _first_vector(spark, sf_dir)
+    found, _ = pivots.build(_vectors(spark, sf_dir), len(asked)).search(asked, 10)
+    return found.select(F.col("chunk_hash").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
 @query(f"""WITH s AS (SELECT b.vec_id AS query_id, a.vec_id, least(1.0, greatest(0.0, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))) AS score FROM embeddings a, embeddings b WHERE b.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5""")
 def knn_multi_query(spark, sf_dir):
@@ -284,6 +292,85 @@ def event_histogram(spark, sf_dir):
     return report.histogram(table(spark, sf_dir, "events"), "event_type")
 
 
+@query(f"WITH {_CORPUS} SELECT concat_ws('/', file_path, {_EXT}) AS path, doc_id % 6 IN (0, 4, 5) AS grammar FROM corpus")
+def grammar_available(spark, sf_dir):
+    return _named(spark, sf_dir).select("path", paths.has_grammar(paths.language(F.col("path"))).alias("grammar"))
+
+
+_DEEP = "CASE doc_id % 4 WHEN 0 THEN 'a/node_modules/' WHEN 1 THEN '.git/' WHEN 2 THEN 'src/' ELSE 'x.git/' END || file_path"
+
+
+@query(f"WITH {_CORPUS} SELECT {_DEEP} AS path FROM corpus WHERE doc_id % 4 > 1")
+def hard_skip_filter(spark, sf_dir):
+    return corpus(spark, sf_dir).select(F.expr(_DEEP).alias("path")).where(~ignore.skipped(F.col("path")))
+
+
+@query(f"WITH {_CORPUS} SELECT doc_id, file_path || '/x' AS path FROM corpus")
+def path_normalize(spark, sf_dir):
+    """Backslashes, doubled slashes, dots in front and a slash behind."""
+    raw = F.concat(F.lit("././"), F.translate("file_path", "/", "\\"), F.lit("//x/"))
+    return corpus(spark, sf_dir).select("doc_id", paths.normalized(raw).alias("path"))
+
+
+@query(f"WITH {_CORPUS} SELECT doc_id, CASE WHEN doc_id % 3 <> 1 THEN file_path END AS path FROM corpus")
+def path_relative(spark, sf_dir):
+    """Below the root in another case, outside it, and relative already."""
+    raw = F.concat(F.expr("CASE doc_id % 3 WHEN 0 THEN '/data/TREE/' WHEN 1 THEN '/other/' ELSE '' END"), "file_path")
+    return corpus(spark, sf_dir).select("doc_id", paths.relative_to("/Data/Tree/", raw).alias("path"))
+
+
+@query("""WITH d AS (SELECT doc_id, n_chars * (1 + doc_id % 7 * 40) AS ms, n_chars * (1 + doc_id % 5 * 300007) AS ns FROM documents)
+SELECT doc_id, CASE WHEN ms < 1000 THEN ms || 'ms' ELSE printf('%d.%02ds', (ms + 5) // 1000, (ms + 5) // 10 % 100) END AS took,
+CASE WHEN ns < 1000000 THEN ns || 'ns' WHEN ns < 1000000000 THEN ((ns + 500000) // 1000000) || 'ms' ELSE printf('%d.%02ds', (ns + 5000000) // 1000000000, (ns + 5000000) // 10000000 % 100) END AS took_ns FROM d""")
+def format_durations(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", text.format_duration(F.expr("n_chars * (1 + doc_id % 7 * 40)")).alias("took"), text.format_duration_ns(F.expr("n_chars * (1 + doc_id % 5 * 300007)")).alias("took_ns"))
+
+
+@query("SELECT vec_id, printf('%d.%03d', vec_id % 1001 // 1000, vec_id % 1001 % 1000) AS shown FROM embeddings")
+def format_scores(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", text.format_score(F.expr("vec_id % 1001 / 1000D")).alias("shown"))
+
+
+@query("SELECT (user_id % 4)::BIGINT AS run, sum(floor(value * 1000)::BIGINT)::BIGINT AS ns FROM events WHERE user_id % 3 = 0 GROUP BY 1")
+def phase_totals(spark, sf_dir):
+    """Phases with a parent don't count again."""
+    phases = table(spark, sf_dir, "events").selectExpr("user_id % 4 AS run", "if(user_id % 3 = 0, null, 'outer') AS parent", "cast(floor(value * 1000) AS bigint) AS ns")
+    return report.total_time(phases).select(F.col("run").cast("bigint").alias("run"), "ns")
+
+
+@query("SELECT doc_id, contains(lower(coalesce(text, '')), 'licensed') AND contains(lower(coalesce(text, '')), 'the') AS verified FROM documents")
+def answers_verified(spark, sf_dir):
+    """Which texts hold all terms, in any case."""
+    return report.answer_has(table(spark, sf_dir, "documents"), ["LICENSED", "the"], "text").select("doc_id", "verified")
+
+
+@query(f"WITH {_CHUNKS} SELECT DISTINCT chunk_hash FROM chunks WHERE chunk_hash >= '8'")
+def cache_misses(spark, sf_dir):
+    """What is to be embedded, each once; a cached vector of another size counts as none."""
+    chunks = chunking.windows(corpus(spark, sf_dir)).select("chunk_hash")
+    cache = chunks.select(F.lit("m").alias("model_id"), "chunk_hash", F.when(F.col("chunk_hash") < "8", F.array(F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(2.0))).alias("vector"))
+    return embedding.split_known(chunks, cache, "m", 1)[1]
+
+
+@query(f"WITH {_TREE} SELECT path, 0 AS depth, hash FROM d0 UNION ALL SELECT path, 1, hash FROM d1 UNION ALL SELECT path, 2, hash FROM d2 UNION ALL SELECT path, 3, hash FROM leaves")
+def tree_as_json(spark, sf_dir):
+    """The nodes, written as lines of JSON and read again."""
+    lines = merkle.to_json(merkle.tree(leaves(spark, sf_dir)))
+    return merkle.from_json(lines).select("path", "depth", "hash")
+
+
+@query(f"""WITH {_VERSIONS}, {", ".join(_fold_sql(f"{v}{d}", f"{v}{d + 1}" if d < 2 else ("old", "new")[v == "n"]) for v in "on" for d in (2, 1, 0))},
+o AS (SELECT * FROM o0 UNION ALL SELECT * FROM o1 UNION ALL SELECT * FROM o2), n AS (SELECT * FROM n0 UNION ALL SELECT * FROM n1 UNION ALL SELECT * FROM n2)
+SELECT coalesce(o.path, n.path) AS path, n.hash AS hash FROM o FULL OUTER JOIN n ON o.path = n.path WHERE o.hash IS DISTINCT FROM n.hash""")
+def tree_update(spark, sf_dir):
+    """The directories that another version of the files changes, folded from the changed paths up."""
+    old, new = (v.withColumn("size", F.lit(0)) for v in versions(spark, sf_dir))
+    nodes = merkle.tree(old)
+    now = merkle.leaves(new).withColumn("bucket", merkle.bucket_of(F.col("parent"), merkle.BUCKETS))
+    return merkle.update(nodes.where("type = 'directory'"), staged(now, parts="bucket"), merkle.diff(old, new), merkle.BUCKETS).select("path", "hash")
+
+
 @query()
 def chunk_postprocess(spark, sf_dir):
     """Every fifth line with an "and" begins a declaration; spans then merge and split."""

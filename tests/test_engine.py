@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cairn import queries
 from cairn.functions import ignore, paths, text
-from cairn.operators import chunking, embedding, merkle, report, vectors
+from cairn.operators import chunking, embedding, merkle, pivots, report, vectors
 from cairn.plans.config import read_config
 from cairn.plans.engine import Engine
 from cairn.plans.store import Store
@@ -362,8 +362,9 @@ def test_config_and_own_rules(spark, tmp_path):
     write(root, ".cairnignore", "gen/\n")
     for name in ("a.zig", "gen/b.zig", "c.py", "build/d.zig"):
         write(root, name, "x\n")
-    engine = Engine(spark, str(root), f"file://{tmp_path}/store")
-    assert [r.path for r in engine.listing().collect()] == ["a.zig"]
+    for by_tasks in (False, True):
+        engine = Engine(spark, str(root), f"file://{tmp_path}/store", by_tasks=by_tasks)
+        assert [r.path for r in engine.listing().collect()] == ["a.zig"]
 
 
 def test_tree_diff_and_status(spark, tmp_path):
@@ -634,3 +635,22 @@ def test_walk_by_tasks(spark, tmp_path, monkeypatch):
     assert "shut/s.py" not in [p for p, _, _ in source.walk(str(root), "", ["py"], [], skipped)] and skipped == ["shut"]
     files, unread = source.listing(spark, str(tmp_path / "nowhere"))
     assert files.count() == 0 and [r.path for r in unread.collect()] == [""]
+
+
+def test_pivots_leave_parts_unread(spark):
+    """The rows are those of the full search; of clustered vectors, few parts are opened and few rows read."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(12, 16))
+    data = [(f"k{i:04}", [float(x) for x in centres[i % 12] + 0.05 * rng.normal(size=16)]) for i in range(1_200)] + [("zero", [0.0] * 16), ("short", [1.0]), ("null", None)]
+    rows = spark.createDataFrame(data, "chunk_hash string, vector array<float>")
+    index = pivots.build(rows, 16)
+    assert index.counts.sum() == 1_200
+    show = lambda d: [(r.chunk_hash, round(r.score, 9)) for r in d.collect()]
+    for q in (data[5][1], [float(x) for x in -centres[3]], [1.0] * 16):
+        found, opened = index.search(q, 7)
+        assert show(found) == show(vectors.top_k(rows, q, 7)) and set(opened) <= set(index.parts.tolist())
+    found, opened = index.search(data[5][1], 7)
+    before = rows_read(spark)
+    found.collect()
+    assert len(opened) <= len(index.parts) // 2 and rows_read(spark) - before <= 700
+    assert index.search([0.0] * 16)[0].count() == index.search([1.0])[0].count() == index.search([1.0] * 16, 0)[0].count() == pivots.build(rows.limit(0), 16).search([1.0] * 16)[0].count() == 0
