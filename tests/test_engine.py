@@ -218,7 +218,7 @@ def test_build_refresh_search(spark, tmp_path):
     write(root, "a/x.py", "import os\n\n# adds\ndef add(a, b):\n    return a + b\n\n\nclass Penguin:\n    swim = True\n    fly = False\n    cold = True\n")
     write(root, "empty.py", "")
     write(root, "a/bad.py", b"\xff\xfe\xff")
-    engine = Engine(spark, str(root), f"file://{tmp_path}/store")
+    engine = Engine(spark, str(root), f"file://{tmp_path}/store", buckets=4)
     told = engine.build()
     status = engine.status().first()
     assert status.files == 8 and told["changed_files"] == 8
@@ -238,7 +238,7 @@ def test_build_refresh_search(spark, tmp_path):
 def test_modified_files_can_keep_old_chunks(spark, tmp_path):
     root = tmp_path / "tree"
     write(root, "f.txt", "X\n")
-    engine = Engine(spark, str(root), f"file://{tmp_path}/store", only=["docs"], on_modify="keep")
+    engine = Engine(spark, str(root), f"file://{tmp_path}/store", buckets=4, only=["docs"], on_modify="keep")
     engine.build()
     write(root, "f.txt", "Z\n")
     engine.refresh()
@@ -249,7 +249,7 @@ def test_watch(spark, tmp_path):
     root = tmp_path / "tree"
     write(root, "a.py", "first = 1\n")
     write(root, "b.py", "second = 2\n")
-    engine = Engine(spark, str(root), f"file://{tmp_path}/store")
+    engine = Engine(spark, str(root), f"file://{tmp_path}/store", buckets=4)
     told = []
     engine.watch(f"file://{tmp_path}/cp", once=True, done=told.append).awaitTermination(120)
     assert engine.status().first().files == 2
@@ -372,7 +372,7 @@ def test_tree_diff_and_status(spark, tmp_path):
     write(root, "a/x.py", "x = 1\n")
     write(root, "b.py", "y = 1\n")
     for prune in (False, True):
-        engine = Engine(spark, str(root), f"file://{tmp_path}/store{prune}", prune=prune)
+        engine = Engine(spark, str(root), f"file://{tmp_path}/store{prune}", prune=prune, buckets=4)
         assert sorted((r.type, r.path) for r in engine.diff().collect()) == [("added", "a/x.py"), ("added", "b.py")]
         engine.build()
         assert engine.diff().count() == 0
@@ -605,7 +605,7 @@ def test_cache_opens_asked_parts(spark, tmp_path):
 def test_unreadable_and_changed_files_count_as_failed(spark, tmp_path):
     root = tmp_path / "tree"
     write(root, "a.py", "a = 1\n"), write(root, "b.py", "b = 1\n")
-    engine = Engine(spark, str(root), f"file://{tmp_path}/store")
+    engine = Engine(spark, str(root), f"file://{tmp_path}/store", buckets=4)
     engine.build()
     changes = spark.createDataFrame([("a.py", "modified", hashlib.sha256(b"other").hexdigest()), ("gone.py", "added", "x"), ("b.py", "modified", hashlib.sha256(b"b = 1\n").hexdigest())], "path string, type string, hash string")
     assert engine.apply(changes) == {"indexed_chunks": 1, "deleted_files": 0, "changed_files": 3, "failed_files": 2}
