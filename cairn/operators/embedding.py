@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.shipping import ship
+
 BATCH = 256
 
 
@@ -69,16 +71,18 @@ _models: dict[str, Callable[[list[str]], np.ndarray]] = {}
 
 
 def embed(chunks: DataFrame, embedder: Embedder, text: str = "content") -> DataFrame:
-    """``chunks`` with ``vector`` and ``norm``; the provider is made once a worker and fed BATCH texts at a time."""
+    """``chunks`` with ``vector`` and ``norm``; the provider is made once a worker and fed ``embedder.texts`` (or else BATCH) texts at a time."""
+    most = getattr(embedder, "texts", BATCH)
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            parts = [embedder.embed(texts.iloc[i : i + BATCH].fillna("").tolist()) for i in range(0, len(texts), BATCH)]
+            parts = [embedder.embed(texts.iloc[i : i + most].fillna("").tolist()) for i in range(0, len(texts), most)]
             yield pd.Series([v for p in parts for v in p.tolist()], index=texts.index)
 
     from cairn.operators.vectors import with_norm
 
+    ship(chunks.sparkSession)
     return with_norm(chunks.withColumn("vector", run(F.col(text))))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cairn import queries
 from cairn.functions import ignore, paths, text
-from cairn.operators import chunking, embedding, merkle, pivots, report, vectors
+from cairn.operators import chunking, embedding, merkle, pieces, pivots, report, vectors
 from cairn.plans.config import read_config
 from cairn.plans.engine import Engine
 from cairn.plans.store import Store
@@ -654,3 +654,47 @@ def test_pivots_leave_parts_unread(spark):
     found.collect()
     assert len(opened) <= len(index.parts) // 2 and rows_read(spark) - before <= 700
     assert index.search([0.0] * 16)[0].count() == index.search([1.0])[0].count() == index.search([1.0] * 16, 0)[0].count() == pivots.build(rows.limit(0), 16).search([1.0] * 16)[0].count() == 0
+
+
+def longest_match(known, word):
+    """Every beginning of what is left is tried, longest first."""
+    out, at = [], 0
+    while at < len(word):
+        mark = "##" if at else ""
+        end = next((e for e in range(len(word), at, -1) if mark + word[at:e] in known), None)
+        if end is None:
+            return [known["[UNK]"]]
+        out.append(known[mark + word[at:end]])
+        at = end
+    return out
+
+
+def test_pieces_are_the_longest_that_fit(spark):
+    texts = [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    words = sorted({w for t in texts for w in pieces._WORD.findall(t.lower())})
+    rng = np.random.default_rng(2)
+    some = {w[a:b] for w in words for a in rng.integers(0, len(w), 3) for b in rng.integers(a + 1, len(w) + 1, 2)}
+    letters = {c for w in words for c in w} - {"q", "ß"}
+    vocabulary = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", *sorted(some | letters), *(f"##{p}" for p in sorted(some | letters)), "##"]
+    made, known = pieces.Pieces(vocabulary), {p: i for i, p in enumerate(vocabulary)}
+    for t in texts:
+        whole = [i for w in pieces._WORD.findall(t.lower()) for i in (longest_match(known, w) if len(w) <= 100 else [1])]
+        assert made.encode(t) == [2, *whole[:254], 3]
+    assert made.encode("") == [2, 3] and made.word("x" * 101) == [1]
+
+
+def test_batches_by_length(spark):
+    vocabulary = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "a"]
+    seen = []
+
+    def load():
+        return lambda ids, real: (seen.append(real.sum(1)), np.stack([real.sum(1), ids.sum(1)], 1))[1]
+
+    provider = pieces.FromPieces("stub", 2, lambda: vocabulary, load)
+    texts = ["a " * int(n) for n in np.random.default_rng(3).integers(0, 400, 2_000)]
+    got = provider.embed(texts)
+    n = np.array([min(len(t) // 2, 254) for t in texts])
+    assert (got[:, 0] == n + 2).all() and (got[:, 1] == 4 * n + 5).all()
+    assert sum(map(len, seen)) == 2_000 and all(len(x) <= 256 and x.max() <= 1.25 * x.min() + 8 for x in seen)
+    rows = spark.createDataFrame([("a", "a a"), ("b", None)], "chunk_hash string, content string")
+    assert {r.chunk_hash: list(r.vector) for r in embedding.embed(rows, provider).collect()} == {"a": [4.0, 13.0], "b": [2.0, 5.0]}
