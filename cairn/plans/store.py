@@ -166,6 +166,7 @@ class Change:
         """Rows beside those that there are; kept even if the rest of the change fails. Parts in many pieces are put together."""
         of = self.state["tables"].setdefault(table, {})
         folder, parts = self.store._write(self.state, table, rows)
+        self.before.add(folder)  # seen from now on, so it goes in the same way
         for b in parts:
             of.setdefault(str(b), []).append(folder)
         kept = self.store._state()

@@ -597,6 +597,9 @@ def test_cache_opens_asked_parts(spark, tmp_path):
         store.append("embed_cache", rows(*[f"h{k}" for k in range(i, i + 30)]))
     of = store._state()["tables"]["embed_cache"]
     assert max(map(len, of.values())) < 8 and store.read("embed_cache").select("chunk_hash").distinct().count() == 38
+    # folders that no part needs are gone but for those of the change before
+    named = {f for folders in of.values() for f in folders} | set(store._state()["old"])
+    assert {f"embed_cache/{p.name}" for p in (tmp_path / "s/embed_cache").iterdir()} == named
     asked = rows("h3", "h4")
     some = store.bucketed("embed_cache", store.touched("embed_cache", asked))
     assert some.select("bucket").distinct().count() <= 2 and some.join(asked, "chunk_hash", "left_semi").select("chunk_hash").distinct().count() == 2
