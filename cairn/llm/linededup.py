@@ -3,8 +3,12 @@
 The tree has a fixed depth: a line goes down by its token count, then by its
 first DEPTH tokens, to a leaf. Tokens are parted by white space. Variable fields
 become ``<*>`` in two ways: first every token with a digit or an ``@``, then, in
-the leaf, every token that no other line of the leaf (equal lines are one) has
-at that place. What is left is the line's template. At least CONSTANT of its
+the leaf, every token that few lines have at that place, as measured by the line's other
+tokens. The measure is how many lines of the leaf (equal lines are one) have the
+token there, ranked within the line: the count at the rank where CONSTANT of the line's
+tokens are reached is what a constant part has, and a token with half of that or
+less is a field. The counts grow with the corpus together, so a leaf of any size
+gives the same fields. What is left is the line's template. At least CONSTANT of its
 tokens must be constant; a line that the fields would leave with fewer stands
 for itself and must be equal. Lines of every length go the same way.
 
@@ -12,9 +16,9 @@ A template recurs if two documents have it. Its first document (by doc_id, null
 first, then a hash of the text) keeps the line and all others lose it, so
 boilerplate and copied passages survive once. A line whose constant tokens stand
 in no other document stays. What a field holds in the later documents goes with
-their lines: at most a quarter of a line's tokens. A field of which two lines
-have the same value beside other differences is taken as constant there, and a word put in or
-left out makes another token count: such lines stay.
+their lines: at most a quarter of a line's tokens. A field's value that more than half of
+its lines have makes a template of its own. A field among the first DEPTH tokens,
+or a word put in or left out, leads to another leaf: such lines stay.
 
 Rows of equal doc_id and text are one document and share its fate; lines that
 repeat within one document stay there. Null texts have no line and stay null;
@@ -76,9 +80,12 @@ def generalized(lines: DataFrame, mixed: DataFrame) -> DataFrame:
     """leaf, h and template of the lines (n, leaf, h, w) whose leaf is a mixed one, as far as their constant part is large enough."""
     unlike = staged(lines.join(mixed, "leaf").dropDuplicates(["leaf", "h"]).select("leaf", "h", "n", "w"))
     places = unlike.select("leaf", "h", "n", F.posexplode("w").alias("at", "token")).where("token != 0")
-    constant = staged(places.groupBy("leaf", "at", "token").agg(F.count("*").alias("lines")).where("lines > 1").select("leaf", "at", "token"))
-    kept = places.join(constant, ["leaf", "at", "token"]).groupBy("leaf", "h").agg(F.expr("bit_xor(xxhash64(at, token))").alias("x"), F.count("*").alias("m"), F.max("n").alias("n"))
-    return staged(kept.where(f"m >= {CONSTANT} * n").select("leaf", "h", F.xxhash64("leaf", "x", "m").alias("template")), unlike, constant)
+    # A token of one line can't be of the constant part, so those needn't be joined.
+    shared = staged(places.groupBy("leaf", "at", "token").agg(F.count("*").alias("lines")).where("lines > 1"))
+    ranked = F.expr("sort_array(collect_list(struct(lines, xxhash64(at, token) as x)), false)").alias("c")
+    kept = places.join(shared, ["leaf", "at", "token"]).groupBy("leaf", "h").agg(ranked, F.max("n").alias("n")).where(f"size(c) >= {CONSTANT} * n")
+    constant = kept.select("leaf", "h", F.expr(f"transform(filter(c, e -> e.lines * 2 > c[cast(ceil({CONSTANT} * n) as int) - 1].lines), e -> e.x)").alias("xs"))
+    return staged(constant.select("leaf", "h", F.expr("xxhash64(leaf, aggregate(xs, 0L, (a, x) -> a ^ x), size(xs))").alias("template")), unlike, shared)
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
@@ -119,8 +126,10 @@ chosen AS (SELECT k, i, CASE WHEN len(list_filter(m, lambda x: x = '<*>')) > {1
 leaved AS (SELECT k, i, t, len(t) AS n, t[1:{DEPTH}] AS lead FROM chosen),
 unlike AS (SELECT DISTINCT n, lead, t FROM leaved),
 places AS (SELECT n, lead, t, unnest(t) AS token, unnest(range(len(t))) AS place FROM unlike),
-constant AS (SELECT n, lead, place, token FROM places WHERE token <> '<*>' GROUP BY ALL HAVING count(*) > 1),
-general AS (SELECT p.n, p.lead, p.t, to_json(list({{'place': p.place, 'token': p.token}} ORDER BY p.place)) AS template FROM places p JOIN constant USING (n, lead, place, token) GROUP BY p.n, p.lead, p.t HAVING count(*) >= {CONSTANT} * p.n),
+shared AS (SELECT n, lead, place, token, count(*) AS lines FROM places WHERE token <> '<*>' GROUP BY ALL HAVING count(*) > 1),
+ranked AS (SELECT p.n, p.lead, p.t, list({{'place': p.place, 'token': p.token, 'lines': s.lines}} ORDER BY p.place) AS c, list(s.lines ORDER BY s.lines DESC) AS counts
+FROM places p JOIN shared s USING (n, lead, place, token) GROUP BY p.n, p.lead, p.t HAVING count(*) >= {CONSTANT} * p.n),
+general AS (SELECT n, lead, t, to_json(list_transform(list_filter(c, lambda e: e.lines * 2 > counts[ceil({CONSTANT} * n)::INT]), lambda e: {{'place': e.place, 'token': e.token}})) AS template FROM ranked),
 told AS (SELECT k, i, to_json([n::JSON, coalesce(template, to_json(t))]) AS template FROM leaved LEFT JOIN general USING (n, lead, t)),
 known AS (SELECT template, min(k) AS first FROM told GROUP BY 1 HAVING min(k) < max(k)),
 gone AS (SELECT k, list(DISTINCT i) AS gone FROM told JOIN known USING (template) WHERE k > first GROUP BY 1),

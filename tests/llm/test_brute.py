@@ -53,8 +53,9 @@ def brute_lines(texts):
             counts[len(t), t[:2], at, x] += 1
 
     def template(t):
-        kept = tuple(x if x != "<*>" and counts[len(t), t[:2], at, x] > 1 else None for at, x in enumerate(t))
-        return (t[:2], kept) if len(t) > 2 and len(t) - kept.count(None) >= 0.75 * len(t) else t
+        lines = [counts[len(t), t[:2], at, x] if x != "<*>" else 0 for at, x in enumerate(t)]
+        least = sorted(lines, reverse=True)[math.ceil(0.75 * len(t)) - 1]
+        return (t[:2], tuple(x if 2 * c > least else None for x, c in zip(t, lines))) if len(t) > 2 and least > 1 else t
 
     docs = defaultdict(list)
     for i, _, t in told:
@@ -84,6 +85,20 @@ def test_line_dedup_cases(spark, lines, left):
     assert [got[i].n_lines for i in got] == [2] * len(lines)
 
 
+def test_line_dedup_fields_at_any_size(spark):
+    """Fields whose values come again, in leaves of eight and of 3,600 lines, and one value that most lines have."""
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ!?:;,.()"[:60]
+    for names, boards in (("anna boris carol dora".split(), "village town".split()), ([f"name{c}" for c in letters], [f"board{c}" for c in letters])):
+        lines = [f"posted by {n} on the {b} board today at noon" for n in names for b in boards]
+        got = linededup.dedup(spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string"))
+        assert got.where("n_dropped = 1 and text = ''").count() == len(lines) - 1 and got.where("doc_id = 0 and n_dropped = 0").count() == 1
+    lines = [f"posted by {'anna' if i % 3 else f'x{chr(97 + i)}'} on the {chr(97 + i)} board today at noon" for i in range(12)]
+    got = {r.doc_id: r.n_dropped for r in linededup.dedup(spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")).collect()}
+    assert got == {i: int(i > 1) for i in range(12)}  # one line of anna's template and one of the others' stay
+    own = [" ".join(f"{w}{chr(97 + i)}" if j > 3 else w for j, w in enumerate("the news of today says much that is new".split())) for i in range(9)]
+    assert linededup.dedup(spark.createDataFrame(list(enumerate(own)), "doc_id bigint, text string")).where("n_dropped > 0").count() == 0
+
+
 # --- language ----------------------------------------------------------------
 
 
