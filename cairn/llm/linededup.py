@@ -26,7 +26,7 @@ empty texts stay empty. Lines end at ``\\n``; what stays is joined by it again.
 Columns of any name stay as they are, but n_lines and n_dropped, which are replaced.
 
 Lines travel as 64-bit hashes with their place, tokens as 32-bit hashes and only
-within leaves of unlike lines. Counts have partial sums; joins read written
+within leaves of unlike lines, then as one 64-bit hash with leaf and place. Counts have partial sums; joins read written
 tables, so that Spark broadcasts one that is small and splits the keys of one that is hot.
 """
 
@@ -77,15 +77,19 @@ def mixed_leaves(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def generalized(lines: DataFrame, mixed: DataFrame) -> DataFrame:
-    """leaf, h and template of the lines (n, leaf, h, w) whose leaf is a mixed one, as far as their constant part is large enough."""
-    unlike = staged(lines.join(mixed, "leaf").dropDuplicates(["leaf", "h"]).select("leaf", "h", "n", "w"))
-    places = unlike.select("leaf", "h", "n", F.posexplode("w").alias("at", "token")).where("token != 0")
-    # A token of one line can't be of the constant part, so those needn't be joined.
-    shared = staged(places.groupBy("leaf", "at", "token").agg(F.count("*").alias("lines")).where("lines > 1"))
-    ranked = F.expr("sort_array(collect_list(struct(lines, xxhash64(at, token) as x)), false)").alias("c")
-    kept = places.join(shared, ["leaf", "at", "token"]).groupBy("leaf", "h").agg(ranked, F.max("n").alias("n")).where(f"size(c) >= {CONSTANT} * n")
-    constant = kept.select("leaf", "h", F.expr(f"transform(filter(c, e -> e.lines * 2 > c[cast(ceil({CONSTANT} * n) as int) - 1].lines), e -> e.x)").alias("xs"))
-    return staged(constant.select("leaf", "h", F.expr("xxhash64(leaf, aggregate(xs, 0L, (a, x) -> a ^ x), size(xs))").alias("template")), unlike, shared)
+    """h and template of the lines (n, leaf, h, w) whose leaf is a mixed one, as far as their constant part is large enough.
+
+    A line's hash tells its leaf, and ``x`` a token at its place in a leaf, so rows are of one or two
+    hashes. Most lines share too few tokens with any other: they are counted out first, without their tokens.
+    """
+    unlike = staged(lines.join(mixed, "leaf").dropDuplicates(["h"]).select("h", "n", F.expr("transform(w, (token, at) -> if(token = 0, null, xxhash64(leaf, at, token)))").alias("xs")))
+    tokens = lambda of: of.select("h", "n", F.explode("xs").alias("x")).where("x is not null")
+    # A token of one line can't be of the constant part.
+    shared = staged(tokens(unlike).groupBy("x").agg(F.count("*").alias("lines")).where("lines > 1"))
+    likely = staged(tokens(unlike).join(shared, "x").groupBy("h").agg(F.count("*").alias("m"), F.max("n").alias("n")).where(f"m >= {CONSTANT} * n").select("h"))
+    ranked = tokens(unlike.join(likely, "h", "left_semi")).join(shared, "x").groupBy("h").agg(F.expr("sort_array(collect_list(struct(lines, x)), false)").alias("c"), F.max("n").alias("n"))
+    constant = ranked.select("h", F.expr(f"transform(filter(c, e -> e.lines * 2 > c[cast(ceil({CONSTANT} * n) as int) - 1].lines), e -> e.x)").alias("xs"))
+    return staged(constant.select("h", F.expr("xxhash64(aggregate(xs, 0L, (a, x) -> a ^ x), size(xs))").alias("template")), unlike, shared, likely)
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
@@ -94,9 +98,9 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     lines = staged(lines.select("_k", "_row", "i", F.expr(line_sql("line")).alias("s")).where("s.n > 0").select("_k", "_row", "i", "s.*"))
     mixed, told = mixed_leaves(lines)
     general = generalized(told.where("maybe"), mixed)
-    told = told.select("_k", "_row", "i", "leaf", "h", "maybe")
+    told = told.select("_k", "_row", "i", "h", "maybe")
     exact = told.where("not maybe").select("_k", "_row", "i", F.col("h").alias("template"))
-    fielded = told.where("maybe").join(general, ["leaf", "h"], "left").select("_k", "_row", "i", F.coalesce("template", "h").alias("template"))
+    fielded = told.where("maybe").join(general, "h", "left").select("_k", "_row", "i", F.coalesce("template", "h").alias("template"))
     told = staged(exact.unionByName(fielded), lines, mixed, general)
     who = F.struct("_k", "_row")
     known = told.groupBy("template").agg(F.min(who).alias("first"), F.max(who).alias("last")).where("first != last")
