@@ -2,11 +2,12 @@
 
 A page becomes a tree of elements, leniently: unclosed and stray tags are put
 right as browsers do for the common cases, comments and what is never shown
-(scripts, styles, controls, drawings) are left out. Text that stands in the page
+(scripts, styles, drawings, choices of a form) are left out, and blocks that are nothing but a button's label.
+Text that stands in for what a reader can't show (noscript, iframe, canvas, video) is text. Text that stands in the page
 or its body, in no other block, gets an element of its own. Each element gets
 statistics: its tag's kind, what the tokens of its class, id and role speak for
-(log-odds learned from labelled pages), text and link density of its subtree,
-depth, and where it stands among its siblings. Gradient-boosted trees give the
+(log-odds learned from labelled pages; a token that none of them has speaks for nothing), text and link
+density of its subtree and of the text around it, depth, and where it stands among its siblings. Gradient-boosted trees give the
 odds that it holds main text. Decoding is hierarchical: the likeliest labelling
 of the tree in which nothing below a dropped element is kept, found from the
 leaves up.
@@ -39,9 +40,9 @@ from cairn.llm.common import with_columns
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content isn't markup, and never shown.
-RAW = frozenset("script style textarea title iframe noscript".split())
+RAW = frozenset("script style textarea title".split())
 #: What they hold isn't shown, if they have an end.
-HIDDEN = frozenset("template svg canvas audio video select button datalist".split())
+HIDDEN = frozenset("template svg select datalist desc metadata".split())
 BLOCK = frozenset("html body address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup legend li main menu nav ol p pre section summary table caption thead tbody tfoot tr td th ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Tags that a start tag may end, and the tags that part them from it.
@@ -68,11 +69,11 @@ _KINDS = {
 }
 FEATURES = (
     "kind", "tokens_for", "tokens_against", "for_above", "against_above", "kind_above", "log_chars", "log_own", "link_share", "density", "depth", "place",
-    "log_siblings", "same_tag", "words_a_block", "sentence_ends", "share_of_page", "headings", "paragraphs", "landmarks_above",
+    "log_siblings", "same_tag", "words_a_block", "sentence_ends", "share_of_page", "headings", "paragraphs", "landmarks_above", "share_above", "links_around", "log_above", "share_of_largest", "ends_around",
 )
-TREES, DEPTH, PAGES, SEED = 60, 5, 1_600, 3
-#: Pages that a token must be on for its odds to count, and the letters that a known beginning of an unknown token needs.
-LEAST, STEM = 4, 4
+TREES, DEPTH, PAGES, SEED = 120, 5, 4_000, 3
+#: Pages that a token must be on for its odds to count.
+LEAST = 4
 MODEL = Path(__file__).with_name("html_model.json")
 
 
@@ -106,7 +107,7 @@ class Parser:
         self.open: dict[str, list[int]] = {"html": [0]}
         self.blocks = [0]
         self.pieces: list[str] = []
-        self.chars = self.link_chars = self.hidden = 0
+        self.chars = self.link_chars = self.label_chars = self.hidden = 0
         self.last_end: dict[str, int] = {}
         self.no_more: set[str] = set()
 
@@ -114,7 +115,7 @@ class Parser:
         if self.pieces:
             text = " ".join("".join(self.pieces).split())
             self.pieces.clear()
-            if text:
+            if text and self.chars > self.label_chars:
                 page, (tag, node, _) = self.page, self.stack[self.blocks[-1]]
                 if tag in ("html", "body"):
                     node = page.add("loose", node)
@@ -122,7 +123,7 @@ class Parser:
                 page.links[node] += self.link_chars
                 page.block_of.append(node)
                 page.texts.append(text)
-        self.chars = self.link_chars = 0
+        self.chars = self.link_chars = self.label_chars = 0
 
     def text(self, raw: str) -> None:
         if raw and not self.hidden:
@@ -131,6 +132,7 @@ class Parser:
             if not shown.isspace():
                 self.chars += len(shown)
                 self.link_chars += len(shown) if self.open.get("a") else 0
+                self.label_chars += len(shown) if self.open.get("button") else 0
 
     def push(self, tag: str, node: int) -> None:
         at, scopes = len(self.stack), self.stack[-1][2]
@@ -178,7 +180,7 @@ class Parser:
                     self.pop_to(at)
             self.flush()
             self.push(tag, self.page.add(tag, self.stack[self.blocks[-1]][1], attributes))
-        elif not (tag in HIDDEN and (closed or not self.has_end(tag, self.at))):
+        elif not ((tag in HIDDEN or tag == "button") and (closed or not self.has_end(tag, self.at))):
             self.push(tag, self.stack[-1][1])
 
     def long_way(self, at: int) -> tuple[str, str, bool, int]:
@@ -253,14 +255,6 @@ def parse(html: str | None) -> Page:
     return Parser(html or "").run()
 
 
-def odds_of(token: str, odds: dict[str, float]) -> float:
-    """What a token of an attribute speaks for; an unknown one goes by its longest known beginning."""
-    for n in range(len(token), STEM - 1, -1) if token not in odds else (len(token),):
-        if (found := odds.get(token[:n])) is not None:
-            return found
-    return 0.0
-
-
 def features(page: Page, odds: dict[str, float]) -> np.ndarray:
     n = len(page.tag)
     parent = page.parent
@@ -288,7 +282,7 @@ def features(page: Page, odds: dict[str, float]) -> np.ndarray:
         heads[p] += heads[i]
         paras[p] += paras[i]
         ends[p] += ends[i]
-    spoken = [[odds_of(t, odds) for t in tokens] for tokens in page.tokens]
+    spoken = [[odds.get(t, 0.0) for t in tokens] for tokens in page.tokens]
     speaks_for, against = [max([0.0, *x]) for x in spoken], [min([0.0, *x]) for x in spoken]
     depth, for_above, against_above, marks = [0] * n, [0.0] * n, [0.0] * n, [0] * n
     kinds = [_KINDS.get(t, 7) for t in page.tag]
@@ -324,6 +318,15 @@ def features(page: Page, odds: dict[str, float]) -> np.ndarray:
     rows[:, 17] = np.minimum(heads, 5)
     rows[:, 18] = np.minimum(paras, 9)
     rows[:, 19] = marks
+    rows[:, 20] = c / np.maximum(c[p], 1)
+    linked = np.array(links, float)
+    rows[:, 21] = (linked[p] - linked) / np.maximum(c[p] - c, 1)
+    rows[:, 22] = np.log1p(c[p])
+    largest = np.zeros(n)
+    np.maximum.at(largest, p[1:], c[1:])
+    rows[:, 23] = c / np.maximum(largest[p], 1)
+    ended, b = np.array(ends, float), np.array(blocks, float)
+    rows[:, 24] = (ended[p] - ended) / np.maximum(b[p] - b, 1)
     return rows
 
 
@@ -354,6 +357,8 @@ class Invented:
 
     def __init__(self, seed: int):
         self.r = random.Random(seed)
+        #: Pages whose attributes say nothing, so that only their structure can be learned.
+        self.mute = False
 
     def word(self) -> str:
         return "".join(self.r.choices(_SYLLABLES, k=self.r.randint(1, 4)))
@@ -372,7 +377,7 @@ class Invented:
     def attr(self, *names: str) -> str:
         if self.r.random() < 0.12:
             return ""
-        x = self.r.choice(names)
+        x = self.word() if self.mute else self.r.choice(names)
         if self.r.random() < 0.3:
             x = f"{self.word()}-{x}"
         return f' {self.r.choice(("class", "class", "id"))}="{x}"'
@@ -389,9 +394,15 @@ class Invented:
         r, out = self.r, []
         if r.random() < 0.85:
             out.append(f"<h1{self.attr('title', 'headline') if r.random() < 0.3 else ''}>{self.words(1, 12)}</h1>")
+            if r.random() < 0.2:
+                out[-1] = f"<header>{out[-1]}{f'<p>{self.sentence(2, 9)}</p>' * (r.random() < 0.4)}</header>"
         for _ in range(r.choice((1, 2, 3, 4, 6, 8, 12, 20))):
             kind = r.random()
-            if kind < 0.72:
+            if kind < 0.06:
+                out.append("<ul>" + "".join(f"<li><a href='/{self.word()}'>{self.words(1, 6)}</a>" + ("</li>" if r.random() < 0.8 else "") for _ in range(r.randint(2, 5))) + "</ul>")
+            elif kind < 0.1:
+                out.append(self.pick(lambda: f"<div class='{self.word()}-{self.word()}'><p>{self.prose()}</p></div>", lambda: f"<section><h2>{self.words(1, 6)}</h2><p>{self.prose()}</p></section>", lambda: f"<noscript><p>{self.prose(3)}</p></noscript>"))
+            elif kind < 0.72:
                 short = r.random() < 0.2
                 out.append(f"<p>{self.inline(self.sentence(1, 3) if short else self.prose())}" + ("</p>" if r.random() < 0.85 else ""))
             elif kind < 0.8:
@@ -420,40 +431,51 @@ class Invented:
         return self.r.choice(made)()
 
     def nav(self) -> str:
-        return self.pick(lambda: f"<nav{self.attr('nav', 'menu', 'navbar') if self.r.random() < 0.5 else ''}>{self.linklist()}</nav>", lambda: f"<div{self.attr('nav', 'menu', 'navigation', 'topmenu')}>{self.linklist()}</div>", lambda: f"<ul{self.attr('menu', 'nav', 'breadcrumb')}>" + "".join(f"<li><a href='/'>{self.words(1, 2)}</a></li>" for _ in range(self.r.randint(2, 7))) + "</ul>")
+        return self.pick(lambda: f"<nav{self.attr('nav', 'menu', 'navbar') if self.r.random() < 0.5 else ''}>{self.linklist()}</nav>", lambda: f"<div{self.attr('nav', 'menu', 'navigation', 'topmenu', 'hauptmenue', 'navegacion')}>{self.linklist()}</div>", lambda: f"<ul{self.attr('menu', 'nav', 'breadcrumb')}>" + "".join(f"<li><a href='/'>{self.words(1, 2)}</a></li>" for _ in range(self.r.randint(2, 7))) + "</ul>")
 
     def header(self) -> str:
         return self.pick(lambda: f"<header{self.attr('header', 'site-header', 'masthead')}><h1>{self.words(1, 4)}</h1><p>{self.sentence(2, 9)}</p>{self.nav() if self.r.random() < 0.5 else ''}</header>", lambda: f"<div{self.attr('header', 'banner', 'masthead')}><a href='/'>{self.words(1, 3)}</a> <span>{self.sentence(2, 8)}</span></div>", lambda: f"<header>{self.words(1, 5)}</header>")
 
     def footer(self) -> str:
         inner = lambda: self.r.choice((f"&copy; {self.word()} &middot; {self.sentence(2, 12)}", f"<p>&copy; 2024 {self.words(1, 4)}</p>{self.linklist(2, 5)}", f"<p>{self.prose(2)}</p>"))
-        return self.pick(lambda: f"<footer>{inner()}</footer>", lambda: f"<footer{self.attr('footer', 'site-footer')}>{inner()}</footer>", lambda: f"<div{self.attr('footer', 'copyright', 'legal')}>{inner()}</div>")
+        return self.pick(lambda: f"<footer>{inner()}</footer>", lambda: f"<footer{self.attr('footer', 'site-footer')}>{inner()}</footer>", lambda: f"<div{self.attr('footer', 'copyright', 'legal', 'fusszeile', 'pied', 'impressum')}>{inner()}</div>")
 
     def side(self) -> str:
         parts = "".join(f"<h3>{self.words(1, 4)}</h3>" + (self.linklist() if self.r.random() < 0.7 else f"<p>{self.prose(2)}</p>") for _ in range(self.r.randint(1, 3)))
-        return self.pick(lambda: f"<aside{self.attr('sidebar', 'aside', 'rail') if self.r.random() < 0.6 else ''}>{parts}</aside>", lambda: f"<div{self.attr('sidebar', 'widget', 'related', 'side')}>{parts}</div>", lambda: f"<section{self.attr('related', 'sidebar', 'widget')}>{parts}</section>", lambda: f"<aside><p>{self.prose(3)}</p></aside>")
+        if self.mute:
+            return f"<aside>{parts}</aside>"
+        return self.pick(lambda: f"<aside{self.attr('sidebar', 'aside', 'rail') if self.r.random() < 0.6 else ''}>{parts}</aside>", lambda: f"<div{self.attr('sidebar', 'widget', 'related', 'side', 'seitenleiste', 'barre', 'lateral')}>{parts}</div>", lambda: f"<section{self.attr('related', 'sidebar', 'widget')}>{parts}</section>", lambda: f"<aside><p>{self.prose(3)}</p></aside>")
 
     def advert(self) -> str:
         text = self.prose(3)
-        return self.pick(lambda: f'<div class="{self.r.choice(("ad", "ads", "advert", "advertisement", "ad banner", "sponsor", "promo", "ad-slot"))}">{text}</div>', lambda: f'<div class="ad"><p>{text}</p><a href="/buy">{self.words(1, 3)}</a></div>', lambda: f'<div{self.attr("sponsored", "promo", "banner", "advert")}>{text}</div>', lambda: f'<section class="promo"><h3>{self.words(1, 5)}</h3><p>{text}</p></section>')
+        if self.mute:
+            return ""
+        return self.pick(lambda: f'<div class="{self.r.choice(("ad", "ads", "advert", "advertisement", "ad banner", "sponsor", "promo", "ad-slot", "werbung", "anzeige", "publicité", "publicidad", "anuncio"))}">{text}</div>', lambda: f'<div class="ad"><p>{text}</p><a href="/buy">{self.words(1, 3)}</a></div>', lambda: f'<div{self.attr("sponsored", "promo", "banner", "advert")}>{text}</div>', lambda: f'<section class="promo"><h3>{self.words(1, 5)}</h3><p>{text}</p></section>')
 
     def notice(self) -> str:
-        return self.pick(lambda: f"<div{self.attr('cookie-notice', 'notice', 'consent', 'cookie', 'popup')}>{self.prose(2)}</div>", lambda: f'<div role="dialog" class="{self.r.choice(("cookie", "modal", "consent"))}"><p>{self.prose(2)}</p><button>{self.word()}</button></div>', lambda: f"<dialog>{self.prose(2)}</dialog>", lambda: f'<div class="newsletter"><p>{self.prose(2)}</p></div>')
+        if self.mute:
+            return f"<dialog>{self.prose(2)}</dialog>"
+        return self.pick(lambda: f"<div{self.attr('cookie-notice', 'notice', 'consent', 'cookie', 'popup', 'bandeau', 'témoins', 'hinweis', 'aviso')}>{self.prose(2)}</div>", lambda: f'<div role="dialog" class="{self.r.choice(("cookie", "modal", "consent"))}"><p>{self.prose(2)}</p><button>{self.word()}</button></div>', lambda: f"<dialog>{self.prose(2)}</dialog>", lambda: f'<div class="newsletter"><p>{self.prose(2)}</p></div>')
 
     def form(self) -> str:
         return self.pick(lambda: f"<form action='/s'><label>{self.words(1, 4)}</label><input><button>{self.word()}</button></form>", lambda: f"<form{self.attr('login', 'search', 'subscribe')}><p>{self.sentence(2, 12)}</p><input></form>", lambda: f"<div{self.attr('search', 'login', 'newsletter')}><form>{self.words(1, 5)}<select><option>{self.word()}</select></form></div>")
 
     def comments(self) -> str:
         one = lambda: self.r.choice((f'<div class="comment"><b>{self.word()}</b><p>{self.prose(3)}</p></div>', f'<li class="comment"><p>{self.prose(3)}</p></li>', f'<article class="comment"><header>{self.word()}</header><p>{self.prose(4)}</p></article>', f"<div><p>{self.prose(3)}</p></div>"))
+        if self.mute:
+            return ""
         inner = f"<h2>{self.words(1, 3)}</h2>" * (self.r.random() < 0.6) + "".join(one() for _ in range(self.r.randint(1, 6)))
-        return self.pick(lambda: f'<section class="{self.r.choice(("comments", "comment-list", "replies reply", "user-comments"))}">{inner}</section>', lambda: f'<div id="{self.r.choice(("comments", "disqus_thread", "respond", "comment-area"))}">{inner}</div>', lambda: f'<ol class="commentlist">{inner}</ol>')
+        return self.pick(lambda: f'<section class="{self.r.choice(("comments", "comment-list", "replies reply", "user-comments", "kommentare", "commentaires", "comentarios"))}">{inner}</section>', lambda: f'<div id="{self.r.choice(("comments", "disqus_thread", "respond", "comment-area", "kommentare", "commentaires", "comentarios"))}">{inner}</div>', lambda: f'<ol class="commentlist">{inner}</ol>')
 
     def share(self) -> str:
+        if self.mute:
+            return f"<nav>{self.linklist()}</nav>"
         return f"<div{self.attr('share', 'social', 'tags', 'post-meta', 'breadcrumb', 'toolbar')}>{self.linklist(2, 5) if self.r.random() < 0.6 else self.words(1, 6)}</div>"
 
     def page(self) -> str:
         """The mark is U+0001 around main text."""
         r = self.r
+        self.mute = r.random() < 0.2
         marked = lambda s: re.sub(r">([^<]*[^<\s][^<]*)", lambda m: ">\x01" + m[1], s)
         blocks = marked(self.main_blocks())
         inside = lambda: "".join(r.choice((self.share, self.advert, self.form, self.side, self.share))() for _ in range(r.choice((0, 0, 0, 1, 2))))
@@ -475,11 +497,11 @@ class Invented:
 
     def bare_page(self) -> str:
         """Little or no layout: all text, or all but a menu or a footer, is main text, in few elements or none."""
-        r = self.r
+        r, self.mute = self.r, False
         marked = lambda s: re.sub(r"(^|>)([^<]*[^<\s][^<]*)", lambda m: m[1] + "\x01" + m[2], s)
         loose = lambda: marked(self.inline(self.prose(4)))
-        body = self.pick(loose, lambda: marked(f"<h1>{self.words(1, 6)}</h1><p>{self.sentence(2, 12)}</p>"), lambda: marked(self.main_blocks()), lambda: loose() + marked(self.main_blocks()), lambda: "<hr>".join(loose() for _ in range(r.randint(2, 5))), lambda: marked(f"<p>{self.prose(3)}</p>"))
-        if r.random() < 0.4:
+        body = self.pick(loose, lambda: marked(f"<h1>{r.choice((self.words(1, 6), self.word()[: r.randint(1, 3)]))}</h1><p>{self.sentence(2, 12)}</p>"), lambda: marked(self.main_blocks()), lambda: loose() + marked(self.main_blocks()), lambda: "<hr>".join(loose() for _ in range(r.randint(2, 5))), lambda: marked(f"<p>{self.prose(3)}</p>"))
+        if r.random() < 0.5:
             body = f"<div>{body}</div>"
         body = (self.nav() if r.random() < 0.3 else "") + body + (self.footer() if r.random() < 0.3 else "")
         return f"<html><body>{body}</body></html>" if r.random() < 0.5 else body
