@@ -45,12 +45,13 @@ _FIELD = r"(?<!\\S)[^\\s0-9@]*+[0-9@]\\S*+"
 
 
 def line_sql(line: str) -> str:
-    """struct<n, leaf, h, w>: the line's tokens, its leaf, itself, and the tokens' hashes (0 for a field) where a leaf may hold unlike lines."""
-    tokens = lambda x: rf"array_remove(split({x}, '\\s+'), '')"
+    """struct<n, leaf, h, w>: the line's tokens, its leaf, itself, and the tokens' hashes where a leaf may hold unlike lines."""
+    # A single blank needs no regular expression, which Spark would compile for each line.
+    tokens = lambda x: let("y", x, r"array_remove(if(y rlike '[\\t\\x0B\\f\\r]', split(y, '\\s+'), split(y, ' ')), '')")
     masked = let("m", tokens(f"regexp_replace({line}, '{_FIELD}', '<*>')"), f"if(size(filter(m, x -> x = '<*>')) > {1 - CONSTANT} * size(m), {tokens(line)}, m)")
     made = (
         f"named_struct('n', size(t), 'leaf', xxhash64(size(t), slice(t, 1, {DEPTH})), 'h', xxhash64(t), "
-        f"'w', if(size(t) > {DEPTH}, transform(t, x -> if(x = '<*>', 0, hash(x))), null))"
+        f"'w', if(size(t) > {DEPTH}, transform(t, x -> hash(x)), null))"
     )
     return let("t", f"if({line} rlike '[0-9@]', {masked}, {tokens(line)})", made)
 
@@ -68,18 +69,18 @@ def mixed_leaves(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     size is bounded, so it is broadcast, and only the lines that it lets through are shuffled
     with their tokens. Joins with the leaves themselves follow.
     """
-    mixed = staged(lines.where("w is not null").groupBy("leaf").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low != high").select("leaf"))
+    mixed = staged(lines.where(f"n > {DEPTH}").groupBy("leaf").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low != high").select("leaf"))
     at = f"pmod(leaf, {BITS}L)"
     bitmaps = mixed.groupBy(F.expr(f"{at} div {PIECE}").alias("piece")).agg(F.expr(f"bitmap_construct_agg({at} % {PIECE})").alias("bits"))
     found = lines.join(F.broadcast(staged(bitmaps)), F.expr(f"{at} div {PIECE} = piece"), "left")
     byte = f"cast(conv(hex(substring(bits, cast({at} % {PIECE} div 8 as int) + 1, 1)), 16, 10) as int)"
-    return mixed, found.withColumn("maybe", F.expr(f"w is not null and bits is not null and shiftright({byte}, cast({at} % 8 as int)) & 1 = 1")).drop("piece", "bits")
+    return mixed, found.withColumn("maybe", F.expr(f"n > {DEPTH} and bits is not null and shiftright({byte}, cast({at} % 8 as int)) & 1 = 1")).drop("piece", "bits")
 
 
 def generalized(lines: DataFrame, mixed: DataFrame) -> DataFrame:
     """leaf, h and template of the lines (n, leaf, h, w) whose leaf is a mixed one, as far as their constant part is large enough."""
     unlike = staged(lines.join(mixed, "leaf").dropDuplicates(["leaf", "h"]).select("leaf", "h", "n", "w"))
-    places = unlike.select("leaf", "h", "n", F.posexplode("w").alias("at", "token")).where("token != 0")
+    places = unlike.select("leaf", "h", "n", F.posexplode("w").alias("at", "token")).where("token != hash('<*>')")
     # A token of one line can't be of the constant part, so those needn't be joined.
     shared = staged(places.groupBy("leaf", "at", "token").agg(F.count("*").alias("lines")).where("lines > 1"))
     ranked = F.expr("sort_array(collect_list(struct(lines, xxhash64(at, token) as x)), false)").alias("c")
@@ -91,7 +92,8 @@ def generalized(lines: DataFrame, mixed: DataFrame) -> DataFrame:
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """_k, _row and ``_gone``, the sorted places of the lines that go, for each document that loses some."""
     lines = _keyed(docs).select("_k", "_row", F.expr("posexplode(split(_text, '\\n', -1))").alias("i", "line"))
-    lines = staged(lines.select("_k", "_row", "i", F.expr(line_sql("line")).alias("s")).where("s.n > 0").select("_k", "_row", "i", "s.*"))
+    # Asked of the line and not of its tokens: Spark would move the filter down and part the line into tokens twice.
+    lines = staged(lines.where(r"line rlike '\\S'").select("_k", "_row", "i", F.expr(line_sql("line")).alias("s")).select("_k", "_row", "i", "s.*"))
     mixed, told = mixed_leaves(lines)
     general = generalized(told.where("maybe"), mixed)
     told = told.select("_k", "_row", "i", "leaf", "h", "maybe")
