@@ -8,13 +8,15 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.shipping import ship
 
-BATCH = 256
+#: Texts, and bytes of them, that a provider gets at a time.
+BATCH, SIZE = 256, 8 << 20
 
 
 class Embedder(Protocol):
@@ -71,14 +73,22 @@ _models: dict[str, Callable[[list[str]], np.ndarray]] = {}
 
 
 def embed(chunks: DataFrame, embedder: Embedder, text: str = "content") -> DataFrame:
-    """``chunks`` with ``vector`` and ``norm``; the provider is made once a worker and fed ``embedder.texts`` (or else BATCH) texts at a time."""
+    """``chunks`` with ``vector`` and ``norm``; the provider is made once a worker and fed ``embedder.texts`` (or else BATCH) texts at a time
+    at most, fewer where they are long.
+
+    An Arrow batch of texts is turned into Python values piece by piece, and each piece's vectors leave as
+    they are made, so a worker holds one batch as it came and one piece.
+    """
     most = getattr(embedder, "texts", BATCH)
 
-    @F.pandas_udf("array<float>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<float>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            parts = [embedder.embed(texts.iloc[i : i + most].fillna("").tolist()) for i in range(0, len(texts), most)]
-            yield pd.Series([v for p in parts for v in p.tolist()], index=texts.index)
+            for start, end in spans(texts, most):
+                made = np.asarray(embedder.embed(texts.slice(start, end - start).fill_null("").to_pylist()), np.float32)
+                if made.ndim != 2 or len(made) != end - start:
+                    raise ValueError(f"{embedder.model_id} gave {made.shape} for {end - start} texts")
+                yield pa.ListArray.from_arrays(np.arange(len(made) + 1, dtype=np.int32) * made.shape[1], made.ravel())
 
     from cairn.operators.vectors import with_norm
 
@@ -86,6 +96,18 @@ def embed(chunks: DataFrame, embedder: Embedder, text: str = "content") -> DataF
     return with_norm(chunks.withColumn("vector", run(F.col(text))))
 
 
+def spans(texts: pa.Array, most: int, size: int = SIZE) -> Iterator[tuple[int, int]]:
+    """Places of pieces of ``texts``: ``most`` texts and ``size`` bytes at most, or one longer text."""
+    start = held = 0
+    for i, n in enumerate(pc.binary_length(texts).fill_null(0).to_pylist()):
+        if i - start == most or i > start and held + n > size:
+            yield start, i
+            start, held = i, 0
+        held += n
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def known(chunks: DataFrame, cache: DataFrame, model_id: str, dim: int) -> DataFrame:
     """``chunks`` with their cached ``vector``, null where there is none; a cached vector of another size doesn't count."""
     valid = cache.where((F.col("model_id") == model_id) & (F.size("vector") == dim)).select("chunk_hash", "vector").dropDuplicates(["chunk_hash"])

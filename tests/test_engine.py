@@ -5,11 +5,13 @@ import json
 import os
 import signal
 import time
+import weakref
 import zlib
 
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -701,3 +703,31 @@ def test_batches_by_length(spark):
     assert sum(map(len, seen)) == 2_000 and all(len(x) <= 256 and x.max() <= 1.25 * x.min() + 8 for x in seen)
     rows = spark.createDataFrame([("a", "a a"), ("b", None)], "chunk_hash string, content string")
     assert {r.chunk_hash: list(r.vector) for r in embedding.embed(rows, provider).collect()} == {"a": [4.0, 13.0], "b": [2.0, 5.0]}
+
+
+def test_embedding_holds_one_piece_at_a_time(spark):
+    class Watching:
+        """Gives each text its length, and with it how many texts and bytes came along and how many of the arrays given before are still held."""
+
+        model_id, dim = "watching", 4
+
+        def __init__(self):
+            self.given = []
+
+        def embed(self, texts):
+            held = sum(r() is not None for r in self.given)
+            out = np.array([[len(t), len(texts), sum(map(len, texts)), held] for t in texts], np.float32)
+            self.given.append(weakref.ref(out))
+            return out
+
+    def embedded(texts):
+        made = spark.createDataFrame([(f"{i:05}", t) for i, t in enumerate(texts)], "chunk_hash string, content string").coalesce(1)
+        found = [(r.vector, r.norm) for r in embedding.embed(made, Watching()).orderBy("chunk_hash").collect()]
+        assert [v[0] for v, _ in found] == [len(t or "") for t in texts] and [n for _, n in found] == pytest.approx([np.linalg.norm(v) for v, _ in found], rel=1e-6)
+        return np.array([v[1:] for v, _ in found]).max(0)
+
+    n, _, held = embedded(["x" * (i % 50) if i % 7 else None for i in range(6_000)])
+    assert n == embedding.BATCH and held <= 3
+    _, size, _ = embedded(["x" * (1 << 20)] * 20 + ["", None, "x" * (9 << 20), "y"])
+    assert size == 9 << 20  # the one longer text, alone
+    assert list(embedding.spans(pa.array([], "string"), 3)) == [] and list(embedding.spans(pa.array(["aa", "aa", None, "aaaaa", "a"]), 3, 4)) == [(0, 3), (3, 4), (4, 5)]
